@@ -23,9 +23,45 @@ def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return encode_digest(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, winning rule and verdict for every page's url."""
+    from .urlfilter import PATTERNS, filter_urls, host_rule
+
+    rules = [host_rule(v, r) for v, r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
+    return filter_urls(table(spark, sf_dir, "pages"), rules + PATTERNS, keep=["page_id"])
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law of equal row counts."""
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), 40)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language and score of every document."""
+    from .langid import held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, keep=["doc_id", held_out(F.col("doc_id")).alias("held_out")])
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page into archives and returns what reading them back gives."""
+    from .common import materialize
+    from .warc import read_archives, write_archives
+
+    archives = materialize(write_archives(table(spark, sf_dir, "pages")), "warc")
+    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_url_filter": op2_url_filter,
+        "op5_sharding": op5_sharding,
+        "op7_language_id": op7_language_id,
+        "op9_warc": op9_warc,
     }
 
 
