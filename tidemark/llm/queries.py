@@ -63,6 +63,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when windows of 50 words that start in an earlier document are removed."""
+    from .substring import dedup_digest
+
+    return dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -71,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": op5_sharding,
         "op7_language_id": op7_language_id,
         "op9_warc": op9_warc,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
