@@ -46,6 +46,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 4-word shingle sets at a similarity of 0.8 or more."""
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("key")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language and score of every document."""
     from .langid import held_out, identify
@@ -76,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": op2_url_filter,
         "op4_decontamination": op4_decontamination,
         "op5_sharding": op5_sharding,
+        "op6_near_dedup": op6_near_dedup,
         "op7_language_id": op7_language_id,
         "op9_warc": op9_warc,
         "op10_substring_dedup": op10_substring_dedup,
