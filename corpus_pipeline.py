@@ -5,8 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from tidemark.llm import bpe, decontam, langid, linededup, neardup
+from tidemark.llm.common import materialize
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    """``n_chars`` brought up to date with the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is told: neither without letters nor ambiguous between two languages."""
+    found = langid.identify(docs, keep=docs.columns)
+    return found.where("lang_pred <> 'und' and not ambiguous").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated chunks of lines out of the texts; documents of which nothing is left go."""
+    return with_length(linededup.dedup_lines(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays, the one with the smallest id (and one of its repeated rows)."""
+    kept = neardup.near_duplicates(docs).where("kept").select("doc_id", F.col("key").alias("text_key")).distinct()
+    rows = docs.withColumn("text_key", F.xxhash64("text"))
+    found = rows.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (rows["text_key"] == kept["text_key"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a window of ten words of a benchmark item."""
+    return decontam.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text."""
+    import public_tokenizers
+
+    return bpe.encode_digest(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "lang", "source"])
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("BPE encoding and decoding", tokenize),
+]
 
 #: Language ID has no SQL form, so the pipeline has none; it is tested against a brute-force version.
 ORACLE_SQL: str | None = None
@@ -14,8 +61,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``."""
-    from tidemark.llm.common import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "".join(c if c.isalnum() else "-" for c in name))

@@ -226,12 +226,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep:
     starts at in the item and in the document, and its length.
     """
     keep = keep or []
-    out = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
     blocks = list(read_items(benchmark, item_id, item_text, limit))
     for k, block in enumerate(blocks):
         out = _look_through(out, prepare(block, window), window, len(keep), first=k == 0, last=k == len(blocks) - 1)
     return out.select(
-        *[F.col(c) for c in keep], "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        *[F.col(f"`{c}`") for c in keep], "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"), "items", "matches",
     )
 

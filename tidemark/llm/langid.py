@@ -131,14 +131,17 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", per_language: i
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
     """Columns ``keep`` and ``lang_pred, score, ambiguous`` for every row."""
-    chosen = df.select(*(keep or []), F.col(text).cast("string").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    keep = list(keep or [])
+    n_keep = len(keep)
+    place = next((i for i, c in enumerate(keep) if isinstance(c, str) and c == text), n_keep)  # a text that is kept goes to the workers once
+    chosen = df.select(*[F.col(f"`{c}`") if isinstance(c, str) else c for c in keep], *[] if place < n_keep else [F.col(text).cast("string").alias("__text")])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:n_keep])
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                vectors = [features(t.as_py()) for t in part.column(part.num_columns - 1)]
+                vectors = [features(t.as_py()) for t in part.column(place)]
                 some = [i for i, v in enumerate(vectors) if v is not None]
                 pred, score, unsure = ["und"] * len(vectors), [0.0] * len(vectors), [True] * len(vectors)
                 if some and model:
@@ -148,7 +151,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[s
                         best = order[k, 0]
                         pred[i], score[i] = model.languages[best], float(min(1.0, shares[k, best]))
                         unsure[i] = len(model.languages) > 1 and bool(shares[k, best] - shares[k, order[k, 1]] < MARGIN)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pred), pa.array(score, pa.float64()), pa.array(unsure)], names=[*part.schema.names[:-1], "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], names=[*part.schema.names[:n_keep], "lang_pred", "score", "ambiguous"])
 
     return chosen.mapInArrow(task, f"{kept}{', ' if kept else ''}lang_pred string, score double, ambiguous boolean")
 

@@ -31,6 +31,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules + PATTERNS, keep=["page_id"])
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document and what is left when repeated chunks of lines are removed."""
+    from .linededup import dedup_digest
+
+    return dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of a benchmark item."""
     from .decontam import contamination
@@ -88,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_url_filter": op2_url_filter,
+        "op3_line_dedup": op3_line_dedup,
         "op4_decontamination": op4_decontamination,
         "op5_sharding": op5_sharding,
         "op6_near_dedup": op6_near_dedup,
