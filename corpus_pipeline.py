@@ -18,8 +18,10 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is told: neither without letters nor ambiguous between two languages."""
-    found = langid.identify(docs, keep=docs.columns)
-    return found.where("lang_pred <> 'und' and not ambiguous").select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    model = langid.learn(langid.learned_rows(docs))
+    found = langid.predict(docs.toDF(*names), model, text=names[docs.columns.index("text")], keep=names)
+    return found.where("lang_pred <> 'und' and not ambiguous").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

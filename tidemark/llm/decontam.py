@@ -226,10 +226,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep:
     starts at in the item and in the document, and its length.
     """
     keep = keep or []
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
+    place = keep.index(text) if text in keep else len(keep)  # a text that is kept goes to the workers once
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col(text).cast("string").alias("__text")] * (place == len(keep)))
     blocks = list(read_items(benchmark, item_id, item_text, limit))
     for k, block in enumerate(blocks):
-        out = _look_through(out, prepare(block, window), window, len(keep), first=k == 0, last=k == len(blocks) - 1)
+        out = _look_through(out, prepare(block, window), window, len(keep), place, first=k == 0, last=k == len(blocks) - 1)
     return out.select(
         *[F.col(f"`{c}`") for c in keep], "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"), "items", "matches",
@@ -240,9 +241,9 @@ MATCH = pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("doc_word"
 FOUND = {"n_words": pa.int64(), "hit": pa.list_(pa.int64()), "items": pa.list_(pa.string()), "matches": pa.list_(MATCH)}
 
 
-def _look_through(docs: DataFrame, test: TestSuffixes, window: int, n_keep: int, *, first: bool, last: bool) -> DataFrame:
+def _look_through(docs: DataFrame, test: TestSuffixes, window: int, n_keep: int, place: int, *, first: bool, last: bool) -> DataFrame:
     """Adds what one block of items finds to what the blocks before it found; the text goes on only if there are more blocks."""
-    fields = docs.schema.fields[: n_keep + (not last)]
+    fields = docs.schema.fields[: n_keep + (place == n_keep and not last)]
     carried = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
     schema = f"{carried}n_words long, hit array<long>, items array<string>, matches array<struct<item:string,item_word:long,doc_word:long,length:long>>"
 
@@ -250,7 +251,7 @@ def _look_through(docs: DataFrame, test: TestSuffixes, window: int, n_keep: int,
         for batch in parts:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                found = scan(blobs(part.column(n_keep)), test, window)
+                found = scan(blobs(part.column(place)), test, window)
                 hit, items = [x[1] for x in found], [sorted({test.ids[i] for i in x[2]}) for x in found]
                 matches = [[{"item": test.ids[i], "item_word": a, "doc_word": b, "length": n} for i, a, b, n in x[3]] for x in found]
                 if not first:
@@ -265,4 +266,7 @@ def _look_through(docs: DataFrame, test: TestSuffixes, window: int, n_keep: int,
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
     """The documents none of whose words is hit, with all their columns."""
-    return contamination(docs, benchmark, window, keep=docs.columns, text=text).where("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    found = contamination(rows, benchmark, window, keep=names, text=names[docs.columns.index(text)])
+    return found.where("not contaminated").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
