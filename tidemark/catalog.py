@@ -22,9 +22,23 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def load() -> None:
+    """Registers the queries of all modules that are there."""
+    import importlib
+    import pkgutil
+
+    from tidemark import plans
+
+    for module in pkgutil.iter_modules(plans.__path__):
+        if module.name.endswith("_queries"):
+            importlib.import_module(f"tidemark.plans.{module.name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return SQL
