@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def log_factorial_terms(k: Column) -> Column:
@@ -21,10 +22,13 @@ def poisson_pmf(k: Column, rate: Column) -> Column:
 
 
 def poisson_cdf(k: Column, rate: Column) -> Column:
-    """Sum of the masses 0..k, each from the one before."""
+    """Sum of the masses 0..k: upwards from the mass at 0, or, where that is too small for a double, downwards from the mass at k."""
     start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("total"))
     steps = F.when(k >= 1, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
-    total = F.aggregate(steps, start, lambda s, i: F.struct((s["term"] * rate / i).alias("term"), (s["total"] + s["term"] * rate / i).alias("total")), lambda s: s["total"])
+    up = F.aggregate(steps, start, lambda s, i: F.struct((s["term"] * rate / i).alias("term"), (s["total"] + s["term"] * rate / i).alias("total")), lambda s: s["total"])
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    down = F.aggregate(F.reverse(steps), one, lambda s, i: F.struct((s["term"] * i / rate).alias("term"), (s["total"] + s["term"] * i / rate).alias("total")), lambda s: s["total"])
+    total = F.when(rate < 600, up).when(k > rate + 40 * F.sqrt(rate), 1.0).otherwise(poisson_pmf(k, rate) * down)
     return F.when(k >= 0, total).otherwise(0.0)
 
 
@@ -151,7 +155,7 @@ def js_distance(p: Column, q: Column) -> Column:
 # what has no closed form: Arrow batches
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def noncentral_chi2_cdf(x: pd.Series, df: pd.Series, noncentrality: pd.Series) -> pd.Series:
     """Distribution function of the noncentral chi-square by its Poisson mixture."""
     return pd.Series([_ncx2(float(a), float(b), float(c)) for a, b, c in zip(x, df, noncentrality, strict=True)])
@@ -207,14 +211,14 @@ def skellam_cdf(k: int, rate1: float, rate2: float) -> float:
     return 1 - _ncx2(2 * rate1, 2 * (k + 1), 2 * rate2) if k >= 0 else _ncx2(2 * rate2, -2 * k, 2 * rate1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def skellam_pvalue(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The smaller tail of the difference of two Poisson variables at k."""
     for k, a, b in batches:
         yield pd.Series([min(skellam_cdf(int(x), y, z), 1 - skellam_cdf(int(x) - 1, y, z)) for x, y, z in zip(k, a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def polynomial_roots(coefficients: pd.Series) -> pd.Series:
     """Real and imaginary parts, in turn, of a polynomial's roots (highest power first), sorted."""
     return pd.Series([[v for r in sorted(np.roots(c), key=lambda r: (round(r.real, 9), round(r.imag, 9))) for v in (float(r.real), float(r.imag))] for c in coefficients])

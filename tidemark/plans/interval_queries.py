@@ -17,7 +17,7 @@ WIDTH = 2_048
 
 @query("count_scan_windows", f"""{W}, p AS (SELECT chr, exp, start AS pos, 1.0 / nh AS w FROM reads)
 SELECT chr, exp, k * 3600 AS window_start, count(*) AS n, round(sum(w), 6) AS total
-FROM p, unnest(range(greatest((pos - 7200) // 3600 + 1, 0), pos // 3600 + 1)) AS t(k) GROUP BY ALL""")
+FROM p, unnest(range(greatest(pos // 3600 - 1, 0), pos // 3600 + 1)) AS t(k) GROUP BY ALL""")
 def count_scan_windows(spark, sf):
     points = reads(spark, sf).select("chr", "exp", F.col("start").alias("pos"), "nh")
     return ops.window_counts(points, 7_200, 3_600, ("chr", "exp"), 1 / F.col("nh")).select("chr", "exp", "window_start", "n", F.round("total", 6).alias("total"))
