@@ -212,12 +212,12 @@ def spliced_lengths(spark, sf):
 
 @query("spliced_positions", f"""{W}, {BLOCKS}, l AS (SELECT *, len(blocks) * 100 AS total FROM b), q AS (SELECT *, 50 + name % 100 AS off FROM l),
 p AS (SELECT name, strand, off, total, CASE WHEN strand = '-' THEN total - 1 - off ELSE off END AS fwd, blocks FROM q)
-SELECT name, off AS off, CASE WHEN fwd >= 0 AND fwd < total THEN blocks[(fwd // 100 + 1)::INTEGER].s + fwd % 100 END AS at FROM p""")
+SELECT name, off AS off, CASE WHEN fwd >= 0 AND fwd < total THEN blocks[(fwd // 100 + 1)::INTEGER].s + fwd % 100 END AS place FROM p""")
 def spliced_positions(spark, sf):
     b = exons(spark, sf).groupBy("name").agg(F.first("strand").alias("strand"), F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("blocks"))
     b = b.withColumn("offset", 50 + F.col("name") % 100).withColumn("at", iv.to_reference(F.col("blocks"), F.col("offset"), F.col("strand")))
     back = iv.to_spliced(F.col("blocks"), F.col("at"), F.col("strand"))
-    return b.select("name", F.col("offset").alias("off"), F.when(F.col("at").isNull() | (back == F.col("offset")), F.col("at")).alias("at"))
+    return b.select("name", F.col("offset").alias("off"), F.when(F.col("at").isNull() | (back == F.col("offset")), F.col("at")).alias("place"))
 
 
 @query("first_and_last_bases", f"""{W}, {BLOCKS}, t AS (SELECT name, strand, s + k AS p, row_number() OVER (PARTITION BY name ORDER BY s + k) - 1 AS off FROM b, unnest(list_transform(blocks, lambda x: x.s)) AS u(s), unnest(range(100)) AS v(k)),
