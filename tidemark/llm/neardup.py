@@ -4,7 +4,7 @@ Every document's set of word shingles gets a SetSketch: each shingle draws ascen
 exponentials and deals them to registers; a register keeps its least value on a logarithmic scale. Sketches of parts merge by
 register-wise maximum, and two sketches agree in a register with a probability close to the Jaccard similarity. Bands of registers
 make buckets. Within a bucket no pairs are listed: members are held against one leader, and only where that leaves more than one
-component, against a second leader and then across the components that are left. A pair's registers are judged jointly by their
+component are they compared, in blocks, across the components that are left. A pair's registers are judged jointly by their
 likelihood given the set sizes; what that cannot rule out is verified on the full shingle sets.
 
 With 32 bands of 4 of 128 registers, two sets at a similarity of exactly 0.8 share no bucket with a probability of 5e-8, and the
@@ -31,6 +31,8 @@ from .common import WordHashes, blobs, gram_hashes, materialize, mix64, signed
 REGISTERS = 128
 BANDS = 32
 BASE = 1.02
+#: Members of a bucket that are compared with as many others in one place.
+BLOCK = 1024
 #: Similarity below which the likelihood rules a pair out is this much below the threshold (7 standard errors).
 SLACK = 0.25
 
@@ -157,6 +159,88 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return e.select(F.col("u").alias("uid"), F.col("v").alias("root"))
 
 
+def across(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components ``root`` within each bucket of ``members`` (bucket, uid, size, root).
+
+    A bucket is cut into blocks of about ``BLOCK`` members, and every two blocks meet in one place, where pairs of different
+    components are compared in memory: only links leave it, and none between what earlier links there have joined. A pair that
+    shares several buckets is compared in that of its first common band.
+    """
+    facts = known.select("uid", "registers", "bands").join(sets.groupBy("uid").agg(F.first("grams").alias("grams")), "uid")
+    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    rows = members.select("bucket", "uid", "root", parts.alias("parts"), F.pmod(F.xxhash64("uid"), parts).cast("int").alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "root").join(facts, "uid")
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+        for batch in parts:
+            regs, bands, grams = (batch.column(c) for c in ("registers", "bands", "grams"))
+            keys = zip(*[batch.column(c).to_pylist() for c in ("bucket", "i", "j", "own", "uid", "root")], strict=True)
+            for n, (bucket, i, j, own, uid, root) in enumerate(keys):
+                if place != (bucket, i, j):
+                    if held:
+                        yield _pairs_batch(compare_blocks(place, held, percent))
+                    place, held = (bucket, i, j), []
+                held.append((own, uid, root, regs[n].values.to_numpy(), bands[n].values.to_numpy(), grams[n].values.to_numpy()))
+        if held:
+            yield _pairs_batch(compare_blocks(place, held, percent))
+
+    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.select("bucket", "i", "j", "own", "uid", "root", "registers", "bands", "grams").mapInArrow(task, "a long, b long").distinct()
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
+
+
+def compare_blocks(place: tuple[int, int, int], held: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between the members of block i and of block j of a bucket (of one block with itself if i = j) that join components."""
+    bucket, i, j = place
+    left, right = [h for h in held if h[0] == i], [h for h in held if h[0] == j]
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    if not left or not right:
+        return []
+    right_regs, right_bands = np.array([r[3] for r in right]), np.array([r[4] for r in right])
+    right_sizes, right_uids = np.array([len(r[5]) for r in right]), np.array([r[1] for r in right])
+    right_roots = np.array([r[2] for r in right])
+    out = []
+    for _, uid, root, regs, bands, grams in left:
+        n = len(grams)
+        ok = (right_roots != root) & (100 * np.minimum(right_sizes, n) >= percent * np.maximum(right_sizes, n))
+        if i == j:
+            ok &= right_uids > uid
+        index = np.flatnonzero(ok)
+        if not len(index):
+            continue
+        index = index[right_bands[index, (right_bands[index] == bands).argmax(1)] == bucket]
+        found = right_regs[index]
+        index = index[likely(n, right_sizes[index], (regs > found).sum(1), (regs < found).sum(1), percent / 100)]
+        for k in index.tolist():
+            if find(root) != find(int(right_roots[k])):
+                common = len(np.intersect1d(grams, right[k][5], assume_unique=True))
+                if 100 * common >= percent * (n + int(right_sizes[k]) - common):
+                    parent[find(root)] = find(int(right_roots[k]))
+                    out.append((min(uid, right[k][1]), max(uid, right[k][1])))
+    return out
+
+
+def likely(n: int, sizes: np.ndarray, more: np.ndarray, less: np.ndarray, threshold: float) -> np.ndarray:
+    """``plausible`` for one set against many, from the numbers of registers that are more and less."""
+    j, scale, log_base = threshold - SLACK, (BASE - 1) / BASE, np.log(BASE)
+    u, v = n / (n + sizes), sizes / (n + sizes)
+    x, y = np.maximum(u - v * j, 1e-9), np.maximum(v - u * j, 1e-9)
+    p, q = -np.log1p(-x * scale) / log_base, -np.log1p(-y * scale) / log_base
+    dp, dq = -v * scale / ((1 - x * scale) * log_base), -u * scale / ((1 - y * scale) * log_base)
+    return more * dp / p + less * dq / q - (REGISTERS - more - less) * (dp + dq) / np.maximum(1 - p - q, 1e-9) >= 0
+
+
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and ``fp, component_id``: for each set, the smallest doc_id reachable over links."""
     threshold = percent / 100
@@ -167,7 +251,7 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "do
     led = banded.groupBy("bucket").agg(F.min("uid").alias("leader"), F.count("*").alias("size")).where("size > 1")
     members = materialize(banded.join(led, "bucket").select("bucket", "uid", "leader", "size"), "neardup-members")
     known = own.join(members.select("uid").distinct(), "uid", "left_semi")
-    known = materialize(known.select("uid", "doc_id", "key", "n", "registers"), "neardup-known")
+    known = materialize(known.select("uid", "doc_id", "key", "n", "registers", "bands"), "neardup-known")
     sets = shingle_sets(docs, known.select("uid", "doc_id", "key"), shingle, doc_id, text)
     facts = known.select("uid", F.struct("n", "registers").alias("s"))
 
@@ -178,31 +262,13 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "do
 
     links = materialize(judged(members.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()), "neardup-links")
     roots = components(links)
-    crowd = members.where("size > 2 and uid <> leader").select("bucket", "uid", "leader")
-
-    def unsettled(roots: DataFrame, crowd: DataFrame) -> DataFrame:
-        """``bucket, uid, root, leader_root`` in the buckets whose members, leaders aside, lie in several components."""
-        placed = crowd.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        placed = placed.join(split, "bucket", "left_semi").join(roots.withColumnsRenamed({"uid": "leader", "root": "leader_root"}), "leader", "left")
-        return placed.select("bucket", "uid", "root", F.coalesce("leader_root", "leader").alias("leader_root"))
-
-    again = materialize(unsettled(roots, crowd), "neardup-unsettled")
-    if not again.isEmpty():
-        second = again.where("root <> leader_root").groupBy("bucket").agg(F.min(F.struct("uid", "root")).alias("s")).select("bucket", F.col("s.uid").alias("second"), F.col("s.root").alias("second_root"))
-        trial = again.join(second, "bucket").where("root <> second_root")
-        pairs = trial.select(F.least("uid", "second").alias("a"), F.greatest("uid", "second").alias("b")).distinct()
-        links = materialize(links.unionByName(judged(pairs)), "neardup-links")
+    others = members.where("size > 2 and uid <> leader").select("bucket", "uid", "size")
+    placed = others.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    unsettled = materialize(placed.join(split, "bucket", "left_semi"), "neardup-unsettled")
+    if not unsettled.isEmpty():
+        links = materialize(links.unionByName(across(unsettled, known, sets, percent)), "neardup-links")
         roots = components(links)
-        rest = again.select("bucket", "uid").join(second, "bucket").where("uid <> second").select("bucket", "uid", F.col("second").alias("leader"))
-        rest = materialize(unsettled(roots, rest), "neardup-unsettled")
-        if not rest.isEmpty():
-            full = rest.join(facts, "uid").select("bucket", "uid", "root", "s")
-            x, y = full.alias("x"), full.alias("y")
-            cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & plausible(F.col("x.s"), F.col("y.s"), threshold))
-            pairs = cross.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct()
-            links = materialize(links.unionByName(verify(pairs, sets, percent)), "neardup-links")
-            roots = components(links)
     placed = nodes.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return every, placed.join(named, "root").select("fp", "component_id")
