@@ -59,6 +59,8 @@ def test_islands_and_coverage_in_small_bins(spark):
         assert ops.merge(df, width=width).agg(F.sum(F.col("end") - F.col("start"))).first()[0] == len(covered)
         depth = ops.coverage(df, width=width)
         assert depth.agg(F.sum((F.col("end") - F.col("start")) * F.col("depth"))).first()[0] == sum(e - s for _, s, e in rows)
+    twice = spark.createDataFrame([("a", 0, 3), *[("a", 5, 9)] * 3, ("a", 6, 9)], "chr string, start long, end long")
+    assert sorted(map(tuple, ops.merge(twice).collect())) == [("a", 0, 3, 1), ("a", 5, 9, 4)]
     touch = spark.createDataFrame([("a", 0, 5), ("a", 5, 9)], "chr string, start long, end long")
     assert ops.merge(touch).count() == 2 and ops.touching(touch).count() == 1
 

@@ -48,7 +48,7 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int, keys: tuple[str,
     return left.join(hit, out, "left_anti")
 
 
-def two_level(df: DataFrame, keys: tuple[str, ...], order: list[str], position: str, value: Column, how: str, width: int, name: str, inclusive: bool = True) -> DataFrame:
+def two_level(df: DataFrame, keys: tuple[str, ...], order: list, position: str, value: Column, how: str, width: int, name: str, inclusive: bool = True) -> DataFrame:
     """Running ``sum`` or ``max`` of ``value`` over rows ordered by ``order`` within ``keys`` as column ``name``.
 
     Rows are dealt by (keys, bin of the position); what earlier bins add is one row a bin.
@@ -76,7 +76,7 @@ def islands(df: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 << 1
     order = ["start", "end"]
     ahead = two_level(df, keys, order, "start", F.col("end"), "max", width, "__before", inclusive=False)
     fresh = F.when(F.col("__before").isNull() | (F.col("start") >= F.col("__before") + gap), 1).otherwise(0)
-    return two_level(ahead.withColumn("__new", fresh), keys, [*order, "__new"], "start", F.col("__new"), "sum", width, "__n").withColumn("island", (F.col("__n") - 1).cast("long")).drop("__before", "__new", "__n")
+    return two_level(ahead.withColumn("__new", fresh), keys, [*order, F.desc("__new")], "start", F.col("__new"), "sum", width, "__n").withColumn("island", (F.col("__n") - 1).cast("long")).drop("__before", "__new", "__n")
 
 
 def merge(df: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 << 16, gap: int = 0) -> DataFrame:
