@@ -55,20 +55,32 @@ def approximate_scan_pvalue(k: Column, rate: Column, window: Column, total: Colu
     return F.when(k <= 2, F.lit(1.0)).otherwise(found)
 
 
+def _sum_of_terms(first: Column, low: Column, high: Column, ratio) -> Column:
+    """first + the terms after it up to ``high``, each ``ratio(i)`` times the one at i - 1."""
+    steps = F.when(high > low, F.sequence((low + 1).cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(first.alias("term"), first.alias("total"))
+    return F.aggregate(steps, start, lambda s, i: F.struct((s["term"] * ratio(i)).alias("term"), (s["total"] + s["term"] * ratio(i)).alias("total")), lambda s: s["total"])
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    """ln of n over k, from min(k, n - k) quotients."""
+    few = F.least(k, n - k)
+    return F.aggregate(F.when(few >= 1, F.sequence(F.lit(1), few.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + F.log((n - few + i) / i))
+
+
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k) for a binomial, its terms summed up from their logarithms."""
-    term = lambda i: F.exp(log_factorial_terms(n) - log_factorial_terms(i) - log_factorial_terms(n - i) + i * F.log(p) + (n - i) * F.log1p(-p))
-    total = F.aggregate(F.sequence(k.cast("int"), n.cast("int")), F.lit(0.0), lambda s, i: s + term(i))
+    """P(X >= k) for a binomial: the mass at k, and each further one from the one before."""
+    first = F.exp(log_choose(n, k) + k * F.log(p) + (n - k) * F.log1p(-p))
+    total = _sum_of_terms(first, k, n, lambda i: (n - i + 1) / i * p / (1 - p))
     return F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0)).otherwise(F.least(F.lit(1.0), total))
 
 
 def hypergeometric_tail(k: Column, drawn: Column, marked: Column, total: Column) -> Column:
-    """P(X >= k) marked ones among ``drawn`` out of ``total`` with ``marked``."""
-    choose = lambda n, r: log_factorial_terms(n) - log_factorial_terms(r) - log_factorial_terms(n - r)
-    top = F.least(drawn, marked)
-    low = F.greatest(k, drawn + marked - total, F.lit(0))
-    span = F.when(low <= top, F.sequence(low.cast("int"), top.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.least(F.lit(1.0), F.aggregate(span, F.lit(0.0), lambda s, i: s + F.exp(choose(marked, i) + choose(total - marked, drawn - i) - choose(total, drawn))))
+    """P(X >= k) marked ones among ``drawn`` out of ``total`` with ``marked``: the mass at k, and each further one from the one before."""
+    low, high = F.greatest(k, drawn + marked - total, F.lit(0)), F.least(drawn, marked)
+    first = F.exp(log_choose(marked, low) + log_choose(total - marked, drawn - low) - log_choose(total, drawn))
+    tail = _sum_of_terms(first, low, high, lambda i: (marked - i + 1) / i * (drawn - i + 1) / (total - marked - drawn + i))
+    return F.when(low > high, F.lit(0.0)).otherwise(F.least(F.lit(1.0), tail))
 
 
 def chi2_even_tail(x: Column, n: Column) -> Column:

@@ -74,10 +74,10 @@ def signed_rank_test(spark, sf):
     return so.signed_rank(li, "a", "b", ["k"]).select("k", "n", "u", F.round("z", 6).alias("z"))
 
 
-@query("fisher_combined", """WITH p AS (SELECT event_type, (1 + event_id % 97) / 98.0::DOUBLE AS p FROM events WHERE value > 50), m AS (SELECT event_type, count(*) AS n, sum(-2 * ln(p)) AS x FROM p GROUP BY ALL)
+@query("fisher_combined", """WITH p AS (SELECT event_type, (1 + event_id % 97) / 98.0::DOUBLE AS p FROM events), m AS (SELECT event_type, count(*) AS n, sum(-2 * ln(p)) AS x FROM p GROUP BY ALL)
 SELECT event_type, n, round(x, 6) AS x2, round(list_sum(list_transform(range(0, n), lambda i: exp(i * ln(x / 2) - x / 2 - lgamma(i + 1)))), 8) AS p FROM m""")
 def fisher_combined(spark, sf):
-    p = table(spark, sf, "events").where("value > 50").select("event_type", ((1 + F.col("event_id") % 97) / F.lit(98.0)).alias("p"))
+    p = table(spark, sf, "events").select("event_type", ((1 + F.col("event_id") % 97) / F.lit(98.0)).alias("p"))
     return so.fisher_combined(p, "p", ["event_type"]).select("event_type", "n", F.round("x2", 6).alias("x2"), F.round("p", 8).alias("p"))
 
 
@@ -155,14 +155,14 @@ def scan_pvalues(spark, sf):
 
 @query("poisson_enrichment", f"""WITH {READS}, {SCAN}, w AS (SELECT window_start, max(CASE WHEN chr = 'click' THEN n END) AS a, max(CASE WHEN chr = 'view' THEN n END) AS b, (SELECT lam * 3600 FROM l WHERE chr = 'view') AS m FROM s GROUP BY window_start),
 x AS (SELECT window_start, coalesce(a, 0)::BIGINT AS a, coalesce(b, 0)::BIGINT AS b, greatest(coalesce(b, 0), m) AS rate FROM w WHERE a IS NOT NULL OR b IS NOT NULL)
-SELECT window_start, a, b, round(log2((a + 1) / (b + 1)), 6) AS log_ratio, round(1 - coalesce({CDF.format(k='a - 1', m='rate')}, 0), 8) AS p, round(list_sum(list_transform(range(a, a + b + 1), lambda i: exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2)))), 8) AS p_binomial FROM x""")
+SELECT window_start, a, b, round(log2((a + 1) / (b + 1)), 6) AS log_ratio, round(1 - coalesce({CDF.format(k='a - 1', m='rate')}, 0), 8) AS p, round(list_sum(list_transform(range(a, a + b + 1), lambda i: exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) + i * ln(0.45) + (a + b - i) * ln(0.55)))), 8) AS p_binomial FROM x""")
 def poisson_enrichment(spark, sf):
     s = scanned(spark, sf)
     m = s.where("chr = 'view'").agg(F.max("lam")).first()[0] * 3600
     w = s.where("chr in ('click', 'view')").groupBy("window_start").agg(F.coalesce(F.max(F.when(F.col("chr") == "click", F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.max(F.when(F.col("chr") == "view", F.col("n"))), F.lit(0)).alias("b"))
     rate = F.greatest(F.col("b").cast("double"), F.lit(m))
     n = F.col("a") + F.col("b")
-    return w.select("window_start", "a", "b", F.round(F.log2((F.col("a") + 1) / (F.col("b") + 1)), 6).alias("log_ratio"), F.round(1 - st.poisson_cdf(F.col("a") - 1, rate), 8).alias("p"), F.round(st.binomial_tail(F.col("a"), n, F.lit(0.5)), 8).alias("p_binomial"))
+    return w.select("window_start", "a", "b", F.round(F.log2((F.col("a") + 1) / (F.col("b") + 1)), 6).alias("log_ratio"), F.round(1 - st.poisson_cdf(F.col("a") - 1, rate), 8).alias("p"), F.round(st.binomial_tail(F.col("a"), n, F.lit(0.45)), 8).alias("p_binomial"))
 
 
 @query("skellam_pvalues")
@@ -260,15 +260,15 @@ def collapsed_rows(spark, sf):
     return cells(mx.collapse_rows(m, m.select("row").distinct().withColumn("description", F.split_part("row", F.lit("/"), F.lit(1)))))
 
 
-SETS = "g AS (SELECT DISTINCT s_nationkey AS set_name, l_partkey % 500 AS gene FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45), n AS (SELECT set_name, count(*) AS n FROM g GROUP BY ALL)"
+SETS = "g AS (SELECT DISTINCT s_nationkey AS set_name, l_partkey AS gene FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), n AS (SELECT set_name, count(*) AS n FROM g GROUP BY ALL), u AS (SELECT count(*) AS u FROM part)"
 
 
-@query("gene_set_overlaps", f"""WITH {SETS}, s AS (SELECT x.set_name AS a, y.set_name AS b, count(*) AS shared FROM g x JOIN g y ON x.gene = y.gene AND x.set_name < y.set_name GROUP BY ALL), t AS (SELECT s.*, p.n AS size_a, q.n AS size_b FROM s JOIN n p ON p.set_name = a JOIN n q ON q.set_name = b)
-SELECT a, b, shared, size_a, size_b, round(least(1, list_sum(list_transform(range(greatest(shared, size_a + size_b - 500, 0), least(size_a, size_b) + 1), lambda i: exp(lgamma(size_b + 1) - lgamma(i + 1) - lgamma(size_b - i + 1) + lgamma(500 - size_b + 1) - lgamma(size_a - i + 1) - lgamma(500 - size_b - size_a + i + 1) - (lgamma(501) - lgamma(size_a + 1) - lgamma(500 - size_a + 1)))))), 7) AS p FROM t""")
+@query("gene_set_overlaps", f"""WITH {SETS}, s AS (SELECT x.set_name AS a, y.set_name AS b, count(*) AS shared FROM g x JOIN g y ON x.gene = y.gene AND x.set_name < y.set_name GROUP BY ALL), t AS (SELECT s.*, p.n AS size_a, q.n AS size_b, u FROM s JOIN n p ON p.set_name = a JOIN n q ON q.set_name = b, u)
+SELECT a, b, shared, size_a, size_b, round(least(1, list_sum(list_transform(range(greatest(shared, size_a + size_b - u, 0), least(size_a, size_b) + 1), lambda i: exp(lgamma(size_b + 1) - lgamma(i + 1) - lgamma(size_b - i + 1) + lgamma(u - size_b + 1) - lgamma(size_a - i + 1) - lgamma(u - size_b - size_a + i + 1) - (lgamma(u + 1) - lgamma(size_a + 1) - lgamma(u - size_a + 1)))))), 6) AS p FROM t""")
 def gene_set_overlaps(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    g = table(spark, sf, "lineitem").where("l_quantity > 45").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("set_name"), (F.col("l_partkey") % 500).alias("gene"))
-    return mx.gene_set_pairs(g, 500).withColumn("p", F.round("p", 7))
+    g = table(spark, sf, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("set_name"), F.col("l_partkey").alias("gene"))
+    return mx.gene_set_pairs(g, table(spark, sf, "part").count()).withColumn("p", F.round("p", 6))
 
 
 @query("vector_distances", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), c AS (SELECT label, min(vec_id) AS first FROM e GROUP BY label), p AS (SELECT a.vec_id, a.v AS x, b.v AS y FROM e a JOIN c USING (label) JOIN e b ON b.vec_id = c.first)
