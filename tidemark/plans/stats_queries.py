@@ -155,14 +155,14 @@ def scan_pvalues(spark, sf):
 
 @query("poisson_enrichment", f"""WITH {READS}, {SCAN}, w AS (SELECT window_start, max(CASE WHEN chr = 'click' THEN n END) AS a, max(CASE WHEN chr = 'view' THEN n END) AS b, (SELECT lam * 3600 FROM l WHERE chr = 'view') AS m FROM s GROUP BY window_start),
 x AS (SELECT window_start, coalesce(a, 0)::BIGINT AS a, coalesce(b, 0)::BIGINT AS b, greatest(coalesce(b, 0), m) AS rate FROM w WHERE a IS NOT NULL OR b IS NOT NULL)
-SELECT window_start, a, b, round(log2((a + 1) / (b + 1)), 6) AS log_ratio, round(1 - coalesce({CDF.format(k='a - 1', m='rate')}, 0), 8) AS p, round(list_sum(list_transform(range(a, a + b + 1), lambda i: exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) + i * ln(0.45) + (a + b - i) * ln(0.55)))), 8) AS p_binomial FROM x""")
+SELECT window_start, a, b, round(log2((a + 1) / (b + 1)), 6) AS log_ratio, round(1 - coalesce({CDF.format(k='a - 1', m='rate')}, 0), 8) AS p, round(list_sum(list_transform(range(a, a + b + 1), lambda i: exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) + i * ln(1.0::DOUBLE / 3) + (a + b - i) * ln(2.0::DOUBLE / 3)))), 8) AS p_binomial FROM x""")
 def poisson_enrichment(spark, sf):
     s = scanned(spark, sf)
     m = s.where("chr = 'view'").agg(F.max("lam")).first()[0] * 3600
     w = s.where("chr in ('click', 'view')").groupBy("window_start").agg(F.coalesce(F.max(F.when(F.col("chr") == "click", F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.max(F.when(F.col("chr") == "view", F.col("n"))), F.lit(0)).alias("b"))
     rate = F.greatest(F.col("b").cast("double"), F.lit(m))
     n = F.col("a") + F.col("b")
-    return w.select("window_start", "a", "b", F.round(F.log2((F.col("a") + 1) / (F.col("b") + 1)), 6).alias("log_ratio"), F.round(1 - st.poisson_cdf(F.col("a") - 1, rate), 8).alias("p"), F.round(st.binomial_tail(F.col("a"), n, F.lit(0.45)), 8).alias("p_binomial"))
+    return w.select("window_start", "a", "b", F.round(F.log2((F.col("a") + 1) / (F.col("b") + 1)), 6).alias("log_ratio"), F.round(1 - st.poisson_cdf(F.col("a") - 1, rate), 8).alias("p"), F.round(st.binomial_tail(F.col("a"), n, F.lit(1 / 3)), 8).alias("p_binomial"))
 
 
 @query("skellam_pvalues")
