@@ -15,8 +15,10 @@ import hashlib
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,26 @@ GROUP_DOCS = 512
 GENERATION = 250_000
 
 
+#: Below this code point, character classes are the same in all Unicode versions in use.
+STABLE = 0x250
+
+
+def byte_symbols() -> str:
+    """The printable character that stands for each byte in byte-level vocabularies, by byte."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    spare = iter(range(256, 512))
+    return "".join(chr(b) if b in printable else chr(next(spare)) for b in range(256))
+
+
+def stable_pattern(pattern: str) -> re.Pattern:
+    """A splitting expression with its classes of letters, numbers and white space spelled out below ``STABLE``."""
+    members = lambda keep: "".join(re.escape(chr(i)) for i in range(STABLE) if keep(unicodedata.category(chr(i)), chr(i)))
+    letters, numbers = members(lambda c, _: c[0] == "L"), members(lambda c, _: c[0] == "N")
+    spaces = members(lambda c, x: c == "Zs" or x in "\t\n\v\f\r\x85")
+    spelled = pattern.replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")
+    return re.compile(spelled.replace(r"\p{L}", letters).replace(r"\p{N}", numbers).replace(r"\s", spaces))
+
+
 class PairIndexBpe:
     """The merges of a byte-level BPE tokenizer file; ``encode`` and ``decode`` agree with the tokenizers library.
 
@@ -49,12 +71,19 @@ class PairIndexBpe:
         self.added = {x["content"]: x["id"] for x in tok["added_tokens"]}
         self.added_pattern = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.width = max(self.names) + 1
+        split = next((x for x in (tok.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"), None)
+        byte_level = [x["type"] for x in (tok.get("pre_tokenizer") or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]
+        self.quick = stable_pattern(split["pattern"]["Regex"]) if byte_level and split["behavior"] == "Removed" and split["invert"] else None
+        self.bytes = {i: c for i, c in enumerate(byte_symbols())}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks: dict[int, int] = {}
         self.merged: list[tuple[int, int, int]] = []
         for rank, (a, b) in enumerate(merges):
             self.merged.append((self.vocab[a], self.vocab[b], self.vocab[a + b]))
             self.ranks[self.vocab[a] * self.width + self.vocab[b]] = rank
+        keys = np.array(list(self.ranks), np.int64)
+        self.order = np.argsort(keys)
+        self.keys, self.key_ranks = keys[self.order], np.array(list(self.ranks.values()), np.int64)[self.order]
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text without added tokens, in the vocabulary's byte characters."""
@@ -62,6 +91,21 @@ class PairIndexBpe:
             text = self.normalizer.normalize_str(text)
         return [x for x, _ in self.splitter.pre_tokenize_str(text)] if self.splitter else [text]
 
+    def split_all(self, chunks: list[str]) -> list[list[str]]:
+        """``split`` of many texts without white space: normalized together, and split here where their characters allow it."""
+        normal = self.normalizer.normalize_str(" ".join(chunks)).split(" ") if self.normalizer else chunks
+        if not self.quick or len(normal) != len(chunks):
+            return [self.split(c) for c in chunks]
+        out, find, table = [], self.quick.findall, self.bytes
+        for chunk, text in zip(chunks, normal, strict=True):
+            if text.isascii():
+                out.append(find(text) if text.isprintable() else self.split(chunk))
+            elif text and max(text) < chr(STABLE) and text.isprintable():
+                out.append([w.encode().decode("latin-1").translate(table) for w in find(text)])
+            else:
+                out.append(self.split(chunk))
+        return out
+
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Token ids of each word."""
         words = list(dict.fromkeys(words))
@@ -82,9 +126,18 @@ class PairIndexBpe:
                 before.extend(range(start, len(sym) - 1))
         ranks, width, merged = self.ranks, self.width, self.merged
         places: dict[int, list[int]] = {}
-        for p, q in enumerate(after):
-            if q >= 0 and (rank := ranks.get(sym[p] * width + sym[q])) is not None:
-                places.setdefault(rank, []).append(p)
+        if sym:
+            flat, ends = np.array(sym, np.int64), np.array(after, np.int64)
+            at = np.flatnonzero(ends >= 0)
+            pair = flat[at] * width + flat[ends[at]]
+            spot = np.minimum(np.searchsorted(self.keys, pair), max(len(self.keys) - 1, 0))
+            known = self.keys[spot] == pair if len(self.keys) else np.zeros(len(pair), bool)
+            at, found_ranks = at[known], self.key_ranks[spot[known]] if len(self.keys) else spot[known]
+            by = np.argsort(found_ranks, kind="stable")
+            cuts = np.flatnonzero(np.diff(found_ranks[by])) + 1
+            for part in np.split(by, cuts):
+                if len(part):
+                    places[int(found_ranks[part[0]])] = at[part].tolist()
         active = list(places)
         heapq.heapify(active)
         while active:
@@ -172,22 +225,28 @@ class ChunkCache:
     def learn(self, docs: list[list[bytes]]) -> dict[bytes, tuple[str, str]]:
         """What each chunk of the documents gives; the unknown ones are encoded all at once."""
         self.chunks, unknown = _aged(self.chunks, set().union(*docs))
-        parts = {c: [x if isinstance(x, int) else self.bpe.split(x) for x in self.bpe.segments(c.decode("utf-8", "replace"))] for c in unknown}
-        self.words, new = _aged(self.words, {w for own in parts.values() for x in own if not isinstance(x, int) for w in x})
-        self.words[0].update(self.bpe.encode_words(new))
+        plain, special = [], []
+        for chunk in unknown:
+            text = chunk.decode("utf-8", "replace")
+            (special if self.bpe.added_pattern and self.bpe.added_pattern.search(text) else plain).append((chunk, text))
+        parts = dict(zip([c for c, _ in plain], self.bpe.split_all([t for _, t in plain]), strict=True))
+        mixed = {c: [x if isinstance(x, int) else self.bpe.split(x) for x in self.bpe.segments(t)] for c, t in special}
+        wanted = {w for own in parts.values() for w in own} | {w for own in mixed.values() for x in own if not isinstance(x, int) for w in x}
+        self.words, new = _aged(self.words, wanted)
+        for word, ids in self.bpe.encode_words(new).items():
+            self.words[0][word] = (" ".join(map(str, ids)), self.bpe.decode(ids))
         known = self.words[0]
         for chunk, own in parts.items():
-            ids: list[int] = []
-            for x in own:
-                if isinstance(x, int):
-                    ids.append(x)
-                else:
-                    for w in x:
-                        ids.extend(known[w])
-            self.chunks[0][chunk] = (" ".join(map(str, ids)), self.bpe.decode(ids))
+            self.chunks[0][chunk] = known[own[0]] if len(own) == 1 else _joined([known[w] for w in own])
+        for chunk, own in mixed.items():
+            self.chunks[0][chunk] = _joined([y for x in own for y in ([(str(x), self.bpe.decode([x]))] if isinstance(x, int) else [known[w] for w in x])])
         return self.chunks[0]
 
 
+def _joined(parts: list[tuple[str, str]]) -> tuple[str, str]:
+    return " ".join([a for a, _ in parts]), " ".join([b for _, b in parts])
+
+
 def _aged(held: tuple[dict, dict], wanted: set) -> tuple[tuple[dict, dict], set]:
     """The young and the old generation with everything of ``wanted`` that is known in the young one, and what is unknown."""
     young, old = held
