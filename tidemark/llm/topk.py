@@ -1,7 +1,7 @@
 """Exact top-k search by inner product with norm-bucketed retrieval.
 
-Candidates are sorted by length and cut into buckets. The bucket of the longest vectors gives every query a first threshold, the
-k-th best score there. In every other bucket a query's threshold, divided by its own and the bucket's greatest length, is a local
+Candidates are sorted by length and cut into buckets. The longest vectors (``BUCKET`` of them) give every query a first threshold,
+the k-th best score among them. In every bucket a query's threshold, divided by its own and the bucket's greatest length, is a local
 cosine threshold: above 1 the bucket is skipped; if it is high, candidates are pruned by coordinates (each of the query's largest
 coordinates bounds where a candidate's may lie), else by length. What is left is verified with exact integer products.
 
@@ -42,7 +42,7 @@ def integers(vector: Column, scale: float) -> Column:
 
 
 def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Consecutive rows (id, v) of a partition, longest first, as blocks: ``{name}_ids`` and ``{name}_rows`` (int64 matrix), ``longest``."""
+    """Consecutive rows (id, v) of a partition, longest first, as blocks: ``{name}_ids`` and ``{name}_rows`` (int64 matrix), ``longest`` and ``n``."""
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -54,7 +54,7 @@ def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
             for i, v in enumerate(vectors):
                 m[i, : len(v)] = v
             longest = float(np.sqrt((m.astype(float) ** 2).sum(1)).max())
-            out = pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([longest])], names=[f"{name}_ids", f"{name}_rows", "longest"])
+            out = pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([longest]), pa.array([len(ids)], pa.int64())], names=[f"{name}_ids", f"{name}_rows", "longest", "n"])
             ids.clear()
             vectors.clear()
             return out
@@ -68,7 +68,7 @@ def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
         if ids:
             yield block()
 
-    return rows.mapInArrow(task, f"{name}_ids binary, {name}_rows binary, longest double")
+    return rows.mapInArrow(task, f"{name}_ids binary, {name}_rows binary, longest double, n long")
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,15 +152,26 @@ def top_k(df: DataFrame, query: Column, k: int = 20, scale: float = 64.0, vec_id
     rows = df.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), integers(F.col(vector), scale).alias("v"), query.alias("asks")).where("v is not null")
     rows = rows.withColumn("length2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     buckets = materialize(packed(rows.repartitionByRange(F.desc("length2"), "id").sortWithinPartitions(F.desc("length2"), "id").select("id", "v"), BUCKET, "bucket"), "topk-buckets")
-    asked = materialize(packed(rows.where("asks").groupBy("id").agg(F.min("v").alias("v")), QUERIES, "query").drop("longest"), "topk-queries")
-    first = buckets.orderBy(F.desc("longest")).limit(1).select("bucket_ids", "bucket_rows").collect()  # one bucket of a bounded size
-    if not first:
+    asked = materialize(packed(rows.where("asks").groupBy("id").agg(F.min("v").alias("v")), QUERIES, "query").drop("longest", "n"), "topk-queries")
+    # the longest vectors, BUCKET of them or a bucket more: sizes first, then these buckets only
+    order, m, seen = [F.desc("longest"), "n"], 0, 0
+    for r in buckets.select("longest", "n").orderBy(*order).limit(BUCKET).collect():
+        if seen < BUCKET:
+            m, seen = m + 1, seen + r["n"]
+    if not m:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    first_ids, first_rows = bytes(first[0][0]), bytes(first[0][1])
+    top = [(np.frombuffer(bytes(r["bucket_ids"]), np.int64), bytes(r["bucket_rows"])) for r in buckets.orderBy(*order).limit(m).collect()]
+    width = max(len(rows_) // 8 // max(1, len(ids)) for ids, rows_ in top)
+    first_rows = np.zeros((sum(len(ids) for ids, _ in top), width), np.int64)
+    at = 0
+    for ids, raw in top:
+        own = np.frombuffer(raw, np.int64).reshape(len(ids), -1)
+        first_rows[at : at + len(ids), : own.shape[1]] = own
+        at += len(ids)
+    first_ids = np.concatenate([ids for ids, _ in top])
 
     def begin(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.frombuffer(first_ids, np.int64)
-        rows_ = np.frombuffer(first_rows, np.int64).reshape(len(ids), -1)
+        ids, rows_ = first_ids, first_rows
         for batch in parts:
             levels = []
             for q_ids, q_rows in zip(batch.column("query_ids").to_pylist(), batch.column("query_rows").to_pylist(), strict=True):
@@ -189,7 +200,7 @@ def top_k(df: DataFrame, query: Column, k: int = 20, scale: float = 64.0, vec_id
 
     # every block of queries meets every bucket; blocks, not rows, are combined
     n = 2 * df.sparkSession.sparkContext.defaultParallelism
-    met = buckets.drop("longest").repartition(n).join(blocks, F.lit(True))
+    met = buckets.drop("longest", "n").repartition(n).join(blocks, F.lit(True))
     found = met.mapInArrow(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
