@@ -35,9 +35,9 @@ def count_exonic(reads: DataFrame, windows: DataFrame, exons: DataFrame, width:
     """``name, exp, n, weight``: reads over each window; where a window spans several exons, those over one of its exons only.
 
     A window with one exon, or with two of which one's name ends in ``ext``, is contiguous and needs no second check. ``exons`` has
-    ``chr, start, end`` and the exon's ``exon`` name.
+    the window's ``name``, ``chr, start, end`` and the exon's own name ``exon``.
     """
-    inner = overlap_join(windows.select("name", "chr", "start", "end"), exons.select("chr", "start", "end", "exon"), width)
+    inner = overlap_join(windows.select("name", "chr", "start", "end"), exons.select("name", "chr", "start", "end", "exon"), width, keys=("chr", "name"))
     shape = inner.groupBy("name").agg(F.count("*").alias("k"), F.max(F.col("exon").endswith("ext")).alias("ext"))
     shape = shape.select("name", ((F.col("k") > 1) & ~((F.col("k") == 2) & F.col("ext"))).alias("split"))
     spans = windows.select("name", "chr", "start", "end").join(shape, "name", "left").withColumn("split", F.coalesce("split", F.lit(False)))

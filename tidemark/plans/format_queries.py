@@ -67,12 +67,12 @@ def significant_windows(spark, sf):
     return endseq.significant_windows(reads(spark, sf), references(spark), 3_600, 3_600, 1.5).withColumn("p", F.round("p", 8))
 
 
-@query("gene_count_matrix", f"""{W}, k AS (SELECT g.name, count(*) AS k FROM genes g JOIN exons e ON g.chr = e.chr AND g.start < e."end" AND e.start < g."end" GROUP BY g.name),
+@query("gene_count_matrix", f"""{W}, k AS (SELECT g.name, count(*) AS k FROM genes g JOIN exons e ON g.name = e.name AND g.start < e."end" AND e.start < g."end" GROUP BY g.name),
 h AS (SELECT DISTINCT g.name, r.name AS read, r.exp, r.nh FROM genes g LEFT JOIN k USING (name) JOIN reads r ON {OVER}
-  WHERE coalesce(k, 0) <= 1 OR EXISTS (SELECT 1 FROM exons e WHERE e.chr = g.chr AND e.start < g."end" AND g.start < e."end" AND greatest(e.start, g.start) < r."end" AND r.start < least(e."end", g."end"))),
+  WHERE coalesce(k, 0) <= 1 OR EXISTS (SELECT 1 FROM exons e WHERE e.name = g.name AND e.start < g."end" AND g.start < e."end" AND greatest(e.start, g.start) < r."end" AND r.start < least(e."end", g."end"))),
 m AS (SELECT name::VARCHAR AS row, exp AS col, sum(1.0 / nh) AS value FROM h GROUP BY ALL), t AS (SELECT col, sum(value) AS t FROM m GROUP BY col)
 SELECT row, m.col, round(value * (SELECT avg(t) FROM t) / t, 6) AS value FROM m JOIN t ON m.col = t.col""")
 def gene_count_matrix(spark, sf):
-    e = exons(spark, sf).select("chr", "start", "end", F.concat_ws(".", "name", "i").alias("exon"))
+    e = exons(spark, sf).select("name", "chr", "start", "end", F.concat_ws(".", "name", "i").alias("exon"))
     m = endseq.count_matrix(reads(spark, sf).select("name", "chr", "start", "end", "nh", "exp"), genes(spark, sf), e, WIDTH)
     return m.withColumn("value", F.round("value", 6))

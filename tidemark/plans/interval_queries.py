@@ -191,12 +191,12 @@ def interval_scalars(spark, sf):
     )
 
 
-@query("exonic_window_counts", f"""{W}, k AS (SELECT g.name, count(*) AS k FROM genes g JOIN exons e ON g.chr = e.chr AND g.start < e."end" AND e.start < g."end" GROUP BY g.name),
+@query("exonic_window_counts", f"""{W}, k AS (SELECT g.name, count(*) AS k FROM genes g JOIN exons e ON g.name = e.name AND g.start < e."end" AND e.start < g."end" GROUP BY g.name),
 h AS (SELECT DISTINCT g.name, r.name AS read, r.exp, r.nh FROM genes g LEFT JOIN k USING (name) JOIN reads r ON {OVER}
-  WHERE coalesce(k, 0) <= 1 OR EXISTS (SELECT 1 FROM exons e WHERE e.chr = g.chr AND e.start < g."end" AND g.start < e."end" AND greatest(e.start, g.start) < r."end" AND r.start < least(e."end", g."end")))
+  WHERE coalesce(k, 0) <= 1 OR EXISTS (SELECT 1 FROM exons e WHERE e.name = g.name AND e.start < g."end" AND g.start < e."end" AND greatest(e.start, g.start) < r."end" AND r.start < least(e."end", g."end")))
 SELECT name, exp, count(*) AS n, round(sum(1.0 / nh), 6) AS weight FROM h GROUP BY ALL""")
 def exonic_window_counts(spark, sf):
-    e = exons(spark, sf).select("chr", "start", "end", F.concat_ws(".", "name", "i").alias("exon"))
+    e = exons(spark, sf).select("name", "chr", "start", "end", F.concat_ws(".", "name", "i").alias("exon"))
     out = ct.count_exonic(reads(spark, sf).select("name", "chr", "start", "end", "nh", "exp"), genes(spark, sf), e, WIDTH)
     return out.withColumn("weight", F.round("weight", 6))
 
