@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated chunks of lines out of the texts; documents of which nothing is left go."""
+    """Cuts repeated passages of lines out of the texts; documents of which nothing is left go."""
     return with_length(linededup.dedup_lines(docs))
 
 

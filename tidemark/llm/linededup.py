@@ -1,9 +1,13 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over every pair of neighbouring lines.
 
-A rolling hash over the hashes of the last ``WINDOW`` lines chooses the ends of chunks, so a chunk's ends depend on its own lines and
-survive insertions elsewhere. A chunk has ``LEAST`` lines at least. Chunks are counted over all documents by a 128-bit digest; those
-met more than once are fetched and compared byte by byte; every occurrence of a chunk but the first (by doc_id, then by place) goes.
-Chunks with fewer than two lines that hold anything but white space are left alone.
+A passage is a line that holds anything but white space and the next such line, with the blank lines between them. All passages of
+all documents are counted by a 128-bit digest; those met more than once are fetched and compared byte by byte; the lines of every
+occurrence of a passage but the first (by doc_id, then by place) go. A repeated run of two or more lines goes whole, wherever it
+starts and ends, for all its passages are repeated. Within one text an occurrence that overlaps the first one stays. Blank lines
+after a removed line go with it, and those before it if nothing else is left; single lines are left alone. The first occurrence of a
+line never goes, so no line vanishes from the corpus.
+
+``chunks`` cuts a text at content-defined ends; comparing such chunks alone misses the passages that start or end within one.
 
 Defined results: a null text has no lines and stays null; an empty text is one empty line; long texts are processed whole; null ids
 come last; rows equal in id and text share their result, so a repeated row loses nothing to its twin; an empty table gives an
@@ -61,23 +65,29 @@ def counted(chunk: bytes) -> bool:
     return sum(1 for line in chunk.split(b"\n") if line.strip()) >= 2
 
 
+def passages(lines: list[bytes]) -> list[tuple[int, int]]:
+    """First line and end (exclusive) of each passage of two lines that hold anything but white space."""
+    solid = [i for i, line in enumerate(lines) if line.strip()]
+    return [(i, j + 1) for i, j in zip(solid, solid[1:], strict=False)]
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(F.col(text).cast("string")).alias("key"), F.col(text).cast("string").alias("text"))
 
 
-def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: ``ord, key, n_lines, sha`` of every row (ord the id, key the text's hash); ``ord, key, gone`` with the indexes
-    of the chunks to remove; and the texts ``ord, key, text`` of the rows that hold any repeated chunk."""
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: ``ord, key, n_lines, sha`` of every row (ord the id, key the text's hash); ``ord, key, gone`` with the first
+    lines of the passages to remove; and the texts ``ord, key, text`` of the rows that hold any repeated passage."""
     rows = _keyed(docs, doc_id, text)
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             n_lines, shas, found = [], [], []
             for raw in blobs(batch.column("text")):
-                own = chunks(raw)
-                n_lines.append(sum(n for _, n, _ in own))
+                lines = [] if raw is None else raw.split(b"\n")
+                n_lines.append(len(lines))
                 shas.append(hashlib.sha256(raw or b"").hexdigest())
-                found.append([{"i": i, "h": xxhash.xxh3_128_digest(c)} for i, (_, _, c) in enumerate(own) if counted(c)])
+                found.append([{"i": i, "h": xxhash.xxh3_128_digest(b"\n".join(lines[i:j]))} for i, j in passages(lines)])
             yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("key"), pa.array(n_lines, pa.int64()), pa.array(shas, pa.string()), pa.array(found, pa.list_(pa.struct([("i", pa.int32()), ("h", pa.binary())])))], names=["ord", "key", "n_lines", "sha", "found"])
 
     scanned = materialize(rows.mapInArrow(scan, "ord long, key long, n_lines long, sha string, found array<struct<i:int,h:binary>>"), "lines-scan")
@@ -90,36 +100,42 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for batch in parts:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for ord_, key, raw, wanted_ in zip(part.column("ord").to_pylist(), part.column("key").to_pylist(), blobs(part.column("text")), part.column("at").to_pylist(), strict=True):
-                    own = chunks(raw)
-                    for i in wanted_:
-                        for held, x in zip(out, (ord_, key, i, own[i][2]), strict=True):
-                            held.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["ord", "key", "i", "chunk"])
-
-    fetched = texts.mapInArrow(fetch, "ord long, key long, i int, chunk binary")
-    # grouping by the chunk itself compares its bytes; a repeated row's chunks fall together
-    places = materialize(fetched.select("ord", "key", "i", "chunk", F.xxhash64("chunk").alias("h")), "lines-places")
-    first = places.groupBy("h", "chunk").agg(F.min("ord").alias("f_ord"), F.count("*").alias("n")).where("n > 1")
-    later = places.join(first, ["h", "chunk"]).select("ord", "key", "i", "h", "chunk", "f_ord")
-    within = later.where("ord = f_ord").groupBy("h", "chunk").agg(F.min(F.struct("key", "i")).alias("f"))
-    same = later.where("ord = f_ord").join(within, ["h", "chunk"]).where(F.struct("key", "i") > F.col("f")).select("ord", "key", "i")
-    gone = later.where("ord > f_ord").select("ord", "key", "i").unionByName(same)
+                    lines, starts = raw.split(b"\n"), set(wanted_)
+                    for i, j in passages(lines):
+                        if i in starts:
+                            passage = b"\n".join(lines[i:j])
+                            for held, x in zip(out, (ord_, key, i, j - i, hashlib.sha256(passage).digest(), passage), strict=True):
+                                held.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["ord", "key", "i", "n", "s", "passage"])
+
+    places = materialize(texts.mapInArrow(fetch, "ord long, key long, i int, n int, s binary, passage binary"), "lines-places")
+    # grouping by the passage itself compares its bytes; a repeated row's passages fall together
+    first = places.groupBy("s", "passage").agg(F.min(F.struct("ord", "key", "i")).alias("f"), F.count("*").alias("met")).where("met > 1").select("s", "f")
+    later = places.select("ord", "key", "i", "n", "s").join(first, "s").where(F.struct("ord", "key", "i") > F.col("f"))
+    gone = later.where("not (ord = f.ord and key = f.key and i < f.i + n)")
     return scanned.drop("found"), gone.groupBy("ord", "key").agg(F.collect_set("i").alias("gone")), texts.select("ord", "key", "text")
 
 
 def cut(raw: bytes | None, gone: list[int] | None) -> tuple[bytes | None, int]:
-    """The text without the chunks, and the number of lines removed."""
+    """The text without the passages that start at the lines ``gone``, and the number of lines removed."""
     if raw is None or not gone:
         return raw, 0
-    own, drop = chunks(raw), set(gone)
-    return b"\n".join(c for i, (_, _, c) in enumerate(own) if i not in drop), sum(n for i, (_, n, _) in enumerate(own) if i in drop)
+    lines, starts = raw.split(b"\n"), set(gone)
+    drop = {k for i, j in passages(lines) if i in starts for k in range(i, j)}
+    for i, line in enumerate(lines):
+        if not line.strip() and i - 1 in drop:
+            drop.add(i)
+    left = [line for i, line in enumerate(lines) if i not in drop]
+    if not any(line.strip() for line in left):
+        left = []
+    return b"\n".join(left), len(lines) - len(left)
 
 
 def dedup_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` for every row: lines, lines removed and the digest of the text that is left."""
-    scanned, gone, texts = repeated_chunks(docs, doc_id, text)
+    scanned, gone, texts = repeated_passages(docs, doc_id, text)
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -132,8 +148,8 @@ def dedup_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", drop_emptied: bool = True) -> DataFrame:
-    """All rows and columns with the repeated chunks cut out of the text; rows that lose every line go if ``drop_emptied``."""
-    _, gone, _ = repeated_chunks(docs, doc_id, text)
+    """All rows and columns with the repeated passages cut out of the text; rows that lose every line go if ``drop_emptied``."""
+    _, gone, _ = repeated_passages(docs, doc_id, text)
     a, b, g, at = (free_name(docs, x) for x in ("ord", "key", "gone", "cut"))
     rows = docs.withColumns({a: F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), b: F.xxhash64(F.col(text).cast("string"))})
     rows = rows.join(gone.withColumnsRenamed({"ord": a, "key": b, "gone": g}), [a, b], "left").drop(a, b)

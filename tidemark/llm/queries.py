@@ -32,7 +32,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document and what is left when repeated chunks of lines are removed."""
+    """Lines of every document and what is left when repeated passages of lines are removed."""
     from .linededup import dedup_digest
 
     return dedup_digest(table(spark, sf_dir, "documents"))
