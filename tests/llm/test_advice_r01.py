@@ -2,7 +2,9 @@
 
 import random
 
-from tidemark.llm import linededup
+from pyspark.sql import functions as F
+
+from tidemark.llm import langid, linededup
 
 
 def test_every_repeated_run_of_lines_goes(spark):
@@ -34,3 +36,15 @@ def test_lines_of_the_first_occurrence_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df, drop_emptied=False).collect()}
     assert got == {1: "a\na\na", 2: "b\nc\n\nd", 3: "", 4: "x", 5: "c\nb"}
+
+
+def test_copies_do_not_crowd_the_language_sample(spark):
+    """A text of 6000 copies whose hash lies in the sample's share, beside other languages."""
+    texts = spark.range(3000).select(F.concat(F.lit("common text "), "id").alias("t"))
+    common = texts.orderBy(F.pmod(F.xxhash64("t"), F.lit(1_000_000_000))).first()["t"]
+    rows = [(common, "aa")] * 6000 + [(f"{lang} words {i} {'xyz'[k]}", lang) for k, lang in enumerate(("aa", "bb", "cc")) for i in range(300)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    vectors, langs = langid.sample(df, "text", "lang", 250, 64)
+    assert {x: langs.count(x) for x in set(langs)} == {"aa": 301, "bb": 300, "cc": 300}
+    held = langid.features(common).astype("float16").tobytes()
+    assert [v.astype("float16").tobytes() for v in vectors].count(held) == 1

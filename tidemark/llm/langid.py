@@ -4,7 +4,8 @@ Every language has a codeword. One binary classifier a bit, fitted on hashed cha
 decoding adds up each language's loss over the bits, weighted by how far each classifier is to be trusted, and the language with
 the least loss wins. A text whose two best languages are close is flagged ``ambiguous``.
 
-Fitted on a bounded sample: ``per_language`` documents of each of at most ``max_languages`` languages, chosen by a hash of the text.
+Fitted on a bounded sample: about ``per_language`` distinct texts of each of at most ``max_languages`` languages, the
+choice made by a hash of the text within each language; copies of a text count once and cannot push out another language.
 Predictions use the text alone, and all of it.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; without any labelled text everything is ``und``;
@@ -26,6 +27,8 @@ DIM = 2048
 PER_LANGUAGE = 250
 MAX_LANGUAGES = 64
 RIDGE = 1e-3
+#: Values of the texts' hash by which the sample is chosen.
+SLOTS = 1_000_000_000
 #: Score difference of the two best languages below which a text is ambiguous.
 MARGIN = 0.05
 
@@ -103,23 +106,27 @@ def fit(vectors: np.ndarray, langs: list[str]) -> Model:
 def sample(df: DataFrame, text: str, lang: str, per_language: int, max_languages: int) -> tuple[list[np.ndarray], list[str]]:
     """Feature vectors and languages of the bounded sample; what comes to the driver has a fixed size at most."""
     rows = df.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    # copies of a text count once, so that no group of them fills a language's share; texts of ASCII digits and signs alone have no letters
+    hashed = rows.where(F.col("text").rlike(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]")).withColumns({"x": F.xxhash64("text"), "h": F.pmod(F.xxhash64("text"), F.lit(SLOTS))})
+    counts = hashed.select("lang", "x").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not counts:
         return [], []
-    share = None
-    for r in counts:  # a little over what is wanted, by the text's hash, so that no sort is needed
-        most = min(1.0, (per_language + 4 * per_language**0.5 + 16) / r["n"])
-        share = (F.when if share is None else share.when)(F.col("lang") == r["lang"], F.lit(int(most * 1_000_000_000)))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000_000)) < share)
+    # a little over what is wanted, by the text's hash, so that no sort is needed
+    shares = [(r["lang"], int(min(1.0, (per_language + 4 * per_language**0.5 + 16) / r["n"]) * SLOTS)) for r in counts]
+    shares_df = df.sparkSession.createDataFrame(shares, "lang string, share long")
+    chosen = hashed.join(F.broadcast(shares_df), "lang").where("h < share").groupBy("lang", "h", "x").agg(F.min("text").alias("text"))
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for t, lang_ in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
+            for lang_, h, x, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "h", "x")), batch.column("text"), strict=True):
                 if (v := features(t.as_py())) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang_]), pa.array([v.astype(np.float16).tobytes()], pa.binary())], names=["lang", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang_]), pa.array([h], pa.int64()), pa.array([x], pa.int64()), pa.array([v.astype(np.float16).tobytes()], pa.binary())], names=["lang", "h", "x", "v"])
 
-    limit = sum(int(per_language + 8 * per_language**0.5 + 64) for _ in counts)
-    found = chosen.mapInArrow(task, "lang string, v binary").limit(limit).collect()
+    most = int(per_language + 8 * per_language**0.5 + 64)
+    by: dict[str, list] = {}
+    for r in chosen.mapInArrow(task, "lang string, h long, x long, v binary").collect():
+        by.setdefault(r["lang"], []).append(r)
+    found = [r for rows_ in by.values() for r in sorted(rows_, key=lambda r: (r["h"], r["x"]))[:most]]
     found.sort(key=lambda r: (r["lang"], bytes(r["v"])))
     return [np.frombuffer(r["v"], np.float16).astype(np.float32) for r in found], [r["lang"] for r in found]
 
