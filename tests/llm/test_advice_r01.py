@@ -2,9 +2,10 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, linededup
+from tidemark.llm import decontam, langid, linededup, oracles
 
 
 def test_every_repeated_run_of_lines_goes(spark):
@@ -48,3 +49,21 @@ def test_copies_do_not_crowd_the_language_sample(spark):
     assert {x: langs.count(x) for x in set(langs)} == {"aa": 301, "bb": 300, "cc": 300}
     held = langid.features(common).astype("float16").tobytes()
     assert [v.astype("float16").tobytes() for v in vectors].count(held) == 1
+
+
+def test_items_without_an_id_hit_words(spark, tmp_path):
+    """Against the registered SQL, whole windows and items shorter than one."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    spark.createDataFrame([(1, f"a {passage} b"), (2, "x one two y five six"), (3, None), (4, "clean words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    spark.createDataFrame([(None, passage), (None, "One two"), (7, "five SIX"), (8, None), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark")
+    docs, items = (spark.read.parquet(f"{tmp_path}/{t}") for t in ("documents", "benchmark"))
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}/*.parquet'")
+    want = sorted(db.execute(f"SELECT {', '.join(names)} FROM ({oracles.SQL['op4_decontamination']})").fetchall())
+    for limit in (1 << 20, len(passage)):
+        found = decontam.contamination(docs, items, keep=["doc_id"], limit=limit)
+        assert sorted(tuple(r[c] for c in names) for r in found.collect()) == want
+    assert [(r[0], r[2], r[3]) for r in want] == [(1, 12, 0), (2, 4, 1), (3, 0, 0), (4, 0, 0)]
+    assert [r["doc_id"] for r in decontam.clean_documents(docs, items).orderBy("doc_id").collect()] == [3, 4]

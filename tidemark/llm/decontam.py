@@ -9,7 +9,7 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. A
 item with fewer words, but not none, is one window.
 
 Defined results: null and empty texts have no words and nothing is hit; items without words match nothing; items that repeat an id
-count once; long texts are processed whole; repeated rows give repeated results; an empty table of either kind gives no hits;
+count once; items without an id hit words like any other, but are left out of ``n_items``, ``items`` and ``items_sha256``; long texts are processed whole; repeated rows give repeated results; an empty table of either kind gives no hits;
 further columns are left out. A benchmark of any size is served, in blocks of bounded size with one pass over the documents each.
 """
 
@@ -42,13 +42,13 @@ class TestSuffixes:
     starts: np.ndarray  # of the suffixes: positions in text
     items: np.ndarray  # index of each suffix's item
     needed: np.ndarray  # words of the window that starts there; 0 if none does
-    ids: list[str]
+    ids: list[str | None]
     longest: int
     heads: frozenset[int]  # first words of items shorter than a window
     shortest: int
 
 
-def prepare(items: list[tuple[str, bytes]], window: int) -> TestSuffixes:
+def prepare(items: list[tuple[str | None, bytes]], window: int) -> TestSuffixes:
     numbers: dict[bytes, int] = {}
     text: list[int] = []
     starts, owners, needed, heads, shortest = [], [], [], set(), window
@@ -202,10 +202,10 @@ def scan(texts: list[bytes | None], test: TestSuffixes, window: int) -> list[tup
     return [(counts[d], hits[d].tolist(), items[d], matches[d]) for d in range(len(texts))]
 
 
-def read_items(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str, bytes]]]:
+def read_items(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items in blocks of at most ``limit`` bytes, each on the driver at a time. Items cannot be split, so one longer than that is refused."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").cast("binary").alias("t")).where("i is not null and t is not null").distinct()
-    held: list[tuple[str, bytes]] = []
+    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").cast("binary").alias("t")).where("t is not null").distinct()
+    held: list[tuple[str | None, bytes]] = []
     size = 0
     for r in rows.orderBy("i", "t").toLocalIterator():
         raw = bytes(r["t"])
@@ -252,7 +252,7 @@ def _look_through(docs: DataFrame, test: TestSuffixes, window: int, n_keep: int,
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 found = scan(blobs(part.column(place)), test, window)
-                hit, items = [x[1] for x in found], [sorted({test.ids[i] for i in x[2]}) for x in found]
+                hit, items = [x[1] for x in found], [sorted({test.ids[i] for i in x[2]} - {None}) for x in found]
                 matches = [[{"item": test.ids[i], "item_word": a, "doc_word": b, "length": n} for i, a, b, n in x[3]] for x in found]
                 if not first:
                     hit = [sorted({*a, *b}) for a, b in zip(hit, part.column("hit").to_pylist(), strict=True)]
