@@ -45,7 +45,7 @@ def test_copies_do_not_crowd_the_language_sample(spark):
     common = texts.orderBy(F.pmod(F.xxhash64("t"), F.lit(1_000_000_000))).first()["t"]
     rows = [(common, "aa")] * 6000 + [(f"{lang} words {i} {'xyz'[k]}", lang) for k, lang in enumerate(("aa", "bb", "cc")) for i in range(300)]
     df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
-    vectors, langs = langid.sample(df, "text", "lang", 250, 64)
+    vectors, langs = langid.sample(df, "text", "lang", 250)
     assert {x: langs.count(x) for x in set(langs)} == {"aa": 301, "bb": 300, "cc": 300}
     held = langid.features(common).astype("float16").tobytes()
     assert [v.astype("float16").tobytes() for v in vectors].count(held) == 1
@@ -67,3 +67,14 @@ def test_items_without_an_id_hit_words(spark, tmp_path):
         assert sorted(tuple(r[c] for c in names) for r in found.collect()) == want
     assert [(r[0], r[2], r[3]) for r in want] == [(1, 12, 0), (2, 4, 1), (3, 0, 0), (4, 0, 0)]
     assert [r["doc_id"] for r in decontam.clean_documents(docs, items).orderBy("doc_id").collect()] == [3, 4]
+
+
+def test_every_label_is_learned(spark):
+    rng = random.Random(5)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for k in range(80)}
+    rows = [(" ".join(rng.choice(w) for _ in range(12)), lang) for lang, w in words.items() for _ in range(20)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.learn(df)
+    assert model.languages == sorted(words)
+    got = langid.predict(df, model, keep=["lang"]).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.95 * len(rows)

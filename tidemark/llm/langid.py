@@ -4,8 +4,8 @@ Every language has a codeword. One binary classifier a bit, fitted on hashed cha
 decoding adds up each language's loss over the bits, weighted by how far each classifier is to be trusted, and the language with
 the least loss wins. A text whose two best languages are close is flagged ``ambiguous``.
 
-Fitted on a bounded sample: about ``per_language`` distinct texts of each of at most ``max_languages`` languages, the
-choice made by a hash of the text within each language; copies of a text count once and cannot push out another language.
+Fitted on a bounded sample: about ``per_language`` distinct texts of every language (fewer of each, but ``FEWEST`` at least,
+where all would be more than ``SAMPLE``), the choice made by a hash of the text within each language; copies of a text count once and cannot push out another language.
 Predictions use the text alone, and all of it.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; without any labelled text everything is ``und``;
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 #: Buckets of hashed n-grams.
 DIM = 2048
 PER_LANGUAGE = 250
-MAX_LANGUAGES = 64
+#: Texts that the whole sample may hold, and the fewest wanted of a language even so.
+SAMPLE = 16_000
+FEWEST = 16
 RIDGE = 1e-3
 #: Values of the texts' hash by which the sample is chosen.
 SLOTS = 1_000_000_000
@@ -67,8 +69,9 @@ def codewords(n: int) -> np.ndarray:
         bits = [[1 if i == 0 else 1 - 2 * (k >> (i - 1) & 1) for i in range(n)] for k in range(1, 1 << (n - 1))] or [[1] * n]
         return np.array(bits, float).T
     rng, width = np.random.default_rng(7), 6 * int(np.ceil(np.log2(n)))
-    draws = [np.where(rng.permuted(np.tile(np.arange(n)[:, None], width), axis=0) < n // 2, 1.0, -1.0) for _ in range(200)]
-    apart = lambda m: (m.shape[1] - (m @ m.T - 2 * m.shape[1] * np.eye(n)).max()) / 2
+    draws = (np.where(rng.permuted(np.tile(np.arange(n)[:, None], width), axis=0) < n // 2, 1.0, -1.0) for _ in range(200))
+    near = lambda m, at: (m[at : at + 512] @ m.T - 2 * width * np.eye(min(512, n - at), n, at)).max()
+    apart = lambda m: (width - max(near(m, at) for at in range(0, n, 512))) / 2
     return max(draws, key=apart)
 
 
@@ -83,7 +86,8 @@ class Model:
     def scores(self, vectors: np.ndarray) -> np.ndarray:
         """For each vector, the languages' shares (they add up to 1): soft minima of the weighted hinge losses."""
         out = np.clip(vectors @ self.weights + self.bias, -1.5, 1.5)
-        losses = np.maximum(0, 1 - out[:, None, :] * self.codes[None]) @ self.trust / self.trust.sum()
+        plus = self.codes > 0
+        losses = (np.maximum(0, 1 - out) * self.trust @ plus.T + np.maximum(0, 1 + out) * self.trust @ ~plus.T) / self.trust.sum()
         power = np.exp(-6 * (losses - losses.min(1, keepdims=True)))
         return power / power.sum(1, keepdims=True)
 
@@ -92,25 +96,35 @@ def fit(vectors: np.ndarray, langs: list[str]) -> Model:
     """One ridge classifier a bit; a bit's trust is its rate of hits beyond chance when each row is left out (at least 0.05)."""
     languages = sorted(set(langs))
     codes = codewords(len(languages))
-    target = codes[[languages.index(x) for x in langs]]
-    x = np.hstack([vectors, np.ones((len(vectors), 1))]).astype(float)
-    kernel = x @ x.T
-    inverse = np.linalg.inv(kernel + RIDGE * len(x) * np.eye(len(x)))
-    alpha = inverse @ target
-    held = target - alpha / np.diag(inverse)[:, None]  # leave-one-out predictions
-    weights = x.T @ alpha
-    trust = np.maximum(0.05, 2 * (np.sign(held) == target).mean(0) - 1)
+    place = {x: i for i, x in enumerate(languages)}
+    owner = np.array([place[x] for x in langs])
+    n, step = len(langs), 2048
+    gram, right = RIDGE * n * np.eye(vectors.shape[1] + 1), np.zeros((vectors.shape[1] + 1, codes.shape[1]))
+    with_one = lambda at: np.hstack([vectors[at : at + step], np.ones((len(vectors[at : at + step]), 1))]).astype(float)
+    for at in range(0, n, step):
+        x = with_one(at)
+        gram += x.T @ x
+        right += x.T @ codes[owner[at : at + step]]
+    inverse = np.linalg.inv(gram)
+    weights = inverse @ right
+    hits = np.zeros(codes.shape[1])
+    for at in range(0, n, step):
+        x, target = with_one(at), codes[owner[at : at + step]]
+        held = target - (target - x @ weights) / (1 - ((x @ inverse) * x).sum(1))[:, None]  # leave-one-out predictions
+        hits += (np.sign(held) == target).sum(0)
+    trust = np.maximum(0.05, 2 * hits / n - 1)
     return Model(languages, codes, weights[:-1].astype(np.float32), weights[-1].astype(np.float32), trust)
 
 
-def sample(df: DataFrame, text: str, lang: str, per_language: int, max_languages: int) -> tuple[list[np.ndarray], list[str]]:
-    """Feature vectors and languages of the bounded sample; what comes to the driver has a fixed size at most."""
+def sample(df: DataFrame, text: str, lang: str, per_language: int) -> tuple[list[np.ndarray], list[str]]:
+    """Feature vectors and languages of the sample; what comes to the driver grows with the number of languages only."""
     rows = df.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
     # copies of a text count once, so that no group of them fills a language's share; texts of ASCII digits and signs alone have no letters
     hashed = rows.where(F.col("text").rlike(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]")).withColumns({"x": F.xxhash64("text"), "h": F.pmod(F.xxhash64("text"), F.lit(SLOTS))})
-    counts = hashed.select("lang", "x").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = hashed.select("lang", "x").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not counts:
         return [], []
+    per_language = min(per_language, max(FEWEST, SAMPLE // len(counts)))
     # a little over what is wanted, by the text's hash, so that no sort is needed
     shares = [(r["lang"], int(min(1.0, (per_language + 4 * per_language**0.5 + 16) / r["n"]) * SLOTS)) for r in counts]
     shares_df = df.sparkSession.createDataFrame(shares, "lang string, share long")
@@ -131,8 +145,8 @@ def sample(df: DataFrame, text: str, lang: str, per_language: int, max_languages
     return [np.frombuffer(r["v"], np.float16).astype(np.float32) for r in found], [r["lang"] for r in found]
 
 
-def learn(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model | None:
-    vectors, langs = sample(df, text, lang, per_language, max_languages)
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
+    vectors, langs = sample(df, text, lang, per_language)
     return fit(np.array(vectors), langs) if vectors else None
 
 
