@@ -68,15 +68,15 @@ def unmasked_lengths(lengths: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def tree_levels(edges: DataFrame, root, depth: int = 64) -> DataFrame:
-    """``node, level`` of a tree (parent, child) under ``root``: one join a level, each on the new nodes only."""
+    """``node, level`` of a tree (parent, child) under ``root``: one join a level, each on the new nodes only. More than ``depth`` levels are an error."""
     level = edges.sparkSession.createDataFrame([(root,)], "node " + dict(edges.dtypes)["child"])
     out = level.withColumn("level", F.lit(0))
-    for k in range(1, depth + 1):
+    for k in range(1, depth + 2):
         level = edges.join(level, edges["parent"] == level["node"]).select(F.col("child").alias("node"))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level.withColumn("level", F.lit(k)))
-    return out
+    raise ValueError(f"there are nodes below level {depth}")
 
 
 def all_paths(edges: DataFrame, depth: int) -> DataFrame:
