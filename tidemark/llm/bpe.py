@@ -26,11 +26,14 @@ from tokenizers import Tokenizer
 
 from .common import blobs, check_side_data
 
-#: Documents whose unknown words are encoded together.
-GROUP_DOCS = 512
-#: Chunks that one generation of a worker's cache may hold; there are two generations.
-GENERATION = 250_000
-
+#: Bytes of text whose unknown words are encoded together (one longer text makes a group of its own).
+GROUP_BYTES = 1 << 20
+#: Bytes that one generation of a task's cache may hold; there are two generations of chunks and two of words.
+GENERATION_BYTES = 24 << 20
+#: What an entry takes beside its key's and its value's own bytes: two object heads and a place in the table.
+ENTRY_BYTES = 112
+#: White space of any Unicode version: a chunk with one of these may normalize to none, or to several, words.
+BLANK = re.compile("[\\s\u180e\u200b\u2060\ufeff]")
 
 #: Below this code point, character classes are the same in all Unicode versions in use.
 STABLE = 0x250
@@ -63,6 +66,8 @@ class PairIndexBpe:
         model = tok["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or tok.get("decoder"):
             raise ValueError("only plain BPE models without a decoder are supported")
+        if any(x.get(k) for x in tok["added_tokens"] for k in ("normalized", "lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that are normalized, strip their neighbours or match whole words only are not supported")
         library = Tokenizer.from_str(spec)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.vocab: dict[str, int] = model["vocab"]
@@ -75,12 +80,23 @@ class PairIndexBpe:
         byte_level = [x["type"] for x in (tok.get("pre_tokenizer") or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]
         self.quick = stable_pattern(split["pattern"]["Regex"]) if byte_level and split["behavior"] == "Removed" and split["invert"] else None
         self.bytes = {i: c for i, c in enumerate(byte_symbols())}
+        steps = tok.get("normalizer") or {"type": "Sequence", "normalizers": []}
+        steps = steps.get("normalizers", [steps])
+        # each of these leaves a blank between two words alone and looks at nothing beyond it
+        self.apart = all(x["type"] in ("NFC", "Lowercase") or x == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for x in steps)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks: dict[int, int] = {}
         self.merged: list[tuple[int, int, int]] = []
         for rank, (a, b) in enumerate(merges):
             self.merged.append((self.vocab[a], self.vocab[b], self.vocab[a + b]))
             self.ranks[self.vocab[a] * self.width + self.vocab[b]] = rank
+        # the symbols of characters within a word and at its end
+        self.inner, self.outer = np.full(0x110000, -1, np.int64), np.full(0x110000, -1, np.int64)
+        for token, i in self.vocab.items():
+            if len(token) == 1:
+                self.inner[ord(token)] = i
+            if len(token) == 1 + len(self.suffix) and token.endswith(self.suffix):
+                self.outer[ord(token[0])] = i
         keys = np.array(list(self.ranks), np.int64)
         self.order = np.argsort(keys)
         self.keys, self.key_ranks = keys[self.order], np.array(list(self.ranks.values()), np.int64)[self.order]
@@ -92,12 +108,21 @@ class PairIndexBpe:
         return [x for x, _ in self.splitter.pre_tokenize_str(text)] if self.splitter else [text]
 
     def split_all(self, chunks: list[str]) -> list[list[str]]:
-        """``split`` of many texts without white space: normalized together, and split here where their characters allow it."""
-        normal = self.normalizer.normalize_str(" ".join(chunks)).split(" ") if self.normalizer else chunks
-        if not self.quick or len(normal) != len(chunks):
+        """``split`` of many texts without ASCII white space: those without any other white space are normalized together, and split
+        here where their characters allow it."""
+        if not self.quick or not self.apart:
             return [self.split(c) for c in chunks]
+        together = [c for c in chunks if not BLANK.search(c)] if BLANK.search("".join(chunks)) else chunks
+        normal = self.normalizer.normalize_str(" ".join(together)).split(" ") if self.normalizer and together else together
+        if len(normal) != len(together):
+            raise AssertionError("the normalizer moved a boundary between words")
         out, find, table = [], self.quick.findall, self.bytes
-        for chunk, text in zip(chunks, normal, strict=True):
+        texts = iter(normal)
+        for chunk in chunks:
+            if together is not chunks and BLANK.search(chunk):
+                out.append(self.split(chunk))
+                continue
+            text = next(texts)
             if text.isascii():
                 out.append(find(text) if text.isprintable() else self.split(chunk))
             elif text and max(text) < chr(STABLE) and text.isprintable():
@@ -108,36 +133,33 @@ class PairIndexBpe:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Token ids of each word."""
-        words = list(dict.fromkeys(words))
-        vocab = self.vocab
-        sym: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts: list[int] = []
-        for word in words:
-            start = len(sym)
-            starts.append(start)
-            sym.extend(map(vocab.__getitem__, word))
-            if word:
-                sym[-1] = vocab[word[-1] + self.suffix]
-                after.extend(range(start + 1, len(sym)))
-                after.append(-1)
-                before.append(-1)
-                before.extend(range(start, len(sym) - 1))
-        ranks, width, merged = self.ranks, self.width, self.merged
+        words = [w for w in dict.fromkeys(words) if w]
+        if not words:
+            return {"": []}
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        starts = np.concatenate([[0], ends[:-1]])
+        flat = self.inner[codes]
+        flat[ends - 1] = self.outer[codes[ends - 1]]
+        if (flat < 0).any():
+            raise KeyError(chr(codes[np.flatnonzero(flat < 0)[0]]))
+        place = np.arange(len(flat))
+        last, first = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+        last[ends - 1] = first[starts] = True
+        sym, after, before = flat.tolist(), np.where(last, -1, place + 1).tolist(), np.where(first, -1, place - 1).tolist()
+        rank_of, width, merged = self.ranks.get, self.width, self.merged
         places: dict[int, list[int]] = {}
-        if sym:
-            flat, ends = np.array(sym, np.int64), np.array(after, np.int64)
-            at = np.flatnonzero(ends >= 0)
-            pair = flat[at] * width + flat[ends[at]]
-            spot = np.minimum(np.searchsorted(self.keys, pair), max(len(self.keys) - 1, 0))
-            known = self.keys[spot] == pair if len(self.keys) else np.zeros(len(pair), bool)
-            at, found_ranks = at[known], self.key_ranks[spot[known]] if len(self.keys) else spot[known]
+        at = np.flatnonzero(~last)
+        if len(at) and len(self.keys):
+            pair = flat[at] * width + flat[at + 1]
+            spot = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+            known = self.keys[spot] == pair
+            at, found_ranks = at[known], self.key_ranks[spot[known]]
             by = np.argsort(found_ranks, kind="stable")
-            cuts = np.flatnonzero(np.diff(found_ranks[by])) + 1
-            for part in np.split(by, cuts):
-                if len(part):
-                    places[int(found_ranks[part[0]])] = at[part].tolist()
+            ordered, lists = found_ranks[by], at[by].tolist()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1, [len(by)]]).tolist()
+            if lists:
+                places = {int(ordered[i]): lists[i:j] for i, j in zip(edges, edges[1:], strict=False)}
         active = list(places)
         heapq.heapify(active)
         while active:
@@ -151,36 +173,37 @@ class PairIndexBpe:
                     continue
                 sym[p], sym[q] = new, -1
                 r = after[p] = after[q]
-                lowest = rank
+                sooner = False
                 if r >= 0:
                     before[r] = p
-                    if (x := ranks.get(new * width + sym[r])) is not None:
-                        if x not in places:
-                            places[x] = []
+                    x = rank_of(new * width + sym[r])
+                    if x is not None:
+                        if x in places:
+                            places[x].append(p)
+                        else:
+                            places[x] = [p]
                             heapq.heappush(active, x)
-                        places[x].append(p)
-                        lowest = min(lowest, x)
+                        sooner = x < rank
                 o = before[p]
-                if o >= 0 and (x := ranks.get(sym[o] * width + new)) is not None:
-                    if x not in places:
-                        places[x] = []
-                        heapq.heappush(active, x)
-                    places[x].append(o)
-                    lowest = min(lowest, x)
-                if lowest < rank and k + 1 < len(found):  # a merge list out of order: the new pair goes first
+                if o >= 0:
+                    x = rank_of(sym[o] * width + new)
+                    if x is not None:
+                        if x in places:
+                            places[x].append(o)
+                        else:
+                            places[x] = [o]
+                            heapq.heappush(active, x)
+                        sooner = sooner or x < rank
+                if sooner and k + 1 < len(found):  # a merge list out of order: the new pair goes first
                     if rank not in places:
                         places[rank] = []
                         heapq.heappush(active, rank)
                     places[rank].extend(found[k + 1 :])
                     break
-        out = {}
-        for word, start in zip(words, starts, strict=True):
-            ids, p = [], start if word else -1
-            while p >= 0:
-                ids.append(sym[p])
-                p = after[p]
-            out[word] = ids
-        return out
+        flat = np.array(sym)
+        left = flat >= 0
+        ids, ends = flat[left].tolist(), np.cumsum(np.add.reduceat(left, starts)).tolist()
+        return {"": []} | {word: ids[i:j] for word, i, j in zip(words, [0, *ends], ends, strict=False)}
 
     def segments(self, text: str) -> Iterator[str | int]:
         """Ids of added tokens, and the texts between them."""
@@ -211,55 +234,75 @@ class PairIndexBpe:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
+class Generations:
+    """bytes or str -> bytes in two generations: what is asked for moves to the young one, and the old one goes when the young one
+    holds ``GENERATION_BYTES``."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+        self.size = 0
+
+    def missing(self, wanted: set) -> set:
+        """Those of ``wanted`` that are not known; the others are in the young generation afterwards."""
+        if self.size > GENERATION_BYTES:
+            self.young, self.old, self.size = {}, self.young, 0
+        out = wanted - self.young.keys()
+        found = out & self.old.keys()
+        old = self.old
+        self.put([(x, old[x]) for x in found])
+        return out - found
+
+    def put(self, pairs: list[tuple]) -> None:
+        self.young.update(pairs)
+        self.size += sum([len(k) + len(v) for k, v in pairs]) + ENTRY_BYTES * len(pairs)
+
+
 class ChunkCache:
-    """What each chunk between ASCII white space gives: its ids as decimals and its decoded text.
+    """What each chunk between ASCII white space gives: its ids as decimals, a line feed and its decoded text; nothing if it has no tokens.
 
     Neither normalization nor splitting looks across white space, so texts are put together from their chunks.
     """
 
     def __init__(self, bpe: PairIndexBpe) -> None:
         self.bpe = bpe
-        self.words: tuple[dict, dict] = ({}, {})
-        self.chunks: tuple[dict, dict] = ({}, {})
+        self.words, self.chunks = Generations(), Generations()
+        top = max(bpe.names) + 1
+        self.numbers = [b"%d" % i for i in range(top)]
+        self.tokens = [bpe.names.get(i, "").encode() for i in range(top)]
 
-    def learn(self, docs: list[list[bytes]]) -> dict[bytes, tuple[str, str]]:
+    def value(self, ids: list[int]) -> bytes:
+        return b" ".join([self.numbers[i] for i in ids]) + b"\n" + b" ".join([self.tokens[i] for i in ids]) if ids else b""
+
+    def learn(self, docs: list[list[bytes]]) -> dict[bytes, bytes]:
         """What each chunk of the documents gives; the unknown ones are encoded all at once."""
-        self.chunks, unknown = _aged(self.chunks, set().union(*docs))
-        plain, special = [], []
-        for chunk in unknown:
-            text = chunk.decode("utf-8", "replace")
-            (special if self.bpe.added_pattern and self.bpe.added_pattern.search(text) else plain).append((chunk, text))
-        parts = dict(zip([c for c, _ in plain], self.bpe.split_all([t for _, t in plain]), strict=True))
-        mixed = {c: [x if isinstance(x, int) else self.bpe.split(x) for x in self.bpe.segments(t)] for c, t in special}
-        wanted = {w for own in parts.values() for w in own} | {w for own in mixed.values() for x in own if not isinstance(x, int) for w in x}
-        self.words, new = _aged(self.words, wanted)
-        for word, ids in self.bpe.encode_words(new).items():
-            self.words[0][word] = (" ".join(map(str, ids)), self.bpe.decode(ids))
-        known = self.words[0]
-        for chunk, own in parts.items():
-            self.chunks[0][chunk] = known[own[0]] if len(own) == 1 else _joined([known[w] for w in own])
-        for chunk, own in mixed.items():
-            self.chunks[0][chunk] = _joined([y for x in own for y in ([(str(x), self.bpe.decode([x]))] if isinstance(x, int) else [known[w] for w in x])])
-        return self.chunks[0]
-
-
-def _joined(parts: list[tuple[str, str]]) -> tuple[str, str]:
-    return " ".join([a for a, _ in parts]), " ".join([b for _, b in parts])
-
-
-def _aged(held: tuple[dict, dict], wanted: set) -> tuple[tuple[dict, dict], set]:
-    """The young and the old generation with everything of ``wanted`` that is known in the young one, and what is unknown."""
-    young, old = held
-    if len(young) > GENERATION:
-        young, old = {}, young
-    missing = wanted - young.keys()
-    found = missing & old.keys()
-    young.update((x, old[x]) for x in found)
-    return (young, old), missing - found
-
-
-#: The caches of this worker, by tokenizer; tasks that run in one worker after another share them.
-_CACHES: dict[str, ChunkCache] = {}
+        unknown = list(self.chunks.missing(set().union(*docs)))
+        texts = b"\n".join(unknown).decode("utf-8", "replace").split("\n") if unknown else []
+        pattern = self.bpe.added_pattern
+        special = {i for i, t in enumerate(texts) if pattern.search(t)} if pattern and pattern.search("\n".join(texts)) else set()
+        plain = [t for i, t in enumerate(texts) if i not in special] if special else texts
+        split = iter(self.bpe.split_all(plain))
+        parts = [[x if isinstance(x, int) else self.bpe.split(x) for x in self.bpe.segments(t)] if i in special else next(split) for i, t in enumerate(texts)]
+        wanted = {w for i, own in enumerate(parts) if i not in special for w in own}
+        wanted.update(w for i in special for x in parts[i] if not isinstance(x, int) for w in x)
+        new = self.bpe.encode_words(self.words.missing(wanted))
+        self.words.put([(word, self.value(ids)) for word, ids in new.items()])
+        known = self.words.young
+        for i in special:
+            parts[i] = [y for x in parts[i] for y in ([self.value([x])] if isinstance(x, int) else [known[w] for w in x])]
+        made = [_joined(own if i in special else [known[w] for w in own]) if len(own) != 1 or i in special else known[own[0]] for i, own in enumerate(parts)]
+        self.chunks.put(list(zip(unknown, made, strict=True)))
+        return self.chunks.young
+
+
+def _joined(values: list[bytes]) -> bytes:
+    """One value for the pieces in their order."""
+    both = b"\n".join([v for v in values if v]).split(b"\n")
+    return b" ".join(both[::2]) + b"\n" + b" ".join(both[1::2]) if len(both) > 1 else b""
+
+
+#: The tokenizers of this worker, by digest: one at a time.
+_MODELS: dict[str, PairIndexBpe] = {}
 
 
 def read_tokenizer(path: str) -> str:
@@ -289,31 +332,43 @@ def _run(df: DataFrame, path: str, text: str, keep: list[str], *, digest: bool)
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = hashlib.sha256(spec.encode()).hexdigest()
-        if name not in _CACHES:
-            _CACHES.clear()
-            _CACHES[name] = ChunkCache(PairIndexBpe(spec))
-        cache = _CACHES[name]
-        bpe = cache.bpe
+        if name not in _MODELS:
+            _MODELS.clear()
+            _MODELS[name] = PairIndexBpe(spec)
+        bpe = _MODELS[name]
+        cache = ChunkCache(bpe)  # goes with the task
         # an added token with white space in it could lie across chunks
         across = [x.encode() for x in bpe.added if any(c.isspace() for c in x)]
         for batch in parts:
-            for at in range(0, batch.num_rows, GROUP_DOCS):
-                part = batch.slice(at, GROUP_DOCS)
+            for part in grouped(batch, batch.num_columns - 1):
                 texts = [t or b"" for t in blobs(part.column(part.num_columns - 1))]
                 docs = [t.split() for t in texts]
                 known = cache.learn(docs)
                 counts, ids, decoded = [], [], []
                 for raw, chunks in zip(texts, docs, strict=True):
                     if across and any(x in raw for x in across):
-                        own = bpe.encode(raw.decode("utf-8", "replace"))
-                        line, plain = " ".join(map(str, own)), bpe.decode(own)
+                        value = cache.value(bpe.encode(raw.decode("utf-8", "replace")))
+                        line, _, plain = value.partition(b"\n")
                     else:
-                        own = [x for x in map(known.__getitem__, chunks) if x[0]]
-                        line = " ".join([x[0] for x in own])
-                        plain = " ".join([x[1] for x in own])
-                    counts.append(line.count(" ") + 1 if line else 0)
-                    ids.append(hashlib.sha256(line.encode()).hexdigest() if digest else line)
-                    decoded.append(hashlib.sha256(plain.encode()).hexdigest() if digest else plain)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[*part.schema.names[:-1], "n_tokens", *names])
+                        both = b"\n".join([v for v in map(known.__getitem__, chunks) if v]).split(b"\n")
+                        line, plain = b" ".join(both[::2]), b" ".join(both[1::2])
+                    counts.append(line.count(b" ") + 1 if line else 0)
+                    ids.append(hashlib.sha256(line).hexdigest() if digest else line)
+                    decoded.append(hashlib.sha256(plain).hexdigest() if digest else plain)
+                strings = [pa.array(x, pa.string() if digest else pa.binary()).cast(pa.string()) for x in (ids, decoded)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(counts, pa.int64()), *strings], names=[*part.schema.names[:-1], "n_tokens", *names])
 
     return chosen.mapInArrow(task, schema)
+
+
+def grouped(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch whose column ``text`` holds about ``GROUP_BYTES`` each."""
+    sizes = [len(x) if x else 0 for x in blobs(batch.column(text))]
+    begin, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > GROUP_BYTES:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
