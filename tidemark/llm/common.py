@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +20,15 @@ MASK64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors and the driver see: ``spark.checkpoint.dir``. Where that is unset, a temporary one for a session whose
+    executors run in the driver's process, and an error for any other."""
     sc = spark.sparkContext
-    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not place:
-        place = sc.getCheckpointDir()
-        if not place:
-            place = tempfile.mkdtemp(prefix="tidemark-")
-            sc.setCheckpointDir(place)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        place = tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(place)
     return place.rstrip("/")
 
 
@@ -37,7 +37,39 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     place = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
     df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    out = spark.read.schema(df.schema).parquet(place)
+    out._tidemark_place = place
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in tables:
+        place = getattr(df, "_tidemark_place", None)
+        if place:
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that may count as hot in a join, and the parts that each of them is spread over.
+HOT_KEYS = 1024
+SALTS = 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, met: str, total: int, by: list[str]) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, hot keys spread over ``SALTS`` parts. All of ``left`` has ``total`` rows.
+
+    ``key`` is unique in ``right``, whose column ``met`` says how many rows of ``left`` hold it (it is left out of the result). Hot are
+    the keys held by more than one in ``HOT_KEYS`` of all rows, so there are fewer than that, and the list of them may be broadcast.
+    Rows of ``left`` with a hot key are dealt by the columns ``by``.
+    """
+    limit = max(64, total // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col(met) > limit).select(F.col(key).alias("__key"), F.lit(True).alias("__hot")))
+    many = right.withColumn("__salt", F.explode(F.when(F.col(met) > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(met)
+    marked = left.join(hot, F.col(key) == F.col("__key"), "left").drop("__key")
+    dealt = marked.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("__hot")
+    return dealt.join(many, [key, "__salt"]).drop("__salt")
 
 
 def check_side_data(size: int, what: str, limit: int = SIDE_DATA_LIMIT) -> None:
@@ -115,15 +147,3 @@ def power_hashes(words: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
-
-
-def batches(rows: Iterable[dict], schema: pa.Schema, size: int = 4096) -> Iterable[pa.RecordBatch]:
-    """Record batches of at most ``size`` of the rows."""
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema=schema)

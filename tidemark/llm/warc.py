@@ -1,7 +1,7 @@
 """WARC archives compressed with a Zstandard dictionary of their own.
 
 Pages with equal payloads are archived once: the one with the largest page_id as ``response``, the others as ``revisit`` records that
-refer to it. Each archive starts with a skippable frame that holds a dictionary built from the archive's own records; every record
+refer to it. Each archive, however few its records, starts with a skippable frame that holds a dictionary built from the archive's own records; every record
 after it is a frame of its own, compressed with that dictionary. Archives are rows (``archive``, ``content``), so any store that
 Spark can write to serves; ``save_archives`` puts them out as files.
 
@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, spread_join
+
 #: The skippable frame that holds the dictionary, and the dictionary's own magic number; fixed values of the formats.
 DICT_FRAME = 0x184D2A5D
 #: Bytes of records and records that one archive takes at most (one longer record makes an archive of its own).
@@ -33,6 +35,8 @@ ARCHIVE_RECORDS = 2_000
 #: Size of a dictionary, and bytes of records that it is built from at most, spread evenly over the archive.
 DICT_BYTES = 32 << 10
 SAMPLE_BYTES = 2 << 20
+#: Bytes of the pieces that serve as samples of an archive with few records.
+PIECE_BYTES = 4 << 10
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -59,20 +63,28 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archive(records: list[bytes]) -> bytes:
-    """The archive of the records. Without enough of them for a dictionary, it has none."""
+def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from records spread evenly over the archive; where these are few, their pieces are the samples."""
     step = max(1, -(-sum(map(len, records)) // SAMPLE_BYTES))
-    dictionary = None
-    try:
-        if len(records) >= 8:
-            dictionary = zstandard.train_dictionary(DICT_BYTES, [r[: SAMPLE_BYTES // 4] for r in records[::step]], level=3, k=256, d=8)
-    except zstandard.ZstdError:
-        dictionary = None
+    samples = [r[: SAMPLE_BYTES // 4] for r in records[::step]]
+    for pieces in (1, 8, 64):
+        if pieces > 1:  # what follows from evenly spread places of each sample
+            samples = [r[at : at + PIECE_BYTES] for r in samples for at in range(0, len(r), max(8, len(r) // pieces))]
+        try:
+            if len(samples) >= 8:
+                return zstandard.train_dictionary(DICT_BYTES, samples, level=3, k=256, d=8)
+        except zstandard.ZstdError:
+            pass
+    return zstandard.train_dictionary(DICT_BYTES, [s + b"%d" % i for i in range(64) for s in samples[:64]], level=3, k=64, d=8)
+
+
+def write_archive(records: list[bytes]) -> bytes:
+    """The archive of the records: the frame that holds their dictionary, then a frame a record."""
+    dictionary = build_dictionary(records)
+    raw = dictionary.as_bytes()
     out = io.BytesIO()
-    if dictionary:
-        raw = dictionary.as_bytes()
-        out.write(struct.pack("<II", DICT_FRAME, len(raw)) + raw)
-    packer = zstandard.ZstdCompressor(level=3, dict_data=dictionary) if dictionary else zstandard.ZstdCompressor(level=3)
+    out.write(struct.pack("<II", DICT_FRAME, len(raw)) + raw)
+    packer = zstandard.ZstdCompressor(level=3, dict_data=dictionary)
     for r in records:
         out.write(packer.compress(r))
     return out.getvalue()
@@ -103,12 +115,17 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def assign_types(pages: DataFrame) -> DataFrame:
-    """``page_id, url, payload, refers_to, revisit``: the largest page_id of each payload, found by a pre-aggregated digest."""
+    """``page_id, url, payload, refers_to, revisit``: the largest page_id of each payload, found by a pre-aggregated digest.
+
+    Only ids and digests are grouped. The pages of a payload that very many share are spread when they get its largest id.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    largest = rows.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").select("digest", "largest")
+    found = materialize(rows.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("met")), "warc-digests")
+    total = found.agg(F.sum("met")).first()[0] or 0
     revisit = F.coalesce(F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest")), F.lit(False))
-    return rows.join(largest, "digest", "left").select("page_id", "url", "payload", F.when(revisit, F.col("largest")).alias("refers_to"), revisit.alias("revisit"))
+    typed = spread_join(rows, found, "digest", "met", total, ["page_id", "url"])
+    return typed.select("page_id", "url", "payload", F.when(revisit, F.col("largest")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
