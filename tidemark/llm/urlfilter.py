@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIDE_DATA_LIMIT
+from .common import SIDE_DATA_LIMIT, check_side_data, materialize
 
 TOKEN = re.compile("[A-Za-z0-9]+")
 
@@ -43,7 +43,8 @@ def host_rule(verdict: str, rule: str) -> Rule:
     whole = TOKEN.findall(host)
     if slash:  # the path's last token may go on in a url, so it is no literal
         whole += TOKEN.findall(rest[: max((i + 1 for i, c in enumerate(rest) if not TOKEN.match(c)), default=0)])
-    return Rule(rule, verdict, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(slash + rest)}", tuple(whole), 1_000 + len(rule))
+    end = re.escape(slash + rest) if slash else r"(?=/|\Z)"
+    return Rule(rule, verdict, rf"^(?:[^/]*\.)?{re.escape(host)}{end}", tuple(whole), 1_000 + len(rule))
 
 
 def pattern_rule(verdict: str, pattern: str, *literals: str) -> Rule:
@@ -54,10 +55,10 @@ def pattern_rule(verdict: str, pattern: str, *literals: str) -> Rule:
 #: Patterns of the filter's own: what hardly ever holds prose.
 PATTERNS = [
     pattern_rule("block", r"(?:^|\.)ads\.", "ads"),
-    pattern_rule("block", r"/login(?:/|$)", "login"),
-    pattern_rule("block", r"/cart(?:/|$)", "cart"),
-    pattern_rule("block", r"\.exe$", "exe"),
-    pattern_rule("block", r"\.zip$", "zip"),
+    pattern_rule("block", r"/login(?:/|\Z)", "login"),
+    pattern_rule("block", r"/cart(?:/|\Z)", "cart"),
+    pattern_rule("block", r"\.exe\Z", "exe"),
+    pattern_rule("block", r"\.zip\Z", "zip"),
 ]
 
 
@@ -84,25 +85,36 @@ def rule_blocks(rules: list[Rule], limit: int) -> Iterator[list[tuple[int, Rule]
 
 
 def token_counts(urls: DataFrame, wanted: set[str]) -> dict[str, int]:
-    """Urls that hold each of the rules' tokens; at most one number a token reaches the driver."""
+    """Urls that hold each of the rules' tokens; the rules lie on the driver, and so does one number a token."""
     if not wanted:
         return {}
     tokens = urls.select(F.explode(F.array_distinct(F.expr("regexp_extract_all(url, '[A-Za-z0-9]+', 0)"))).alias("token"))
     tokens = tokens.select(F.explode(F.array_distinct(F.array(F.col("token"), F.lower("token")))).alias("token"))
-    return {r["token"]: r["n"] for r in tokens.where(F.col("token").isin(sorted(wanted))).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    table = urls.sparkSession.createDataFrame([(t,) for t in sorted(wanted)], "token string")
+    size = sum(map(len, wanted)) + 16 * len(wanted)
+    table = F.broadcast(table) if size < SIDE_DATA_LIMIT // 8 else table
+    return {r["token"]: r["n"] for r in tokens.join(table, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
-def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", keep: list[str] | None = None, default: str = "allow", limit: int = SIDE_DATA_LIMIT) -> DataFrame:
-    """Columns ``keep`` and ``host, path, rule, pattern, verdict`` for every row: ``rule`` the listed rule that won, ``pattern`` the filter's own."""
+def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", keep: list[str] | None = None, default: str = "allow", limit: int = SIDE_DATA_LIMIT // 8) -> DataFrame:
+    """Columns ``keep`` and ``host, path, rule, pattern, verdict`` for every row: ``rule`` the listed rule that won, ``pattern`` the filter's own.
+
+    A block of rules, with the counts of its own tokens, takes about ``limit`` bytes; if there are several, each is a pass of its own
+    that starts from what the one before it has written.
+    """
     keep = keep or []
     chosen = df.select(*[F.col(c) for c in keep], F.col(url).cast("string").alias("url"))
     counts = token_counts(chosen.select("url"), {t for r in rules for t in r.literals})
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     schema = f"{kept}{', ' if kept else ''}host string, path string, rule string, pattern string, verdict string, weight long"
-    out = None
-    for block in rule_blocks(rules, limit):
+    out, blocks = None, list(rule_blocks(rules, limit))
+    for k, block in enumerate(blocks):
+        own = {t: counts[t] for _, r in block for t in r.literals if t in counts}
+        check_side_data(sum(64 + len(r.pattern) + len(r.name) + 40 * len(r.literals) for _, r in block), "a block of rules")
         source = chosen if out is None else out.withColumn("url", F.concat(F.lit("x://"), "host", "path"))
-        out = _judge(source, block, counts, len(keep), schema, default, first=out is None)
+        out = _judge(source, block, own, len(keep), schema, default, first=out is None)
+        if k + 1 < len(blocks):  # the plan must not gather the blocks
+            out = materialize(out, "urls-block")
     return out.drop("weight")
 
 
