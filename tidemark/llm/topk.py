@@ -5,11 +5,12 @@ the k-th best score among them. In every bucket a query's threshold, divided by
 cosine threshold: above 1 the bucket is skipped; if it is high, candidates are pruned by coordinates (each of the query's largest
 coordinates bounds where a candidate's may lie), else by length. What is left is verified with exact integer products.
 
-Queries are a stated set of rows; they and the candidates meet in blocks. Only each query's k best per block leave a task.
+Queries are a stated set of rows. They are packed in blocks in the order of the length that a vector must have to reach their first
+threshold, and a block meets only the buckets that hold such a length. Only each query's k best per bucket leave a task.
 
-Defined results: vectors that are null or hold null or non-finite components, and rows with a null id, take no part; components are
-floor(scale * x), held within +-2**40, and scores within the range of a long; shorter vectors count as padded with zeros; rows with
-the query's own id are no candidates; a repeated candidate row takes a rank of its own, a repeated query id is asked once (its
+Defined results: vectors that are null or hold null or non-finite components, and rows with a null id, take no part; components
+floor(scale * x) and scores are exact, but held at the ends of a long where they lie beyond; shorter vectors count as padded with
+zeros; rows with the query's own id, repeated ones too, are the query's own and no candidates; a repeated candidate row takes a rank of its own, a repeated query id is asked once (its
 smallest vector); fewer candidates than k give fewer ranks; an empty table gives an empty result; further columns are left out.
 """
 
@@ -22,53 +23,74 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import SIDE_DATA_LIMIT, check_side_data, materialize
 
-#: Candidates in a bucket, queries in a block.
+#: Candidates in a bucket, queries in a block, and bytes of either at most (one longer vector takes one alone).
 BUCKET = 4096
 QUERIES = 1024
+PACK_BYTES = 8 << 20
 #: Local cosine threshold from which on coordinates prune better than lengths, and how many coordinates are used.
 COORDINATE = 0.55
 FOCUS = 5
-CLAMP = float(1 << 40)
 LONG = (1 << 63) - 1
+#: The largest double below 2**63.
+LARGEST = float((1 << 63) - 1024)
 
 
 def integers(vector: Column, scale: float) -> Column:
     """floor(scale * x) of each component; null where the vector takes no part."""
     ok = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    whole = F.transform(vector, lambda x: F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(-CLAMP)), F.lit(CLAMP))).cast("long"))
+    whole = F.transform(vector, lambda x: F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(-LARGEST)), F.lit(LARGEST))).cast("long"))
     return F.when(ok, whole)
 
 
-def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Consecutive rows (id, v) of a partition, longest first, as blocks: ``{name}_ids`` and ``{name}_rows`` (int64 matrix), ``longest`` and ``n``."""
+def packed(rows: DataFrame, size: int, name: str, level: bool = False) -> DataFrame:
+    """Consecutive rows (id, v) of a partition as blocks: ``{name}_ids``, ``{name}_rows`` (int64 matrix), ``longest``, ``n`` and ``bytes``.
+
+    With ``level``, the rows' thresholds are packed as ``levels``, and ``need`` is the least length that a vector must have to reach any.
+    """
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
-        vectors: list[list[int]] = []
+        vectors: list[np.ndarray] = []
+        levels: list[int] = []
+        width = 0
 
         def block() -> pa.RecordBatch:
-            width = max(map(len, vectors))
             m = np.zeros((len(vectors), width), np.int64)
             for i, v in enumerate(vectors):
                 m[i, : len(v)] = v
-            longest = float(np.sqrt((m.astype(float) ** 2).sum(1)).max())
-            out = pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([longest]), pa.array([len(ids)], pa.int64())], names=[f"{name}_ids", f"{name}_rows", "longest", "n"])
+            lengths = np.sqrt((m.astype(float) ** 2).sum(1))
+            made = {f"{name}_ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), f"{name}_rows": pa.array([m.tobytes()], pa.binary()), "longest": pa.array([float(lengths.max())]), "n": pa.array([len(ids)], pa.int64()), "bytes": pa.array([m.nbytes], pa.int64())}
+            if level:
+                own = np.array(levels, np.int64)
+                # a threshold of 0 or less, or a query of length 0, asks for every bucket
+                needs = np.where((own > 0) & (lengths > 0), own / np.maximum(lengths, 1e-300), 0.0)
+                made |= {"levels": pa.array([own.tobytes()], pa.binary()), "need": pa.array([float(needs.min()) * (1 - 1e-9)])}
             ids.clear()
             vectors.clear()
-            return out
+            levels.clear()
+            return pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
         for batch in parts:
-            for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                ids.append(i)
+            column = batch.column("v")
+            for i, id_ in enumerate(batch.column("id").to_pylist()):
+                v = column[i].values.to_numpy(zero_copy_only=False)
+                if ids and max(width, len(v)) * 8 * (len(ids) + 1) > PACK_BYTES:
+                    yield block()
+                    width = 0
+                ids.append(id_)
                 vectors.append(v)
+                width = max(width, len(v))
+                if level:
+                    levels.append(batch.column("level")[i].as_py())
                 if len(ids) == size:
                     yield block()
+                    width = 0
         if ids:
             yield block()
 
-    return rows.mapInArrow(task, f"{name}_ids binary, {name}_rows binary, longest double, n long")
+    return rows.mapInArrow(task, f"{name}_ids binary, {name}_rows binary, longest double, n long, bytes long" + (", levels binary, need double" if level else ""))
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,7 +99,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     a, b = a[:, :width], b[:, :width]
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
-    most = float(np.abs(a).max()) * float(np.abs(b).max()) * width
+    most = float(np.abs(a.astype(float)).max()) * float(np.abs(b.astype(float)).max()) * width
     if most < 2.0**53:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
     if most < 2.0**62:
@@ -92,7 +114,7 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
     if len(index) > k:
         least = np.partition(scores[index], len(index) - k)[len(index) - k]
         index = index[scores[index] >= least]
-    return index[np.lexsort((ids[index], -scores[index]))][:k]
+    return index[np.lexsort((ids[index], ~scores[index]))][:k]
 
 
 class Bucket:
@@ -152,40 +174,33 @@ def top_k(df: DataFrame, query: Column, k: int = 20, scale: float = 64.0, vec_id
     rows = df.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), integers(F.col(vector), scale).alias("v"), query.alias("asks")).where("v is not null")
     rows = rows.withColumn("length2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     buckets = materialize(packed(rows.repartitionByRange(F.desc("length2"), "id").sortWithinPartitions(F.desc("length2"), "id").select("id", "v"), BUCKET, "bucket"), "topk-buckets")
-    asked = materialize(packed(rows.where("asks").groupBy("id").agg(F.min("v").alias("v")), QUERIES, "query").drop("longest", "n"), "topk-queries")
     # the longest vectors, BUCKET of them or a bucket more: sizes first, then these buckets only
-    order, m, seen = [F.desc("longest"), "n"], 0, 0
-    for r in buckets.select("longest", "n").orderBy(*order).limit(BUCKET).collect():
-        if seen < BUCKET:
-            m, seen = m + 1, seen + r["n"]
+    order, m, seen, size = [F.desc("longest"), "n"], 0, 0, 0
+    for r in buckets.select("longest", "n", "bytes").orderBy(*order).limit(BUCKET).collect():
+        if not m or (seen < BUCKET and size + r["bytes"] <= SIDE_DATA_LIMIT // 2):
+            m, seen, size = m + 1, seen + r["n"], size + r["bytes"]
     if not m:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    check_side_data(size, "the longest vectors")
     top = [(np.frombuffer(bytes(r["bucket_ids"]), np.int64), bytes(r["bucket_rows"])) for r in buckets.orderBy(*order).limit(m).collect()]
-    width = max(len(rows_) // 8 // max(1, len(ids)) for ids, rows_ in top)
-    first_rows = np.zeros((sum(len(ids) for ids, _ in top), width), np.int64)
-    at = 0
-    for ids, raw in top:
-        own = np.frombuffer(raw, np.int64).reshape(len(ids), -1)
-        first_rows[at : at + len(ids), : own.shape[1]] = own
-        at += len(ids)
-    first_ids = np.concatenate([ids for ids, _ in top])
 
     def begin(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows_ = first_ids, first_rows
+        first = [(ids, np.frombuffer(raw, np.int64).reshape(len(ids), -1)) for ids, raw in top]
+        every = np.concatenate([ids for ids, _ in first])
         for batch in parts:
             levels = []
-            for q_ids, q_rows in zip(batch.column("query_ids").to_pylist(), batch.column("query_rows").to_pylist(), strict=True):
-                own = np.frombuffer(q_ids, np.int64)
-                queries = np.frombuffer(q_rows, np.int64).reshape(len(own), -1)
-                level = np.full(len(own), -LONG - 1, np.int64)
-                for i, scores in enumerate(products(queries, rows_)):
-                    index = best(scores, ids, int(own[i]), k)
-                    if len(index) == k:
-                        level[i] = scores[index[-1]]
-                levels.append(level.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(levels, pa.binary())], names=["query_ids", "query_rows", "levels"])
-
-    blocks = asked.mapInArrow(begin, "query_ids binary, query_rows binary, levels binary")
+            for i, own in enumerate(batch.column("id").to_pylist()):
+                query = batch.column("v")[i].values.to_numpy(zero_copy_only=False)[None]
+                scores = np.concatenate([products(query, rows_)[0] for _, rows_ in first])
+                index = best(scores, every, own, k)
+                levels.append(int(scores[index[-1]]) if len(index) == k else -LONG - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(levels, pa.int64())], names=["id", "v", "length2", "level"])
+
+    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"), F.min_by("length2", "v").alias("length2"))
+    asked = materialize(asked.mapInArrow(begin, "id long, v array<long>, length2 double, level long"), "topk-asked")
+    need = F.when((F.col("level") > 0) & (F.col("length2") > 0), F.col("level") / F.sqrt("length2")).otherwise(0.0)
+    asked = asked.withColumn("by", need).repartitionByRange("by", "id").sortWithinPartitions("by", "id")
+    blocks = materialize(packed(asked.select("id", "v", "level"), QUERIES, "query", level=True).drop("longest", "n", "bytes"), "topk-queries")
 
     def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[bytes, Bucket] | None = None
@@ -198,9 +213,9 @@ def top_k(df: DataFrame, query: Column, k: int = 20, scale: float = 64.0, vec_id
                 found = list(held[1].search(own, np.frombuffer(q_rows, np.int64).reshape(len(own), -1), np.frombuffer(levels, np.int64), k))
                 yield pa.RecordBatch.from_arrays([pa.array([int(own[i]) for i, _, _ in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], names=["query_id", "vec_id", "score"])
 
-    # every block of queries meets every bucket; blocks, not rows, are combined
+    # a block of queries meets the buckets that are long enough for one of them; blocks, not rows, are combined
     n = 2 * df.sparkSession.sparkContext.defaultParallelism
-    met = buckets.drop("longest", "n").repartition(n).join(blocks, F.lit(True))
+    met = buckets.drop("n", "bytes").repartition(n).join(blocks, F.col("longest") >= F.col("need")).drop("longest", "need")
     found = met.mapInArrow(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
