@@ -1,16 +1,20 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Each batch of documents is a shard. Its words are numbered by the benchmark's vocabulary; words outside it match no test suffix and
-only part the runs of words inside it. Runs too short to hold a window are left out, the rest get a suffix array (prefix
-doubling). All test suffixes are looked up in it at once by binary search, which gives the longest verbatim match of each and
-where it lies; windows that match in full mark the document's words as hit.
+Documents are dealt into shards of ``SHARD_BYTES`` of text (one longer text is a shard of its own). A shard's words are numbered by the
+benchmark's vocabulary. Words outside it match no test suffix: they are left out of the array and part the runs of words inside it, and
+so are runs too short to hold a window. The runs get a suffix array (prefix doubling). All test suffixes are looked up in it at
+once by binary search, which gives the longest verbatim match of each and where it lies; windows that match in full mark the
+document's words as hit. ``longest_matches`` reduces the shards' longest matches to one a test suffix over all shards.
 
-Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. A window is ``window`` consecutive words of an item; an
-item with fewer words, but not none, is one window.
+Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased; those of more than ``LONG_WORD`` bytes are compared by a
+128-bit digest. A window is ``window`` consecutive words of an item; an item with fewer words, but not none, is one window.
 
 Defined results: null and empty texts have no words and nothing is hit; items without words match nothing; items that repeat an id
-count once; items without an id hit words like any other, but are left out of ``n_items``, ``items`` and ``items_sha256``; long texts are processed whole; repeated rows give repeated results; an empty table of either kind gives no hits;
-further columns are left out. A benchmark of any size is served, in blocks of bounded size with one pass over the documents each.
+count once; items without an id hit words like any other, but are left out of ``n_items``, ``items`` and ``items_sha256``; long texts
+are processed whole; repeated rows give repeated results; an empty table of either kind gives no hits; further columns are left out.
+A benchmark of any size is served: in blocks of bounded size, one on the driver at a time, with one pass over the documents each. An
+item longer than a block is cut into pieces that share a window less one word, so no window is lost; its longest matches end with the
+pieces.
 """
 
 from __future__ import annotations
@@ -20,17 +24,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIDE_DATA_LIMIT, blobs
+from .common import SIDE_DATA_LIMIT, blobs, materialize
+
+#: Bytes of text in a shard, and bytes from which on a word is compared by its digest.
+SHARD_BYTES = 16 << 20
+LONG_WORD = 256
 
 #: Bytes to bytes: A-Z lower-cased, everything but digits, letters and bytes beyond ASCII blanked.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def fold_words(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(FOLD).split()
+    """The words of a text; a long one as a digest behind a byte that no UTF-8 text holds."""
+    words = (text or b"").translate(FOLD).split()
+    if words and max(map(len, words)) > LONG_WORD:
+        words = [w if len(w) <= LONG_WORD else b"\xff" + xxhash.xxh3_128_hexdigest(w).encode() for w in words]
+    return words
 
 
 @dataclass
@@ -46,13 +59,15 @@ class TestSuffixes:
     longest: int
     heads: frozenset[int]  # first words of items shorter than a window
     shortest: int
+    offsets: list[int]  # of each item's first word: other than 0 for pieces of a long item
 
 
-def prepare(items: list[tuple[str | None, bytes]], window: int) -> TestSuffixes:
+def prepare(items: list[tuple], window: int) -> TestSuffixes:
+    """Items are (id, text) or, for a piece of a long one, (id, text, number of its first word)."""
     numbers: dict[bytes, int] = {}
     text: list[int] = []
     starts, owners, needed, heads, shortest = [], [], [], set(), window
-    for i, (_, raw) in enumerate(items):
+    for i, (_, raw, *_) in enumerate(items):
         words = [numbers.setdefault(w, len(numbers) + 1) for w in fold_words(raw)]
         base, size = len(text), min(window, len(words))
         if words and len(words) < window:
@@ -62,8 +77,8 @@ def prepare(items: list[tuple[str | None, bytes]], window: int) -> TestSuffixes:
         owners.extend([i] * len(words))
         needed.extend([size if k + size <= len(words) else 0 for k in range(len(words))])
         text += [*words, 0]
-    longest = max((len(fold_words(r)) for _, r in items), default=0)
-    return TestSuffixes(numbers, np.array([*text, *[0] * (longest + 1)], np.int64), np.array(starts, np.int64), np.array(owners, np.int64), np.array(needed, np.int64), [i for i, _ in items], longest, frozenset(heads), shortest)
+    longest = max(np.diff([i for i, x in enumerate([0, *text]) if x == 0]) - 1, default=0)
+    return TestSuffixes(numbers, np.array([*text, *[0] * (longest + 1)], np.int64), np.array(starts, np.int64), np.array(owners, np.int64), np.array(needed, np.int64), [x[0] for x in items], int(longest), frozenset(heads), shortest, [x[2] if len(x) > 2 else 0 for x in items])
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -127,8 +142,9 @@ def compare(text: np.ndarray, at: np.ndarray, test: np.ndarray, starts: np.ndarr
     return common, less
 
 
-def look_up(text: np.ndarray, order: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each test suffix: length of the longest match and a place of it, and the range in ``order`` of the matches of its window."""
+def look_up(text: np.ndarray, order: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each test suffix: length of the longest match, and the ranges in ``order`` of these matches and of those of its window (empty
+    where the window has none)."""
     n, m = len(order), len(test.starts)
     full = np.full(m, test.longest, np.int64)
 
@@ -143,20 +159,17 @@ def look_up(text: np.ndarray, order: np.ndarray, test: TestSuffixes) -> tuple[np
         return low
 
     place = bound(full, upper=False)
-    length, where = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    length = np.zeros(m, np.int64)
     for side in (place - 1, place):
         ok = (side >= 0) & (side < n)
         common = np.zeros(m, np.int64)
-        at = order[np.clip(side, 0, max(n - 1, 0))]
-        common[ok] = compare(text, at[ok], test.text, test.starts[ok], full[ok])[0]
-        better = common > length
-        length, where = np.where(better, common, length), np.where(better, at, where)
-    low, high = np.zeros(m, np.int64), np.zeros(m, np.int64)
-    if ((test.needed > 0) & (length >= test.needed)).any():
-        limit = np.where((test.needed > 0) & (length >= test.needed), test.needed, 0)
-        low, high = bound(limit, upper=False), bound(limit, upper=True)
-        low, high = np.where(limit > 0, low, 0), np.where(limit > 0, high, 0)
-    return length, where, low, high
+        common[ok] = compare(text, order[side[ok]], test.text, test.starts[ok], full[ok])[0]
+        length = np.maximum(length, common)
+    found = (test.needed > 0) & (length >= test.needed)
+    ranges = [np.zeros(m, np.int64)] * 4
+    if found.any():
+        ranges = [np.where(found, bound(np.where(found, limit, 0), upper), 0) for limit in (length, test.needed) for upper in (False, True)]
+    return length, *ranges
 
 
 def scan(texts: list[bytes | None], test: TestSuffixes, window: int) -> list[tuple[int, list[int], set[int], list[tuple[int, int, int, int]]]]:
@@ -183,18 +196,19 @@ def scan(texts: list[bytes | None], test: TestSuffixes, window: int) -> list[tup
     if pieces and len(test.starts):
         text, owner, place = np.concatenate(pieces), np.concatenate(owners), np.concatenate(places)
         order = suffix_array(text, test.longest)
-        length, where, low, high = look_up(text, order, test)
-        rows = np.flatnonzero(high > low)
+        length, first, last, low, high = look_up(text, order, test)
         marks = np.zeros(len(text) + 1, np.int64)
-        for s in rows:
+        for s in np.flatnonzero(high > low):
             found = order[low[s] : high[s]]
             np.add.at(marks, found, 1)
             np.add.at(marks, found + test.needed[s], -1)
-            for d in np.unique(owner[found]):
+            for d in np.unique(owner[found]).tolist():
                 items[d].add(int(test.items[s]))
-        for s in np.flatnonzero((test.needed > 0) & (length >= test.needed)):
-            first = np.searchsorted(test.items, test.items[s])
-            matches[owner[where[s]]].append((int(test.items[s]), int(s - first), int(place[where[s]]), int(length[s])))
+            item = int(test.items[s])
+            item_word = int(s - np.searchsorted(test.items, item)) + test.offsets[item]
+            found = np.sort(order[first[s] : last[s]])
+            for at_ in found[np.unique(owner[found], return_index=True)[1]].tolist():  # the first place in each document
+                matches[owner[at_]].append((item, item_word, int(place[at_]), int(length[s])))
         hit = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
         by = np.argsort(owner[hit], kind="stable")
         edges = np.searchsorted(owner[hit][by], np.arange(len(texts) + 1))
@@ -202,19 +216,42 @@ def scan(texts: list[bytes | None], test: TestSuffixes, window: int) -> list[tup
     return [(counts[d], hits[d].tolist(), items[d], matches[d]) for d in range(len(texts))]
 
 
-def read_items(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The items in blocks of at most ``limit`` bytes, each on the driver at a time. Items cannot be split, so one longer than that is refused."""
+def pieces(raw: bytes, window: int, limit: int) -> Iterator[tuple[int, bytes]]:
+    """The number of the first word and the text of the pieces of an item: the whole text if it isn't longer than ``limit``."""
+    if len(raw) <= limit:
+        yield 0, raw
+        return
+    words = fold_words(raw)
+    begin = 0
+    while True:
+        end, size = begin, 0
+        while end < len(words) and (end - begin < 2 * window or size + len(words[end]) < limit):
+            size += len(words[end]) + 1
+            end += 1
+        yield begin, b" ".join(words[begin:end])
+        if end >= len(words):
+            return
+        begin = end - window + 1
+
+
+def read_items(benchmark: DataFrame, item_id: str, text: str, limit: int, window: int) -> Iterator[list[tuple[str | None, bytes, int]]]:
+    """The items' pieces in blocks of at most ``limit`` bytes (but of one piece at least), each on the driver at a time; one empty block if there are none."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").cast("binary").alias("t")).where("t is not null").distinct()
-    held: list[tuple[str | None, bytes]] = []
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for i, raw in zip(batch.column("i").to_pylist(), batch.column("t"), strict=True):
+                for first, piece in pieces(raw.as_py(), window, limit):
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.string()), pa.array([first], pa.int64()), pa.array([piece], pa.binary())], names=["i", "first", "t"])
+
+    held: list[tuple[str | None, bytes, int]] = []
     size = 0
-    for r in rows.orderBy("i", "t").toLocalIterator():
+    for r in rows.mapInArrow(cut, "i string, first long, t binary").orderBy("i", "first", "t").toLocalIterator():
         raw = bytes(r["t"])
-        if len(raw) > limit:
-            raise ValueError(f"item {r['i']} is longer than {limit} bytes")
         if held and size + len(raw) > limit:
             yield held
             held, size = [], 0
-        held.append((r["i"], raw))
+        held.append((r["i"], raw, r["first"]))
         size += len(raw)
     yield held
 
@@ -222,25 +259,52 @@ def read_items(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Ite
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = SIDE_DATA_LIMIT // 8) -> DataFrame:
     """Columns ``keep`` and ``n_words, n_hit, n_items, items_sha256, contaminated, items, matches`` for every document.
 
-    ``matches`` holds, for each test suffix whose longest match within the shard lies in this document, the item, the word it
-    starts at in the item and in the document, and its length.
+    ``matches`` holds, for each test suffix whose longest match within the shard (of a window at least) lies in this document, the item,
+    the word it starts at in the item and in the document, and its length.
     """
     keep = keep or []
     place = keep.index(text) if text in keep else len(keep)  # a text that is kept goes to the workers once
     out = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col(text).cast("string").alias("__text")] * (place == len(keep)))
-    blocks = list(read_items(benchmark, item_id, item_text, limit))
-    for k, block in enumerate(blocks):
-        out = _look_through(out, prepare(block, window), window, len(keep), place, first=k == 0, last=k == len(blocks) - 1)
+    blocks = read_items(benchmark, item_id, item_text, limit, window)
+    block, first = next(blocks), True
+    while block is not None:
+        after = next(blocks, None)
+        out = _look_through(out, prepare(block, window), window, len(keep), place, first=first, last=after is None)
+        if after is not None:  # the plan must not gather the blocks
+            out = materialize(out, "decontam-block")
+        block, first = after, False
     return out.select(
         *[F.col(f"`{c}`") for c in keep], "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"), "items", "matches",
     )
 
 
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
+    """``item, item_word, length, doc_id, doc_word``: the longest verbatim match of every test suffix that has one of a window at least,
+    over all shards, and the first place of it (by doc_id, null ids last, then by word)."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = contamination(rows, benchmark, window, keep=["doc_id"], **names).select("doc_id", F.explode("matches").alias("m"))
+    place = F.struct((-F.col("m.length")).alias("l"), F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("m.doc_word").alias("w"))
+    best = found.groupBy(F.col("m.item").alias("item"), F.col("m.item_word").alias("item_word")).agg(F.min(place).alias("b"))
+    return best.select("item", "item_word", (-F.col("b.l")).alias("length"), F.col("b.d").alias("doc_id"), F.col("b.w").alias("doc_word"))
+
+
 MATCH = pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("length", pa.int64())])
 FOUND = {"n_words": pa.int64(), "hit": pa.list_(pa.int64()), "items": pa.list_(pa.string()), "matches": pa.list_(MATCH)}
 
 
+def shards(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch whose column ``text`` holds ``SHARD_BYTES`` at most, or one row."""
+    begin, held = 0, 0
+    for i, raw in enumerate(blobs(batch.column(text))):
+        if i > begin and held + len(raw or b"") > SHARD_BYTES:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += len(raw or b"")
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def _look_through(docs: DataFrame, test: TestSuffixes, window: int, n_keep: int, place: int, *, first: bool, last: bool) -> DataFrame:
     """Adds what one block of items finds to what the blocks before it found; the text goes on only if there are more blocks."""
     fields = docs.schema.fields[: n_keep + (place == n_keep and not last)]
@@ -249,8 +313,7 @@ def _look_through(docs: DataFrame, test: TestSuffixes, window: int, n_keep: int,
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for part in shards(batch, place):
                 found = scan(blobs(part.column(place)), test, window)
                 hit, items = [x[1] for x in found], [sorted({test.ids[i] for i in x[2]} - {None}) for x in found]
                 matches = [[{"item": test.ids[i], "item_word": a, "doc_word": b, "length": n} for i, a, b, n in x[3]] for x in found]
