@@ -1,10 +1,11 @@
 """Substring dedup with super-k-mer partitioning.
 
 A window is ``k`` consecutive words. Its minimiser is the least hash of the ``m``-word grams in it; consecutive windows that share a
-minimiser form a super-k-mer. Windows that are equal have equal minimisers, so a minimiser met in one document only is settled.
-The super-k-mers of the others travel as packed strings to their minimiser's bucket, equal strings as one row with their smallest
-doc_id; there the windows are sorted and the smallest doc_id of each is found by comparing them whole. Buckets beyond ``HOT``
-strings are not gathered: their windows are counted one by one by 128-bit digest, with partial sums before the shuffle.
+minimiser, ``LONGEST`` at most, form a super-k-mer. Windows that are equal have equal minimisers, so a minimiser met in one document
+only is settled. The super-k-mers of the others travel as packed strings to their minimiser's bucket, equal strings as one row with
+their smallest doc_id; there the windows are sorted and the smallest doc_id of each is found by comparing them whole. A bucket of more
+than ``HOT`` strings is dealt on by the windows themselves: equal ones fall together before they travel, and they are grouped by their
+words, so no task holds such a bucket.
 
 A word is removed if a window that covers it also starts in a document with a smaller doc_id.
 
@@ -24,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blobs, materialize, power_hashes, signed
+from .common import WordHashes, blobs, materialize, power_hashes, signed, spread_join
 
 #: Words of the grams that minimisers are chosen from.
 GRAM = 14
-#: Distinct strings that one minimiser's bucket may hold in memory.
-HOT = 4_000
+#: Windows of a super-k-mer at most: a periodic text has one minimiser throughout.
+LONGEST = 64
+#: Distinct strings that one minimiser's bucket may hold in memory; none is longer than ``LONGEST`` windows.
+HOT = 1_000
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -50,6 +53,11 @@ def super_kmers(words: list[bytes], hashes: WordHashes, k: int, m: int) -> tuple
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     least = sliding_min(power_hashes(hashes.of(words), m, 3), k - m + 1)
     first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    size = np.diff(np.append(first, len(least)))
+    if size.max() > LONGEST:  # cut in steps from the run's own start, so that equal runs are cut alike
+        parts = -(-size // LONGEST)
+        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = np.repeat(first, parts) + step * LONGEST
     return signed(least[first]), first, np.diff(np.append(first, len(least)))
 
 
@@ -111,8 +119,10 @@ def repeated_spans(docs: DataFrame, k: int = 50, m: int = GRAM, doc_id: str = "d
 
     scanned = materialize(rows.select("doc_id", "key", "text").mapInArrow(scan, "doc_id long, key long, n_words long, sha string, mins array<long>"), "substring-scan")
     single = scanned.where("doc_id is not null").select("doc_id", "key", F.explode("mins").alias("mh"))
-    shared = single.groupBy("mh").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mh")
-    wanted = single.join(shared, "mh", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("mh").alias("mins"))
+    shared = single.groupBy("mh").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("met")).where("a < b").select("mh", "met")
+    shared = materialize(shared, "substring-shared")
+    n_single = shared.agg(F.sum("met")).first()[0] or 0
+    wanted = spread_join(single, shared, "mh", "met", n_single, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.collect_set("mh").alias("mins"))
     texts = materialize(rows.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "mins"), "substring-texts")
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +143,12 @@ def repeated_spans(docs: DataFrame, k: int = 50, m: int = GRAM, doc_id: str = "d
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["mh", "sid", "doc_id", "key", "start", "size", "packed"])
 
     packed = materialize(texts.mapInArrow(pack, "mh long, sid binary, doc_id long, key long, start long, size long, packed binary"), "substring-packed")
-    strings = materialize(packed.groupBy("mh", "sid", "size", "packed").agg(F.min("doc_id").alias("first")), "substring-strings")
-    sizes = strings.groupBy("mh").agg(F.count("*").alias("n"))
-    cold = strings.join(sizes.where(f"n > 1 and n <= {hot}").select("mh"), "mh", "left_semi")
+    strings = materialize(packed.groupBy("mh", "sid", "size", "packed").agg(F.min("doc_id").alias("first"), F.count("*").alias("met")), "substring-strings")
+    sizes = materialize(strings.groupBy("mh").agg(F.count("*").alias("n")).where("n > 1"), "substring-sizes")
+    n_strings = sizes.agg(F.sum("n")).first()[0] or 0
+    split = F.broadcast if n_strings // max(1, hot) < 1 << 20 else (lambda df: df)  # so few buckets can be crowded
+    crowded = strings.join(split(sizes.where(f"n > {hot}").select("mh")), "mh", "left_semi")
+    cold = strings.join(sizes.where(f"n <= {hot}").select("mh"), "mh", "left_semi")
 
     def settle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -164,20 +177,28 @@ def repeated_spans(docs: DataFrame, k: int = 50, m: int = GRAM, doc_id: str = "d
     inner = cold.repartition("mh").sortWithinPartitions("mh").mapInArrow(settle, "sid binary, first long, lo long, hi long")
 
     def windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in parts:
             for sid, first, string in zip(*[batch.column(c).to_pylist() for c in ("sid", "first", "packed")], strict=True):
-                own = hashes.of(string.split())
-                a, b = power_hashes(own, k, 11), power_hashes(own, k, 12)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b)), pa.array([sid] * len(a), pa.binary()), pa.array([first] * len(a), pa.int64()), pa.array(np.arange(len(a)))], names=["w1", "w2", "sid", "first", "lo"])
-
-    crowded = strings.join(sizes.where(f"n > {hot}").select("mh"), "mh", "left_semi")
-    each = crowded.mapInArrow(windows, "w1 long, w2 long, sid binary, first long, lo long")
-    least = each.groupBy("w1", "w2").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most")
-    inner = inner.unionByName(each.join(least, ["w1", "w2"]).where("least < first").select("sid", "first", "lo", F.col("lo").alias("hi")))
+                ends = [p for p, c in enumerate(string) if c == 32] + [len(string)]
+                starts = [0, *[e + 1 for e in ends[:-1]]]
+                own = [string[starts[j] : ends[j + k - 1]] for j in range(len(starts) - k + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([sid] * len(own), pa.binary()), pa.array([first] * len(own), pa.int64()), pa.array(np.arange(len(own)))], names=["window", "sid", "first", "lo"])
+
+    each = crowded.select("sid", "first", "packed").mapInArrow(windows, "window binary, sid binary, first long, lo long")
+    least = each.groupBy("window").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count("*").alias("met")).where("least < most")
+    least = materialize(least.select("window", "least", "met"), "substring-windows")
+    n_windows = least.agg(F.sum("met")).first()[0] or 0
+    again = spread_join(each, least, "window", "met", n_windows, ["sid", "lo"])
+    inner = inner.unionByName(again.where("least < first").select("sid", "first", "lo", F.col("lo").alias("hi")))
     places = packed.select("sid", "doc_id", "key", "start", "size")
-    later = places.join(strings.select("sid", "first"), "sid").where("doc_id > first").select("doc_id", "key", F.col("start").alias("a"), (F.col("start") + F.col("size") + F.lit(k - 2)).alias("b"))
-    within = places.join(inner, "sid").where("doc_id = first").select("doc_id", "key", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + F.lit(k - 1)).alias("b"))
+    n_places = strings.agg(F.sum("met")).first()[0] or 0
+    # a string of one place has no later one
+    later = spread_join(places, strings.where("met > 1").select("sid", "first", "met"), "sid", "met", n_places, ["doc_id", "start"]).where("doc_id > first")
+    later = later.select("doc_id", "key", F.col("start").alias("a"), (F.col("start") + F.col("size") + F.lit(k - 2)).alias("b"))
+    # all places of a string in its first document, none of the others
+    inner = inner.groupBy("sid", "first").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    within = places.join(inner, (F.col("doc_id") == F.col("first")) & (places["sid"] == inner["sid"])).select("doc_id", "key", "start", F.explode("ranges").alias("r"))
+    within = within.select("doc_id", "key", (F.col("start") + F.col("r.lo")).alias("a"), (F.col("start") + F.col("r.hi") + F.lit(k - 1)).alias("b"))
     return scanned.drop("mins"), later.unionByName(within), texts.select("doc_id", "key", "text")
 
 
