@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blobs, gram_hashes, materialize, mix64, signed
+from .common import WordHashes, blobs, discard, gram_hashes, materialize, mix64, signed, spread_join
 
 REGISTERS = 128
 BANDS = 32
 BASE = 1.02
 #: Members of a bucket that are compared with as many others in one place.
 BLOCK = 1024
+#: Bytes of shingle hashes in such a block; two blocks are held at a time.
+BLOCK_BYTES = 16 << 20
 #: Similarity below which the likelihood rules a pair out is this much below the threshold (7 standard errors).
 SLACK = 0.25
 
@@ -133,9 +135,17 @@ def plausible(a: Column, b: Column, threshold: float) -> Column:
     return sizes & F.when(sizes, slope >= 0).otherwise(F.lit(False))
 
 
+def with_leader(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the facts of ``a``, which may lead very many pairs. Facts of a node may be repeated."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("met"))
+    counted = counts.join(facts.dropDuplicates(["a"]), "a")
+    return spread_join(pairs, counted, "a", "met", pairs.count(), ["b"])
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    found = pairs.join(sets.select(F.col("uid").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("uid").alias("b"), F.col("grams").alias("gb")), "b")
+    pairs = materialize(pairs, "neardup-plausible")
+    found = with_leader(pairs, sets.select(F.col("uid").alias("a"), F.col("grams").alias("ga"))).join(sets.select(F.col("uid").alias("b"), F.col("grams").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     return found.where(100 * common >= percent * (F.size("ga") + F.size("gb") - common)).select("a", "b").distinct()
 
@@ -146,12 +156,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("u", "v", "m")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("met")).select("u", F.least("u", "m").alias("m"), "met")
+        large = spread_join(both, low, "u", "met", 2 * e.count(), ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, label)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("met"))
+        small = spread_join(large, low, "u", "met", large.count(), ["v"])
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        e = materialize(small.distinct(), label)
+        before, e = e, materialize(small.distinct(), label)
+        discard(before, large)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -160,14 +172,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def across(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the components ``root`` within each bucket of ``members`` (bucket, uid, size, root).
+    """Links (a, b) between the components ``root`` within each bucket of ``members`` (bucket, uid, size, grams, root).
 
-    A bucket is cut into blocks of about ``BLOCK`` members, and every two blocks meet in one place, where pairs of different
+    A bucket is cut into blocks of about ``BLOCK`` members, or of ``BLOCK_BYTES`` in shingles if that is less, and every two blocks meet in one place, where pairs of different
     components are compared in memory: only links leave it, and none between what earlier links there have joined. A pair that
     shares several buckets is compared in that of its first common band.
     """
     facts = known.select("uid", "registers", "bands").join(sets.groupBy("uid").agg(F.first("grams").alias("grams")), "uid")
-    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    parts = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.least(F.col("size"), F.ceil(8 * F.col("grams") / F.lit(BLOCK_BYTES)))).cast("int")
     rows = members.select("bucket", "uid", "root", parts.alias("parts"), F.pmod(F.xxhash64("uid"), parts).cast("int").alias("own"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "root").join(facts, "uid")
@@ -247,9 +259,11 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "do
     every = sketches(docs, shingle, doc_id, text)
     nodes = materialize(every.where("n > 0").groupBy("fp").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least_id")), "neardup-nodes")
     own = every.join(nodes.select("uid"), "uid", "left_semi")
-    banded = own.select("uid", F.explode("bands").alias("bucket"))
-    led = banded.groupBy("bucket").agg(F.min("uid").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(banded.join(led, "bucket").select("bucket", "uid", "leader", "size"), "neardup-members")
+    banded = own.select("uid", "n", F.explode("bands").alias("bucket"))
+    led = banded.groupBy("bucket").agg(F.min("uid").alias("leader"), F.count("*").alias("size"), F.sum("n").alias("grams")).where("size > 1")
+    led = materialize(led.withColumn("met", F.col("size")), "neardup-leaders")
+    total = led.agg(F.sum("met")).first()[0] or 0
+    members = materialize(spread_join(banded.drop("n"), led, "bucket", "met", total, ["uid"]).select("bucket", "uid", "leader", "size", "grams"), "neardup-members")
     known = own.join(members.select("uid").distinct(), "uid", "left_semi")
     known = materialize(known.select("uid", "doc_id", "key", "n", "registers", "bands"), "neardup-known")
     sets = shingle_sets(docs, known.select("uid", "doc_id", "key"), shingle, doc_id, text)
@@ -257,12 +271,12 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "do
 
     def judged(pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that the likelihood leaves, verified."""
-        left = pairs.join(facts.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a").join(facts.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
+        left = with_leader(pairs, facts.select(F.col("uid").alias("a"), F.col("s").alias("sa"))).join(facts.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
         return verify(left.where(plausible(F.col("sa"), F.col("sb"), threshold)).select("a", "b"), sets, percent)
 
-    links = materialize(judged(members.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()), "neardup-links")
+    links = materialize(judged(materialize(members.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct(), "neardup-led")), "neardup-links")
     roots = components(links)
-    others = members.where("size > 2 and uid <> leader").select("bucket", "uid", "size")
+    others = members.where("size > 2 and uid <> leader").select("bucket", "uid", "size", "grams")
     placed = others.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     unsettled = materialize(placed.join(split, "bucket", "left_semi"), "neardup-unsettled")
