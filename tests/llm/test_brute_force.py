@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import naive
 import numpy as np
 import public_tokenizers
 import pytest
@@ -63,17 +64,16 @@ def test_bpe_query(spark, docs):
 
 def test_line_dedup_query(spark, docs):
     got = {r["doc_id"]: r for r in queries.op3_line_dedup(spark, SF).collect()}
-    seen = set()
-    for i, text in sorted(docs):
-        kept, removed = [], 0
-        for _, n, chunk in linededup.chunks(text.encode()):
-            if linededup.counted(chunk) and chunk in seen:
-                removed += n
-                continue
-            if linededup.counted(chunk):
-                seen.add(chunk)
-            kept.append(chunk)
-        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (removed, hashlib.sha256(b"\n".join(kept)).hexdigest())
+    for i, (left, removed) in naive.without_repeated_lines(dict(docs)).items():
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (removed, hashlib.sha256((left or "").encode()).hexdigest())
+
+
+def test_language_query_against_plain_version(spark):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r["doc_id"]: r for r in queries.op7_language_id(spark, SF).collect()}
+    for i, (lang, score, ambiguous) in naive.languages(rows).items():
+        assert abs(got[i]["score"] - score) < 1e-3
+        assert got[i]["lang_pred"] == lang or ambiguous
 
 
 def test_chunk_ends_resist_shifts():
@@ -214,18 +214,9 @@ def test_pipeline_against_its_stages(spark, tmp_path):
 
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
     rows = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    told = {r["doc_id"] for r in langid.identify(spark.read.parquet(f"{SF}/documents.parquet"), keep=["doc_id"]).where("lang_pred <> 'und' and not ambiguous").collect()}
-    seen, texts = set(), {}
-    for i in sorted(told):
-        kept = []
-        for _, _, chunk in linededup.chunks(rows[i]["text"].encode()):
-            if linededup.counted(chunk) and chunk in seen:
-                continue
-            if linededup.counted(chunk):
-                seen.add(chunk)
-            kept.append(chunk)
-        if kept:
-            texts[i] = b"\n".join(kept)
+    told = {i for i, (lang, _, ambiguous) in naive.languages([(r["doc_id"], r["text"], r["lang"]) for r in rows.values()]).items() if lang != "und" and not ambiguous}
+    cut = naive.without_repeated_lines({i: rows[i]["text"] for i in told})
+    texts = {i: left.encode() for i, (left, removed) in cut.items() if left or not removed}
     sets = {i: {tuple(w[k : k + min(5, len(w))]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in ((i, t.lower().split()) for i, t in texts.items())}
     parent = {i: i for i in sets}
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, blobs, free_name, materialize
+from .common import MASK64, blobs, free_name, materialize, spread_join
 
 #: Lines in the rolling hash, the mean distance of chunk ends, and the fewest lines of a chunk.
 WINDOW = 2
@@ -92,8 +92,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     scanned = materialize(rows.mapInArrow(scan, "ord long, key long, n_lines long, sha string, found array<struct<i:int,h:binary>>"), "lines-scan")
     each = scanned.select("ord", "key", F.explode("found").alias("c")).select("ord", "key", F.col("c.i").alias("i"), F.col("c.h").alias("h"))
-    repeated = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = each.join(repeated, "h", "left_semi").groupBy("ord", "key").agg(F.collect_set("i").alias("at"))
+    repeated = materialize(each.groupBy("h").agg(F.count("*").alias("met")).where("met > 1"), "lines-repeated")
+    n_repeated = repeated.agg(F.sum("met")).first()[0] or 0
+    wanted = spread_join(each, repeated, "h", "met", n_repeated, ["ord", "key", "i"]).groupBy("ord", "key").agg(F.collect_set("i").alias("at"))
     texts = materialize(rows.join(wanted, ["ord", "key"]).select("ord", "key", "text", "at"), "lines-texts")
 
     def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +113,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     places = materialize(texts.mapInArrow(fetch, "ord long, key long, i int, n int, s binary, passage binary"), "lines-places")
     # grouping by the passage itself compares its bytes; a repeated row's passages fall together
-    first = places.groupBy("s", "passage").agg(F.min(F.struct("ord", "key", "i")).alias("f"), F.count("*").alias("met")).where("met > 1").select("s", "f")
-    later = places.select("ord", "key", "i", "n", "s").join(first, "s").where(F.struct("ord", "key", "i") > F.col("f"))
+    first = places.groupBy("s", "passage").agg(F.min(F.struct("ord", "key", "i")).alias("f"), F.count("*").alias("met")).where("met > 1").select("s", "f", "met")
+    first = materialize(first, "lines-first")
+    n_first = first.agg(F.sum("met")).first()[0] or 0
+    later = spread_join(places.select("ord", "key", "i", "n", "s"), first, "s", "met", n_first, ["ord", "key", "i"]).where(F.struct("ord", "key", "i") > F.col("f"))
     gone = later.where("not (ord = f.ord and key = f.key and i < f.i + n)")
     return scanned.drop("found"), gone.groupBy("ord", "key").agg(F.collect_set("i").alias("gone")), texts.select("ord", "key", "text")
 
