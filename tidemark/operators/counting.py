@@ -141,12 +141,22 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(F.length(a) == F.length(b), F.lit(False)), differ).otherwise(F.raise_error(F.lit("hamming needs two strings of equal length")))
 
 
+#: Barcodes that may be compared pair by pair.
+MOST_BARCODES = 100_000
+
+
 def barcode_distances(barcodes: DataFrame, column: str = "barcode") -> DataFrame:
-    """``distance, n`` over all unordered pairs of barcodes at different places. Barcode sets are small; the pairs are dealt by block."""
-    indexed = barcodes.select(F.col(column).alias("a")).withColumn("i", F.monotonically_increasing_id())
-    other = indexed.select(F.col("a").alias("b"), F.col("i").alias("j"))
-    pairs = indexed.join(other, F.col("i") < F.col("j"))
-    return pairs.select(hamming(F.col("a"), F.col("b")).alias("distance")).groupBy("distance").agg(F.count("*").alias("n"))
+    """``distance, n`` over all unordered pairs of barcodes at different places.
+
+    Equal barcodes are counted first, and only pairs of different ones are compared. More than ``MOST_BARCODES`` of these are an error.
+    """
+    counts = barcodes.groupBy(F.col(column).alias("a")).agg(F.count("*").alias("n"))
+    checked = counts.agg(F.count("*").alias("c")).select(F.when(F.col("c") > MOST_BARCODES, F.raise_error(F.lit(f"more than {MOST_BARCODES} different barcodes")).cast("boolean")).otherwise(F.lit(True)).alias("ok"))
+    counts = counts.crossJoin(F.broadcast(checked)).where("ok").drop("ok")  # one row
+    other = counts.select(F.col("a").alias("b"), F.col("n").alias("m"))
+    pairs = counts.join(other, F.col("a") < F.col("b")).select(hamming(F.col("a"), F.col("b")).alias("distance"), (F.col("n") * F.col("m")).alias("n"))
+    same = counts.where("n > 1").select(F.lit(0).alias("distance"), F.expr("n * (n - 1) div 2").alias("n"))
+    return pairs.unionByName(same).groupBy("distance").agg(F.sum("n").alias("n"))
 
 
 def demultiplex(reads: DataFrame, barcodes: DataFrame, mismatches: int = 0, column: str = "index") -> DataFrame:

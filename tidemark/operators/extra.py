@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import sequences as sq
 from tidemark.operators import stats as so
+from tidemark.operators.intervals import two_level
 
 
-def interval_index(df: DataFrame, keys: tuple[str, ...] = ("chr",)) -> DataFrame:
-    """Every interval with its place (from 0) by start and end on its reference, and whether it is the first or the last there."""
-    up = Window.partitionBy(*keys).orderBy("start", "end")
+def interval_index(df: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 << 16) -> DataFrame:
+    """Every interval with its place (from 0) on its reference, by start and, of equal starts, the longer first, and whether it is the first or the last there."""
     ends = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    out = df.withColumn("place", F.row_number().over(up) - 1).join(ends, list(keys))
-    return out.withColumn("is_first", F.col("place") == 0).withColumn("is_last", F.col("place") == F.col("__n") - 1).drop("__n")
+    out = two_level(df, keys, ["start", F.desc("end")], "start", F.lit(1), "sum", width, "__k").withColumn("place", F.col("__k") - 1).join(ends, list(keys))
+    return out.withColumn("is_first", F.col("place") == 0).withColumn("is_last", F.col("place") == F.col("__n") - 1).drop("__n", "__k")
 
 
-def floor_lookup(probes: DataFrame, df: DataFrame, keys: tuple[str, ...] = ("chr",)) -> DataFrame:
-    """For each probe (keys, pos) the greatest start at or below it, and the least above it: one ordered pass over both."""
-    both = probes.select(*keys, "pos", F.lit(None).cast("long").alias("start")).unionByName(df.select(*keys, F.col("start").alias("pos"), F.col("start").cast("long").alias("start")))
-    up = Window.partitionBy(*keys).orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*keys).orderBy("pos").rangeBetween(1, Window.unboundedFollowing)
-    marked = both.withColumn("floor", F.max("start").over(up)).withColumn("above", F.min("start").over(after))
-    return marked.where("start is null").select(*keys, "pos", "floor", "above")
+def floor_lookup(probes: DataFrame, df: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 << 16) -> DataFrame:
+    """For each probe (keys, pos) the greatest start at or below it, and the least above it: an ordered pass each way over both."""
+    both = probes.select(*keys, "pos", F.lit(1).alias("side"), F.lit(None).cast("long").alias("start")).unionByName(df.select(*keys, F.col("start").alias("pos"), F.lit(0).alias("side"), F.col("start").cast("long").alias("start")))
+    up = two_level(both, keys, ["pos", "side"], "pos", F.col("start"), "max", width, "floor")
+    # downwards, probes before the starts at their own place
+    down = two_level(up, keys, [F.desc("pos"), F.desc("side")], -F.col("pos"), -F.col("start"), "max", width, "above")
+    return down.where("side = 1").select(*keys, "pos", "floor", (-F.col("above")).alias("above"))
 
 
 def compare_distributions(df: DataFrame, group: str, a: str, b: str, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -73,6 +73,14 @@ def melting_point(seq: Column) -> Column:
     return F.when(n < 14, 2.0 * (n - gc) + 4.0 * gc).otherwise(64.9 + 41 * (gc - 16.4) / n)
 
 
+def primer_scores(df: DataFrame, keys: list[str], seq: str, length: int) -> DataFrame:
+    """``keys, start, tm`` of every window of ``length`` bases; a shorter sequence is one window, an empty one none."""
+    n = F.length(seq)
+    starts = F.when(n > length, F.sequence(F.lit(0), n - length)).when(n > 0, F.array(F.lit(0)))
+    each = df.select(*keys, F.col(seq).alias("__s"), F.explode(starts).alias("start"))
+    return each.select(*keys, "start", melting_point(F.substring("__s", F.col("start") + 1, F.lit(length))).alias("tm"))
+
+
 def has_hairpin(seq: Column, stem: int, loop: int = 3) -> Column:
     """Whether some ``stem`` bases meet their reverse complement at least ``loop`` bases further on."""
     starts = F.sequence(F.lit(1), F.length(seq) - 2 * stem - loop + 1)

@@ -38,23 +38,23 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int, keys: tuple[str,
         cond &= F.col(k) == F.col(rn(k))
     if how == "inner":
         return lefts.join(rights, cond & (b == later)).drop("__bin", "__bin_r")
-    if how == "left_semi":
-        return lefts.join(rights, cond, "left_semi").drop("__bin").dropDuplicates()
-    hit = lefts.join(rights, cond, "left_semi").select(*left.columns).distinct()
-    same = [left[c].eqNullSafe(hit[c]) for c in left.columns]
-    out = same[0]
-    for c in same[1:]:
-        out &= c
-    return left.join(hit, out, "left_anti")
+    # membership depends on the key and the interval alone, so repeated rows and columns of any type are left as they are
+    own = [*keys, "start", "end"]
+    found = lefts.select(*own, "__bin").distinct().join(rights, cond, "left_semi").select(*[F.col(c).alias(f"__{c}") for c in own]).distinct()
+    same = F.lit(True)
+    for c in own:
+        same &= F.col(c) == F.col(f"__{c}")
+    return left.join(found, same, how)
 
 
-def two_level(df: DataFrame, keys: tuple[str, ...], order: list, position: str, value: Column, how: str, width: int, name: str, inclusive: bool = True) -> DataFrame:
+def two_level(df: DataFrame, keys: tuple[str, ...], order: list, position: str | Column, value: Column, how: str, width: float, name: str, inclusive: bool = True) -> DataFrame:
     """Running ``sum`` or ``max`` of ``value`` over rows ordered by ``order`` within ``keys`` as column ``name``.
 
-    Rows are dealt by (keys, bin of the position); what earlier bins add is one row a bin.
+    Rows are dealt by (keys, bin of the position, which must not fall along the order); what earlier bins add is one row a bin.
     """
     agg = F.sum if how == "sum" else F.max
-    binned = df.withColumn("__bin", F.floor(F.col(position) / F.lit(width)).cast("long")).withColumn("__v", value)
+    at = F.col(position) if isinstance(position, str) else position
+    binned = df.withColumn("__bin", F.floor(at / F.lit(width)).cast("long")).withColumn("__v", value)
     totals = binned.groupBy(*keys, "__bin").agg(agg("__v").alias("__t"))
     over_bins = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*keys, "__bin", agg("__t").over(over_bins).alias("__c"))
@@ -87,10 +87,10 @@ def merge(df: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 << 16,
 
 def touching(df: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 << 16) -> DataFrame:
     """``keys, start, end`` of the covered stretches, those that touch joined."""
-    depth_rows = coverage(df, keys, width).where("depth > 0")
-    order = Window.partitionBy(*keys).orderBy("start")
-    marked = depth_rows.withColumn("__new", F.when(F.lag("end").over(order) == F.col("start"), 0).otherwise(1))
-    marked = marked.withColumn("__n", F.sum("__new").over(order))
+    parts = coverage(df, keys, width).where("depth > 0").select(*keys, "start", "end")
+    # the stretches are disjoint, so the greatest end before one is the end of the one before it
+    marked = two_level(parts, keys, ["start"], "start", F.col("end"), "max", width, "__before", inclusive=False)
+    marked = two_level(marked, keys, ["start"], "start", F.when(F.col("__before") == F.col("start"), 0).otherwise(1), "sum", width, "__n")
     return marked.groupBy(*keys, "__n").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__n")
 
 
@@ -112,9 +112,8 @@ def coverage(df: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 <<
 def complement(df: DataFrame, lengths: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 << 16) -> DataFrame:
     """``keys, start, end`` of what the intervals leave uncovered of [0, length)."""
     edges = merge(df, keys, width).select(*keys, "start", "end").unionByName(lengths.select(*keys, F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).unionByName(lengths.select(*keys, F.col("length").alias("start"), F.col("length").alias("end")))
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    gaps = edges.select(*keys, F.lag("end").over(order).alias("start"), F.col("start").alias("end"))
-    return gaps.where("start < end")
+    gaps = two_level(edges, keys, ["start", "end"], "start", F.col("end"), "max", width, "__before", inclusive=False)
+    return gaps.select(*keys, F.col("__before").alias("start"), F.col("start").alias("end")).where("start < end")
 
 
 def minus(a: DataFrame, b: DataFrame, width: int, keys: tuple[str, ...] = ("chr",)) -> DataFrame:
@@ -124,20 +123,24 @@ def minus(a: DataFrame, b: DataFrame, width: int, keys: tuple[str, ...] = ("chr"
     return touching(parts.select(*keys, "start", "end"), keys, width)
 
 
-def nearest(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("chr",), id_a: str = "name", id_b: str = "name") -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("chr",), id_a: str = "name", id_b: str = "name", width: int = 1 << 16) -> DataFrame:
     """For each row of a, the distance to the nearest row of b and the smallest id among the nearest: ``keys, id_a, near, distance``.
 
     Candidates are the overlapping ones (distance 0), the b that ends last before a's start and the one that starts first after its
-    end; both come from one ordered pass, not from pairs.
+    end; both come from one ordered pass in two levels, not from pairs.
     """
-    w = Window.partitionBy(*keys).orderBy("pos", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = b.select(*keys, F.col("end").alias("pos"), F.lit(0).alias("side"), F.struct(F.col("end").alias("at"), (-F.col(id_b)).alias("id")).alias("b"), F.lit(None).cast("long").alias("aid"))
-    starts = a.select(*keys, F.col("start").alias("pos"), F.lit(1).alias("side"), F.lit(None).cast("struct<at:bigint,id:bigint>").alias("b"), F.col(id_a).alias("aid"))
-    left = ends.unionByName(starts).withColumn("before", F.max("b").over(w)).where("side = 1").select(*keys, "aid", F.col("before.at").alias("l_at"), (-F.col("before.id")).alias("l_id"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("pos"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    begins = b.select(*keys, F.col("start").alias("pos"), F.lit(0).alias("side"), F.struct(F.col("start").alias("at"), F.col(id_b).alias("id")).alias("b"), F.lit(None).cast("long").alias("aid"))
-    stops = a.select(*keys, F.col("end").alias("pos"), F.lit(1).alias("side"), F.lit(None).cast("struct<at:bigint,id:bigint>").alias("b"), F.col(id_a).alias("aid"))
-    right = begins.unionByName(stops).withColumn("after", F.min("b").over(down)).where("side = 1").select(*keys, "aid", F.col("after.at").alias("r_at"), F.col("after.id").alias("r_id"))
+    at = "struct<at:bigint,id:bigint>"
+
+    def last_before(ours: Column, theirs: Column, names: list[str]) -> DataFrame:
+        """For each of our places, the greatest of theirs at or before it and the smallest id there."""
+        they = b.select(*keys, theirs.alias("pos"), F.lit(0).alias("side"), F.struct(theirs.alias("at"), (-F.col(id_b)).alias("id")).cast(at).alias("b"), F.lit(None).cast("long").alias("aid"))
+        we = a.select(*keys, ours.alias("pos"), F.lit(1).alias("side"), F.lit(None).cast(at).alias("b"), F.col(id_a).alias("aid"))
+        met = two_level(they.unionByName(we), keys, ["pos", "side"], "pos", F.col("b"), "max", width, "m").where("side = 1")
+        return met.select(*keys, "aid", F.col("m.at").alias(names[0]), (-F.col("m.id")).alias(names[1]))
+
+    left = last_before(F.col("start"), F.col("end"), ["l_at", "l_id"])
+    # the other way round on the mirrored axis
+    right = last_before(-F.col("end"), -F.col("start"), ["r_at", "r_id"]).withColumn("r_at", -F.col("r_at"))
     length = b.agg(F.percentile_approx(F.col("end") - F.col("start"), 0.9)).first()[0] or 1
     over = overlap_join(a.select(*keys, "start", "end", F.col(id_a).alias("aid")), b.select(*keys, "start", "end", F.col(id_b).alias("bid")), max(1, int(length)), keys).groupBy(*keys, "aid").agg(F.min("bid").alias("o_id"))
     out = a.select(*keys, F.col(id_a).alias("aid"), "start", "end").join(left, [*keys, "aid"], "left").join(right, [*keys, "aid"], "left").join(over, [*keys, "aid"], "left")

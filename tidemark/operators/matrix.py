@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.stats import average_rank
+from tidemark.operators.stats import average_rank, running
 
 
 def _by(axis: str) -> str:
@@ -44,7 +44,10 @@ def z_normalize(m: DataFrame, axis: str = "col", log: bool = False) -> DataFrame
 
 def quantile_normalize(m: DataFrame) -> DataFrame:
     """Every column gets the same values: the mean over columns of the k-th smallest takes k's place, ties in the order of rows."""
-    ranked = m.withColumn("k", F.row_number().over(Window.partitionBy("col").orderBy("value", "row")))
+    # places within a column in two levels: equal values are counted, and only their own rows are ordered by name
+    counts = running(m.groupBy("col", "value").agg(F.count("*").alias("n")), "value", ["col"], {"upto": "n"})
+    tie = F.row_number().over(Window.partitionBy("col", "value").orderBy("row"))
+    ranked = m.withColumn("tie", tie).join(counts, ["col", "value"]).select("row", "col", "value", (F.col("upto") - F.col("n") + F.col("tie")).alias("k"))
     means = ranked.groupBy("k").agg(F.avg("value").alias("q"))
     return ranked.join(means, "k").select("row", "col", F.col("q").alias("value"))
 
@@ -186,6 +189,26 @@ def kmeans(vectors: DataFrame, k: int, vector: str, seed: int = 1, iterations: i
     return out.drop("features"), ClusteringEvaluator(predictionCol="cluster").evaluate(out)
 
 
+def lloyd(vectors: DataFrame, vector: str, starts: list[list[float]], rounds: int, digits: int = 6) -> DataFrame:
+    """Rows with the ``cluster`` of the nearest center after ``rounds`` of Lloyd's algorithm from ``starts``.
+
+    Ties go to the smaller cluster, a center without rows stays, and centers are rounded to ``digits``, so that the order of summing
+    doesn't show. The driver holds the centers; sums are taken by (cluster, component), partial ones first.
+    """
+    centers = [[round(float(x), digits) for x in c] for c in starts]
+
+    def assigned() -> DataFrame:
+        far = lambda c: F.round(F.aggregate(F.zip_with(F.col(vector), F.array(*[F.lit(x) for x in c]), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x), 9)
+        best = F.array_min(F.array(*[F.struct(far(c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centers)]))
+        return vectors.withColumn("cluster", best["k"])
+
+    for _ in range(rounds):
+        each = assigned().select("cluster", F.posexplode(vector).alias("i", "x"))
+        for r in each.groupBy("cluster", "i").agg(F.round(F.avg("x"), digits).alias("x")).collect():
+            centers[r["cluster"]][r["i"]] = r["x"]
+    return assigned()
+
+
 def linear_algebra(m: DataFrame, what: str) -> DataFrame:
     """``cholesky``, ``inverse``, ``qr_r``, ``singular`` or ``eigen`` of a small square matrix whose rows and columns share names: a long matrix.
 

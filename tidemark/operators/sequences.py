@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import sequences as sq
 from tidemark.operators.intervals import overlap_join
+from tidemark.operators.stats import seeded
 
 
 def kmer_counts(df: DataFrame, seq: str, k: int, keys: list[str] | None = None) -> DataFrame:
@@ -49,7 +50,7 @@ def permute_annotations(annotations: DataFrame, lengths: DataFrame, mask: DataFr
     size = F.col("end") - F.col("start")
     tries = annotations.join(F.broadcast(lengths.select("chr", "length")), "chr").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))  # a row a reference
     room = F.greatest(F.col("length") - size + 1, F.lit(1))
-    at = F.pmod(F.xxhash64("name", "attempt", F.lit(seed)), room)
+    at = F.pmod(seeded([F.col("name"), F.col("attempt")], seed), room)
     drawn = tries.select("name", "chr", "attempt", at.alias("start"), (at + size).alias("end"), (size <= F.col("length")).alias("fits")).where("fits").drop("fits")
     if mask is not None:
         drawn = overlap_join(drawn, mask.select("chr", "start", "end"), width, how="left_anti")

@@ -7,6 +7,45 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats as st
 
+#: Ranges of values that an ordered pass over one key is dealt into.
+RANGES = 64
+
+
+def with_ranges(df: DataFrame, value: str, keys: list[str], name: str = "__range") -> DataFrame:
+    """The rows with the number of the range their value lies in, among ``RANGES`` that hold about as many rows of the key each.
+
+    Bounds are approximate percentiles, at most ``RANGES`` numbers a key, from partial sketches. Equal values lie in one range; null is
+    in the first.
+    """
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    bounds = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), shares, F.lit(1000))).alias("__bounds"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    bounds = bounds.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    placed = df.join(bounds, same).drop(*[f"__k_{k}" for k in keys]) if keys else df.crossJoin(F.broadcast(bounds))  # one row without keys
+    v = F.col(value).cast("double")
+    return placed.withColumn(name, F.coalesce(F.size(F.filter("__bounds", lambda b: b < v)), F.lit(0))).drop("__bounds")
+
+
+def running(df: DataFrame, value: str, keys: list[str], sums: dict[str, str], down: bool = False) -> DataFrame:
+    """Running sums (new name to column) over rows in the order of distinct ``value`` within the keys, downwards with ``down``, the row itself included.
+
+    In two levels: within ranges of the value, and over one row a range.
+    """
+    ranged = with_ranges(df, value, keys)
+    order, outer = (F.desc(value), F.desc("__range")) if down else (F.asc(value), F.asc("__range"))
+    totals = ranged.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy(outer).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "__range", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in sums])
+    within = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = ranged.select("*", *[F.sum(c).over(within).alias(f"__o_{n}") for n, c in sums.items()])
+    same = F.col("a.__range") == F.col("b.__range")
+    for k in keys:
+        same &= F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
+    met = own.alias("a").join(carried.alias("b"), same)
+    return met.select(*[F.col(f"a.`{c}`") for c in df.columns], *[(F.col(f"a.__o_{n}") + F.col(f"b.__c_{n}")).alias(n) for n in sums])
+
 
 def summary(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Count, sum, mean, extremes, median, sample variance and deviation, geometric mean and median absolute deviation per key."""
@@ -23,8 +62,7 @@ def average_rank(df: DataFrame, value: Column | str, keys: list[str], name: str
     v = F.col(value) if isinstance(value, str) else value
     marked = df.withColumn("__v", v)
     counts = marked.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
-    order = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("__n").over(order), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
+    ranks = running(counts, "__v", keys, {"__s": "__n"}).withColumn(name, F.col("__s") - F.col("__n") + (F.col("__n") + 1) / 2).drop("__n", "__s")
     cond = F.col("a.__v").eqNullSafe(F.col("b.__v"))
     for k in keys:
         cond &= F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
@@ -87,10 +125,17 @@ def benjamini_hochberg(df: DataFrame, p: str, keys: list[str] | None = None, nam
     """Adjusted p-values. Distinct p-values are counted first; only they are ordered."""
     keys = keys or []
     counts = df.groupBy(*keys, p).agg(F.count("*").alias("__n"))
-    up = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("__r", F.sum("__n").over(up)).withColumn("__m", F.sum("__n").over(Window.partitionBy(*keys)))
-    adjusted = ranked.withColumn(name, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__r")).over(down))).drop("__n", "__r", "__m")
+    ranked = running(counts, p, keys, {"__r": "__n"})
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__m"))
+    ranked = ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))
+    ranked = with_ranges(ranked.withColumn("__q", F.col(p) * F.col("__m") / F.col("__r")), p, keys)
+    # the least from this value upwards: within its range, and of the ranges above
+    lows = ranked.groupBy(*keys, "__range").agg(F.min("__q").alias("__low"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    lows = lows.select(*keys, "__range", F.min("__low").over(above).alias("__above"))
+    down = Window.partitionBy(*keys, "__range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    adjusted = ranked.withColumn("__own", F.min("__q").over(down)).join(lows, [*keys, "__range"])
+    adjusted = adjusted.select(*keys, p, F.least(F.lit(1.0), "__own", "__above").alias(name))
     return df.join(adjusted, [*keys, p])
 
 
@@ -102,11 +147,9 @@ def permutation_fdr(observed: DataFrame, permuted: DataFrame, score: str, permut
     e = permuted.select(F.abs(F.col(score)).alias("s"), F.lit(0).alias("o"), F.lit(1).alias("e"))
     n = permuted.select(permutation).distinct().count()
     totals = o.unionByName(e).groupBy("s").agg(F.sum("o").alias("o"), F.sum("e").alias("e"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    r = F.sum("o").over(down if at_least else before)
-    v = F.coalesce(F.sum("e").over(before), F.lit(0)) / n
-    out = totals.select("s", "o", r.alias("r"), v.alias("ev")).where("o > 0")
+    met = running(totals, "s", [], {"ro": "o", "re": "e"}, down=True)
+    r = F.col("ro") if at_least else F.col("ro") - F.col("o")
+    out = met.select("s", "o", r.alias("r"), ((F.col("re") - F.col("e")) / n).alias("ev")).where("o > 0")
     ratio = F.when(F.coalesce("r", F.lit(0)) == 0, F.col("ev") if none_is is None else F.lit(none_is)).otherwise(F.col("ev") / F.col("r"))
     return out.select(F.col("s").alias("score"), F.coalesce("r", F.lit(0)).alias("observed"), F.col("ev").alias("expected"), (F.least(F.lit(1.0), ratio) if cap else ratio).alias("fdr"))
 
@@ -117,8 +160,8 @@ def family_wise(observed: DataFrame, permuted: DataFrame, score: str, permutatio
     n = most.count()
     both = observed.select(F.abs(F.col(score)).alias("s")).distinct().withColumn("w", F.lit(0)).unionByName(most.select("s", F.lit(1).alias("w")))
     totals = both.groupBy("s").agg(F.sum("w").alias("w"), F.max(1 - F.col("w")).alias("seen"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return totals.select(F.col("s").alias("score"), "seen", (F.sum("w").over(down) / n).alias("fwer")).where("seen = 1").drop("seen")
+    met = running(totals, "s", [], {"reached": "w"}, down=True)
+    return met.where("seen = 1").select(F.col("s").alias("score"), (F.col("reached") / n).alias("fwer"))
 
 
 def enrichment_score(ranked: DataFrame, sets: DataFrame, rank: str = "rank", gene: str = "gene", score: str = "score") -> DataFrame:
@@ -164,7 +207,13 @@ def empirical(df: DataFrame, value: str, low: float, high: float, bins: int, key
 def permuted_labels(df: DataFrame, permutations: int, unit: str, seed: int) -> DataFrame:
     """Every row once for each permutation with a seeded random ``coin`` (0 or 1) for its unit: the same on every run and machine."""
     each = df.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    return each.withColumn("coin", F.pmod(F.shiftright(F.xxhash64(F.col(unit), "permutation", F.lit(seed)), 17), F.lit(2)).cast("int"))
+    return each.withColumn("coin", (seeded([F.col(unit), F.col("permutation")], seed) % 2).cast("int"))
+
+
+def seeded(columns: list[Column], seed: int) -> Column:
+    """A number of 60 bits from the columns' text and the seed: the first 15 digits of an md5."""
+    text = F.concat_ws("|", *[c.cast("string") for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def swap_test(df: DataFrame, a: str, b: str, permutations: int, unit: str, seed: int) -> DataFrame:

@@ -10,7 +10,7 @@ from tidemark.plans.sequence_queries import DNA, dna
 from tidemark.plans.views import GENES, MATRIX, READS, genes, matrix, reads, table
 
 
-@query("interval_index", f"""WITH {GENES} SELECT name, row_number() OVER w - 1 AS place, row_number() OVER w = 1 AS is_first, row_number() OVER w = count(*) OVER (PARTITION BY chr, strand) AS is_last FROM genes WINDOW w AS (PARTITION BY chr, strand ORDER BY start, "end")""")
+@query("interval_index", f"""WITH {GENES} SELECT name, row_number() OVER w - 1 AS place, row_number() OVER w = 1 AS is_first, row_number() OVER w = count(*) OVER (PARTITION BY chr, strand) AS is_last FROM genes WINDOW w AS (PARTITION BY chr, strand ORDER BY start, "end" DESC)""")
 def interval_index(spark, sf):
     return ex.interval_index(genes(spark, sf), ("chr", "strand")).select("name", F.col("place").cast("long").alias("place"), "is_first", "is_last")
 
@@ -47,10 +47,18 @@ def restriction_sites(spark, sf):
     return ex.restriction_sites(dna(spark, sf).select(F.col("item_id").cast("string").alias("id"), "seq"), {"DpnI": "GATC", "TaqI": "TCGA"})
 
 
-@query("melting_points", f"WITH {DNA} SELECT item_id, round(64.9 + 41 * (length(regexp_replace(substr(seq, 1, 20), '[^GC]', '', 'g')) - 16.4) / length(substr(seq, 1, 20)), 6) AS primer, (2.0 * (length(substr(seq, 1, 8)) - length(regexp_replace(substr(seq, 1, 8), '[^GC]', '', 'g'))) + 4.0 * length(regexp_replace(substr(seq, 1, 8), '[^GC]', '', 'g')))::DOUBLE AS seed FROM dna")
+_WINDOWS = "unnest(range(0, CASE WHEN length(seq) = 0 THEN 0 ELSE greatest(length(seq) - {0}, 0) + 1 END)) AS t(i)"
+_GC = "length(regexp_replace(w, '[^GC]', '', 'g'))"
+
+
+@query("melting_points", f"""WITH {DNA}, p AS (SELECT item_id, i, substr(seq, i + 1, 20) AS w FROM dna, {_WINDOWS.format(20)}), s AS (SELECT item_id, i, substr(seq, i + 1, 8) AS w FROM dna, {_WINDOWS.format(8)}),
+a AS (SELECT item_id, 20 AS size, i, CASE WHEN length(w) < 14 THEN 2.0 * (length(w) - {_GC}) + 4.0 * {_GC} ELSE 64.9 + 41 * ({_GC} - 16.4) / length(w) END AS tm FROM p UNION ALL SELECT item_id, 8, i, 2.0 * (length(w) - {_GC}) + 4.0 * {_GC} FROM s)
+SELECT item_id, size, i::INTEGER AS start, round(tm, 6)::DOUBLE AS tm FROM a""")
 def melting_points(spark, sf):
-    part = lambda n: F.substring("seq", 1, n)
-    return dna(spark, sf).select("item_id", F.round(ex.melting_point(part(20)), 6).alias("primer"), ex.melting_point(part(8)).alias("seed"))
+    """Every window of 20 bases (primers) and of 8 (seeds) of every sequence."""
+    d = dna(spark, sf)
+    parts = [ex.primer_scores(d, ["item_id"], "seq", n).select("item_id", F.lit(n).alias("size"), "start", F.round("tm", 6).alias("tm")) for n in (20, 8)]
+    return parts[0].unionByName(parts[1])
 
 
 @query("library_stats", f"WITH {DNA} SELECT count(*) AS reads, sum(length(seq))::BIGINT AS bases, min(length(seq))::INTEGER AS least, max(length(seq))::INTEGER AS most, round(avg(length(seq)), 6) AS mean_length, round(sum(length(regexp_replace(seq, '[^GC]', '', 'g'))) / sum(length(seq)), 9) AS gc, count(DISTINCT seq) AS distinct_reads FROM dna")

@@ -40,16 +40,18 @@ def intron_counts(spark, sf):
     return inside.join(exonic, ["name", "read"], "left_anti").groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("two_sample_scores", f"""WITH {READS}, {SCAN}, w AS (SELECT window_start, max(CASE WHEN chr = 'click' THEN n END) AS a, max(CASE WHEN chr = 'view' THEN n END) AS b, max(CASE WHEN chr = 'click' THEN m END) AS ma, max(CASE WHEN chr = 'view' THEN m END) AS mb FROM s GROUP BY window_start HAVING a IS NOT NULL AND b IS NOT NULL),
-x AS (SELECT *, ((a - ma) / a) * (ma / 3600 * ({AXIS} - 3600) * {PMF.format(k='(a - 1)', m='ma')}) AS ea, ((b - mb) / b) * (mb / 3600 * ({AXIS} - 3600) * {PMF.format(k='(b - 1)', m='mb')}) AS eb FROM w)
-SELECT window_start, a, b, round(a / ma / (b / mb), 6) AS ratio, round(log2(a / ma / (b / mb)), 6) AS log_ratio, round(CASE WHEN a <= 2 THEN 1 ELSE least(1, abs(1 - {CDF.format(k='a - 1', m='ma')} * exp(-ea))) END, 8) AS p_a, round(CASE WHEN b <= 2 THEN 1 ELSE least(1, abs(1 - {CDF.format(k='b - 1', m='mb')} * exp(-eb))) END, 8) AS p_b FROM x""")
+@query("two_sample_scores", f"""WITH {READS}, {SCAN}, w AS (SELECT window_start, coalesce(max(CASE WHEN chr = 'click' THEN n END), 0)::BIGINT AS a, coalesce(max(CASE WHEN chr = 'view' THEN n END), 0)::BIGINT AS b, (SELECT lam * 3600 FROM l WHERE chr = 'click') AS ma, (SELECT lam * 3600 FROM l WHERE chr = 'view') AS mb FROM s WHERE chr IN ('click', 'view') GROUP BY window_start),
+x AS (SELECT *, ((a - ma) / nullif(a, 0)) * (ma / 3600 * ({AXIS} - 3600) * {PMF.format(k='(a - 1)', m='ma')}) AS ea, ((b - mb) / nullif(b, 0)) * (mb / 3600 * ({AXIS} - 3600) * {PMF.format(k='(b - 1)', m='mb')}) AS eb FROM w)
+SELECT window_start, a, b, round(a / ma / nullif(b / mb, 0), 6) AS ratio, round(log2(nullif(a, 0) / ma / nullif(b / mb, 0)), 6) AS log_ratio, round(CASE WHEN a <= 2 THEN 1 ELSE least(1, abs(1 - {CDF.format(k='a - 1', m='ma')} * exp(-ea))) END, 8) AS p_a, round(CASE WHEN b <= 2 THEN 1 ELSE least(1, abs(1 - {CDF.format(k='b - 1', m='mb')} * exp(-eb))) END, 8) AS p_b FROM x""")
 def two_sample_scores(spark, sf):
-    s = scanned(spark, sf).withColumn("m", F.col("lam") * 3600)
-    side = lambda c, chr_: F.max(F.when(F.col("chr") == chr_, F.col(c)))
-    w = s.where("chr in ('click', 'view')").groupBy("window_start").agg(side("n", "click").alias("a"), side("n", "view").alias("b"), side("lam", "click").alias("la"), side("lam", "view").alias("lb")).where("a is not null and b is not null")
-    ratio = (F.col("a") / (F.col("la") * 3600)) / (F.col("b") / (F.col("lb") * 3600))
+    """Windows that either sample has reads in; without reads in the second there is no ratio, without any in either no logarithm of it."""
+    s = scanned(spark, sf).where("chr in ('click', 'view')")
+    rates = s.agg(*[F.max(F.when(F.col("chr") == c, F.col("lam"))).alias(n) for c, n in (("click", "la"), ("view", "lb"))])
+    side = lambda chr_: F.coalesce(F.max(F.when(F.col("chr") == chr_, F.col("n"))), F.lit(0).cast("long"))
+    w = s.groupBy("window_start").agg(side("click").alias("a"), side("view").alias("b")).crossJoin(F.broadcast(rates))  # one row
+    ratio = F.try_divide(F.col("a") / (F.col("la") * 3600), F.col("b") / (F.col("lb") * 3600))
     p = lambda n, lam: F.round(st.scan_pvalue(F.col(n), F.col(lam), F.lit(3600), F.lit(AXIS)), 8)
-    return w.select("window_start", "a", "b", F.round(ratio, 6).alias("ratio"), F.round(F.log2(ratio), 6).alias("log_ratio"), p("a", "la").alias("p_a"), p("b", "lb").alias("p_b"))
+    return w.select("window_start", "a", "b", F.round(ratio, 6).alias("ratio"), F.round(F.log2(F.nullif(ratio, F.lit(0.0))), 6).alias("log_ratio"), p("a", "la").alias("p_a"), p("b", "lb").alias("p_b"))
 
 
 @query("peak_calls", f"""WITH {READS}, c AS (SELECT chr, k * 1800 AS ws, count(*) AS n FROM reads, unnest(range(greatest(start // 1800 - 1, 0), start // 1800 + 1)) AS t(k) GROUP BY ALL), h AS (SELECT * FROM c WHERE n >= 6),

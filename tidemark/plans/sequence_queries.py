@@ -80,9 +80,11 @@ def combinations(spark, sf):
     return so.combinations(table(spark, sf, "nation"), "n_nationkey", 3)
 
 
-@query("permuted_genes")
+@query("permuted_genes", f"""WITH {GENES}, {REFERENCES}, t AS (SELECT name, chr, "end" - start AS size, i, greatest(length - ("end" - start) + 1, 1) AS room, md5(name || '|' || i || '|11') AS h, length FROM genes JOIN refs USING (chr), range(10) AS r(i)),
+d AS (SELECT name, chr, size, i, ('0x' || substr(h, 1, 15))::BIGINT % room AS start FROM t WHERE size <= length), b AS (SELECT name, min(i) AS i FROM d WHERE start >= 86400 GROUP BY name)
+SELECT name, chr, start, start + size AS "end" FROM d JOIN b USING (name, i)""")
 def permuted_genes(spark, sf):
-    """Genes moved to seeded random places outside the first days of each reference; lengths and the mask are tested."""
+    """Genes moved to seeded random places outside the first day of each reference."""
     mask = references(spark).select("chr", F.lit(0).cast("long").alias("start"), F.lit(86_400).cast("long").alias("end"))
     return so.permute_annotations(genes(spark, sf).select("name", "chr", "start", "end"), references(spark), mask, 11, width=86_400)
 

@@ -165,9 +165,13 @@ def poisson_enrichment(spark, sf):
     return w.select("window_start", "a", "b", F.round(F.log2((F.col("a") + 1) / (F.col("b") + 1)), 6).alias("log_ratio"), F.round(1 - st.poisson_cdf(F.col("a") - 1, rate), 8).alias("p"), F.round(st.binomial_tail(F.col("a"), n, F.lit(1 / 3)), 8).alias("p_binomial"))
 
 
-@query("skellam_pvalues")
+@query("skellam_pvalues", f"""WITH {READS}, {SCAN}, w AS (SELECT window_start, (coalesce(max(CASE WHEN chr = 'click' THEN n END), 0) - coalesce(max(CASE WHEN chr = 'view' THEN n END), 0))::BIGINT AS k FROM s WHERE chr IN ('click', 'view') GROUP BY window_start),
+r AS (SELECT max(CASE WHEN chr = 'click' THEN m END) AS ma, max(CASE WHEN chr = 'view' THEN m END) AS mb FROM s), i AS (SELECT unnest(range(0, (ma + mb + 40 * sqrt(ma + mb) + 100)::BIGINT)) AS i, ma, mb FROM r),
+x AS (SELECT i, sum(exp(i * ln(ma) - ma - lgamma(i + 1))) OVER (ORDER BY i) AS c FROM i), y AS (SELECT i, exp(i * ln(mb) - mb - lgamma(i + 1)) AS p FROM i), u AS (SELECT k FROM w UNION SELECT k - 1 FROM w),
+d AS (SELECT u.k, sum(y.p * coalesce(x.c, CASE WHEN u.k + y.i < 0 THEN 0 ELSE 1 END)) AS c FROM u CROSS JOIN y LEFT JOIN x ON x.i = u.k + y.i GROUP BY u.k)
+SELECT window_start, w.k, round(least(a.c, 1 - b.c), 10) AS p FROM w JOIN d a ON a.k = w.k JOIN d b ON b.k = w.k - 1""")
 def skellam_pvalues(spark, sf):
-    """P-values of the difference of two samples' window counts; tested against the convolution of the two Poisson masses."""
+    """P-values of the difference of two samples' window counts; the SQL convolves the two Poisson masses."""
     s = scanned(spark, sf)
     rates = {r["chr"]: r["lam"] * 3600 for r in s.groupBy("chr").agg(F.max("lam").alias("lam")).collect()}  # a row a reference
     w = s.where("chr in ('click', 'view')").groupBy("window_start").agg((F.coalesce(F.max(F.when(F.col("chr") == "click", F.col("n"))), F.lit(0)) - F.coalesce(F.max(F.when(F.col("chr") == "view", F.col("n"))), F.lit(0))).alias("k"))
@@ -243,10 +247,27 @@ def column_distances(spark, sf):
     return mx.column_distance(matrix(spark, sf)).withColumn("distance", F.round("distance", 6))
 
 
-@query("column_clusters")
+def _merge_steps(most: int) -> str:
+    """SQL of an average-linkage clustering in at most ``most`` steps: the closest two, ties by name, give one cluster with the mean distance of all their columns."""
+    parts = ["d0 AS (SELECT a, b, 1 AS na, 1 AS nb, round(sqrt(sum((x - y) * (x - y))), 9) AS d FROM p GROUP BY a, b)"]
+    for k in range(most):
+        parts.append(f"m{k} AS (SELECT *, '(' || a || ',' || b || ')' AS c FROM d{k} ORDER BY d, a, b LIMIT 1)")
+        parts.append(
+            f"e{k} AS (SELECT m.c, m.na + m.nb AS nc, CASE WHEN e.a IN (m.a, m.b) THEN e.b ELSE e.a END AS z, CASE WHEN e.a IN (m.a, m.b) THEN e.nb ELSE e.na END AS nz, CASE WHEN m.a IN (e.a, e.b) THEN m.na ELSE m.nb END AS w, e.d "
+            f"FROM d{k} e, m{k} m WHERE (e.a IN (m.a, m.b)) <> (e.b IN (m.a, m.b)))"
+        )
+        parts.append(
+            f"d{k + 1} AS (SELECT e.a, e.b, e.na, e.nb, e.d FROM d{k} e, m{k} m WHERE e.a NOT IN (m.a, m.b) AND e.b NOT IN (m.a, m.b) UNION ALL "
+            f"SELECT least(c, z), greatest(c, z), CASE WHEN c < z THEN nc ELSE nz END, CASE WHEN c < z THEN nz ELSE nc END, sum(w * d) / sum(w) FROM e{k} GROUP BY c, nc, z, nz)"
+        )
+    return ", ".join(parts) + " " + " UNION ALL ".join(f'SELECT {k}::BIGINT AS step, a AS "left", b AS "right", round(d, 6) AS height, (na + nb)::BIGINT AS size FROM m{k}' for k in range(most))
+
+
+@query("column_clusters", f"WITH {MATRIX}, p AS (SELECT x.col AS a, y.col AS b, x.value AS x, y.value AS y FROM matrix x JOIN matrix y ON x.row = y.row AND x.col < y.col), {_merge_steps(6)}")
 def column_clusters(spark, sf):
-    """Average-linkage clustering of the columns; tested against brute force."""
-    return mx.cluster_columns(mx.column_distance(matrix(spark, sf)))
+    """Average-linkage clustering of the columns."""
+    d = mx.column_distance(matrix(spark, sf)).withColumn("distance", F.round("distance", 9))
+    return mx.cluster_columns(d).withColumn("height", F.round("height", 6))
 
 
 @query("best_probe", "SELECT p_brand AS gene, min(p_retailprice) AS p, arg_min(p_partkey, (p_retailprice, p_partkey)) AS probe FROM part GROUP BY p_brand")
@@ -287,24 +308,53 @@ def scalar_functions(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(F.log2("p_retailprice"), 9).alias("log2_price"), st.close_to_1(F.col("p_retailprice") / 1000).alias("near_one"), F.factorial(n).alias("fact"), st.binomial_coefficient(n, F.call_function("div", n, F.lit(2)).cast("int")).alias("choose"), F.round(st.fold(F.col("p_retailprice"), F.col("p_size")), 9).alias("fold"), F.round(st.abs_fold(F.col("p_retailprice"), F.col("p_size")), 9).alias("abs_fold"), F.round(F.hypot("p_size", "p_retailprice"), 6).alias("hypotenuse"))
 
 
-@query("swap_test")
+@query("swap_test", """WITH li AS (SELECT l_orderkey, round(sum(l_quantity)::DOUBLE, 2) - round(sum(l_discount)::DOUBLE, 2) * 500 AS d FROM lineitem GROUP BY l_orderkey), o AS (SELECT round(sum(d), 4) AS observed FROM li),
+s AS (SELECT i, sum(CASE WHEN strpos('0123456789abcdef', substr(md5(l_orderkey || '|' || i || '|7'), 15, 1)) % 2 = 0 THEN -d ELSE d END) AS s FROM li, range(50) AS t(i) GROUP BY i)
+SELECT observed, count(*) AS n, avg((round(abs(s), 4) >= abs(observed))::INTEGER) AS p FROM s, o GROUP BY observed""")
 def swap_test(spark, sf):
-    """Seeded paired permutation test; its null mean and spread are tested."""
-    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("a"), F.sum(F.col("l_discount") * 500).alias("b"))
+    """Seeded paired permutation test; its null mean and spread are tested, too."""
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_quantity").cast("double"), 2).alias("a"), (F.round(F.sum("l_discount").cast("double"), 2) * 500).alias("b"))
     return so.swap_test(li, "a", "b", 50, "l_orderkey", 7)
 
 
-@query("kmeans_clusters")
+_K, _ROUNDS = 6, 4
+
+
+def _lloyd_steps() -> str:
+    """SQL of ``_ROUNDS`` rounds of Lloyd's algorithm from the first ``_K`` vectors, centers rounded to six decimals."""
+    far = "round(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9)"
+    parts = ["e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL)", f"c0 AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS k, list_transform(v, lambda x: round(x, 6)) AS c FROM e ORDER BY vec_id LIMIT {_K})"]
+    for r in range(_ROUNDS + 1):
+        parts.append(f"a{r} AS (SELECT vec_id, v, arg_min(k, ({far}, k)) AS k FROM e, c{r} GROUP BY vec_id, v)")
+        if r < _ROUNDS:
+            parts.append(f"u{r} AS (SELECT k, i, round(avg(v[i]), 6) AS x FROM a{r}, unnest(range(1, len(v) + 1)) AS t(i) GROUP BY k, i)")
+            parts.append(f"c{r + 1} AS (SELECT c{r}.k, coalesce(n.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT k, list(x ORDER BY i) AS c FROM u{r} GROUP BY k) n USING (k))")
+    return "WITH " + ", ".join(parts) + f" SELECT vec_id, k AS cluster FROM a{_ROUNDS}"
+
+
+@query("kmeans_clusters", _lloyd_steps())
 def kmeans_clusters(spark, sf):
-    """K-means over the embeddings."""
-    return mx.kmeans(table(spark, sf, "embeddings").select("vec_id", "embedding"), 10, "embedding")[0].select("vec_id", "cluster")
+    """Lloyd's algorithm over all embeddings from the first vectors, so that the result is the same everywhere."""
+    e = table(spark, sf, "embeddings").where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    starts = [r["v"] for r in e.orderBy("vec_id").limit(_K).collect()]
+    return mx.lloyd(e, "v", starts, _ROUNDS).select("vec_id", "cluster")
+
+
+_EMITS = {"calm": (0.3, 0.05, 0.2, 0.15, 0.3), "rough": (0.2, 0.5, 0.05, 0.05, 0.2)}
+_EMIT_SQL = {s: "ln(CASE event_type " + " ".join(f"WHEN '{t}' THEN {p}::DOUBLE" for t, p in zip(("click", "error", "purchase", "signup", "view"), ps, strict=True)) + " END)" for s, ps in _EMITS.items()}
+_STEP = "p.{0} + ln({1}::DOUBLE)"
 
 
-@query("hidden_states")
+@query("hidden_states", f"""WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, {_EMIT_SQL['calm']} AS ec, {_EMIT_SQL['rough']} AS er FROM events),
+p AS (SELECT user_id, i, ln(0.6::DOUBLE) + ec AS c, ln(0.4::DOUBLE) + er AS r, ['calm'] AS pc, ['rough'] AS pr FROM o WHERE i = 1 UNION ALL
+SELECT o.user_id, o.i, greatest({_STEP.format('c', 0.8)}, {_STEP.format('r', 0.3)}) + ec, greatest({_STEP.format('c', 0.2)}, {_STEP.format('r', 0.7)}) + er,
+list_append(CASE WHEN {_STEP.format('c', 0.8)} >= {_STEP.format('r', 0.3)} THEN p.pc ELSE p.pr END, 'calm'), list_append(CASE WHEN {_STEP.format('c', 0.2)} >= {_STEP.format('r', 0.7)} THEN p.pc ELSE p.pr END, 'rough') FROM p JOIN o ON o.user_id = p.user_id AND o.i = p.i + 1),
+f AS (SELECT p.user_id, CASE WHEN c >= r THEN pc ELSE pr END AS path, greatest(c, r) AS best FROM p JOIN (SELECT user_id, max(i) AS i FROM o GROUP BY user_id) USING (user_id, i))
+SELECT user_id, event_id, path[i] AS state, round(best, 6) AS log_likelihood FROM o JOIN f USING (user_id)""")
 def hidden_states(spark, sf):
-    """Most likely hidden states of each user's event sequence; tested against enumeration."""
+    """Most likely hidden states of each user's event sequence; tested against enumeration, too."""
     types = ("click", "error", "purchase", "signup", "view")
-    emits = {"calm": dict(zip(types, (0.3, 0.05, 0.2, 0.15, 0.3), strict=True)), "rough": dict(zip(types, (0.2, 0.5, 0.05, 0.05, 0.2), strict=True))}
+    emits = {s: dict(zip(types, ps, strict=True)) for s, ps in _EMITS.items()}
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
     return mx.viterbi(e, ["user_id"], "event_id", "event_type", {"calm": 0.6, "rough": 0.4}, {"calm": {"calm": 0.8, "rough": 0.2}, "rough": {"calm": 0.3, "rough": 0.7}}, emits).withColumn("log_likelihood", F.round("log_likelihood", 6))
 

@@ -69,7 +69,14 @@ def sam(df: DataFrame) -> DataFrame:
 
 def fasta(df: DataFrame, numbered: bool = False, width: int = 0) -> DataFrame:
     """FASTA records of ``id, seq`` (``numbered``: ids count from 1 by the order of ``file, i``); lines of ``width`` letters if above 0."""
-    ids = F.row_number().over(Window.orderBy("file", "i")).cast("string") if numbered else F.col("id")
+    if numbered:  # within each file in two levels, then over one row a file
+        from tidemark.operators.intervals import two_level
+
+        df = two_level(df, ("file",), ["i"], "i", F.lit(1), "sum", 1 << 16, "__k")
+        before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+        files = df.groupBy("file").agg(F.count("*").alias("__n")).select("file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        df = df.join(files, "file")
+    ids = (F.col("__k") + F.col("__before")).cast("string") if numbered else F.col("id")
     seq = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n") if width else F.col("seq")
     return df.select(F.concat(F.lit(">"), ids, F.lit("\n"), seq).alias("value"))
 

@@ -1,7 +1,7 @@
 """Readers of line-based formats. Every reader gives a DataFrame with an explicit schema and decodes with column expressions.
 
-Records of several lines (FASTQ, FASTA, MAF) are put together by line number within the file, so files of those formats are
-read one to a task; many files are read in parallel.
+Lines are numbered across the splits of a file, so records of several lines (FASTQ) are put together by number and large files are read
+in parallel. Formats whose records begin with a sign of their own (FASTA, MAF) are split at it.
 """
 
 from __future__ import annotations
@@ -11,15 +11,20 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A record from its ">" up to the next line that begins with one.
-RECORD = r"\n>((?:(?!\n>)[\s\S])*)"
 BLOCKS = "array<struct<start:bigint,end:bigint>>"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, no, value``: the lines of each file with their numbers from 0."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
-    return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("no", "value"))
+def lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """``file, no, value``: the lines of each file, or what ``sep`` parts, with their numbers from 0.
+
+    Rows are numbered within the split that they are read from; what earlier splits hold is one row a split.
+    """
+    reader = spark.read.option("lineSep", sep) if sep else spark.read
+    rows = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
+    splits = rows.groupBy("file", "__at").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "__at", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return rows.join(splits, ["file", "__at"]).select("file", (F.col("__id") - F.col("__first") + F.col("__before")).alias("no"), "value")
 
 
 def fields(names: dict[str, str], column: str = "value", sep: str = "\t") -> list[Column]:
@@ -119,18 +124,28 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """``id, description, seq``: comments from ``#`` on dropped, white space within sequences removed."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.regexp_replace("value", "\r", ""), "#[^\n]*", "").alias("value"))
-    records = whole.select(F.explode(F.regexp_extract_all(F.concat(F.lit("\n"), "value"), F.lit(RECORD), F.lit(1))).alias("r"))
+    records = _marked(spark, path).select(F.trim(F.regexp_replace("r", "#[^\n]*", "")).alias("r")).where(~F.col("r").rlike(r"^\s*$"))
     head = F.regexp_extract("r", "^[^\n]*", 0)
     return records.select(F.regexp_extract(head, r"^\S*", 0).alias("id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), F.regexp_replace(F.regexp_replace("r", "^[^\n]*", ""), r"\s", "").alias("seq"))
 
 
+def _marked(spark: SparkSession, path: str) -> DataFrame:
+    """``r``: what follows each ``>`` at a line's start, up to the next one; what stands before a file's first one is left out."""
+    rows = lines(spark, path, "\n>").withColumn("value", F.regexp_replace("value", "\r", ""))
+    # the first piece of a file begins with its mark, or lies before any record
+    kept = rows.where((F.col("no") > 0) | F.col("value").startswith(">"))
+    return kept.select(F.when(F.col("no") == 0, F.substring("value", 2, 2_147_483_647)).otherwise(F.col("value")).alias("r"))
+
+
 def fasta_quality(spark: SparkSession, path: str) -> DataFrame:
     """``id, quality`` (array of ints)."""
-    whole = spark.read.text(path, wholetext=True)
-    records = whole.select(F.explode(F.regexp_extract_all(F.concat(F.lit("\n"), "value"), F.lit(RECORD), F.lit(1))).alias("r"))
     numbers = F.filter(F.split(F.regexp_replace("r", "^[^\n]*", ""), r"\s+"), lambda x: x != "")
-    return records.select(F.regexp_extract("r", r"^\S*", 0).alias("id"), F.transform(numbers, lambda x: x.cast("int")).alias("quality"))
+    return _marked(spark, path).select(F.regexp_extract("r", r"^\S*", 0).alias("id"), F.transform(numbers, lambda x: x.cast("int")).alias("quality"))
+
+
+def fastq_count(spark: SparkSession, path: str) -> DataFrame:
+    """``n``: lines that begin with ``@``; quality lines that do so count, too, as the format's counters have it."""
+    return spark.read.text(path).agg(F.count_if(F.col("value").startswith("@")).alias("n"))
 
 
 def gmt(spark: SparkSession, path: str, more_than: int = 0) -> DataFrame:
@@ -261,9 +276,11 @@ def cls(spark: SparkSession, path: str) -> DataFrame:
 
 def maf(spark: SparkSession, path: str) -> DataFrame:
     """``file, block, species, chr, start, size, strand, src_size, seq`` of a multiple alignment format file."""
-    rows = lines(spark, path)
-    w = Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("block", F.sum(F.when(F.col("value").rlike(r"^a(\s|$)"), 1).otherwise(0)).over(w)).where(F.col("value").rlike(r"^s\s"))
+    # an alignment begins with a line that starts with an "a"; what stands before a file's first is its header
+    blocks = lines(spark, path, "\na").select("file", F.col("no").alias("block"), F.explode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("value"))
+    first = F.col("value").rlike(r"^a(\s|$)").cast("long")
+    heads = blocks.where("block = 0").groupBy("file").agg(F.max(first).alias("__head"))
+    rows = blocks.where(F.col("value").rlike(r"^s\s")).join(heads, "file", "left").withColumn("block", F.col("block") + F.coalesce("__head", F.lit(0))).drop("__head")
     p = F.split("value", r"\s+")
     g = lambda i: F.get(p, F.lit(i))
     return rows.select("file", "block", F.regexp_extract(g(1), r"^[^.]*", 0).alias("species"), F.regexp_extract(g(1), r"\.(.*)$", 1).alias("chr"), g(2).cast("bigint").alias("start"), g(3).cast("bigint").alias("size"), g(4).alias("strand"), g(5).cast("bigint").alias("src_size"), g(6).alias("seq"))
@@ -322,10 +339,12 @@ def annotation_files(spark: SparkSession, folder: str, extensions: list[str]) ->
 
 
 def assert_sorted(df: DataFrame, order: list[str], place: str) -> DataFrame:
-    """The rows, with an error where one sorts before the row ahead of it by ``place``."""
-    w = Window.orderBy(place)
-    now, before = F.struct(*order), F.lag(F.struct(*order)).over(w)
-    return df.withColumn("__ok", F.when(before.isNotNull() & (before > now), F.raise_error(F.lit("rows are not sorted")).cast("boolean")).otherwise(F.lit(True))).where("__ok").drop("__ok")
+    """The rows, with an error where one sorts before any row ahead of it by ``place``, a whole number."""
+    from tidemark.operators.intervals import two_level
+
+    met = two_level(df, (), [place], place, F.struct(*order), "max", 1 << 16, "__before", inclusive=False)
+    fits = F.coalesce(F.col("__before") <= F.struct(*order), F.lit(True))
+    return met.where(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.lit("rows are not sorted")).cast("boolean"))).drop("__before")
 
 
 def parse_fields(column: Column, sep: str = r"\s+") -> Column:
