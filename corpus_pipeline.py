@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Every stage but the last returns the columns it was given, whatever their names; columns of a stage's own have names that are free. What
+a stage does with nulls, empty, very long and repeated texts, ties and empty tables stands with it.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, langid, linededup, neardup
-from tidemark.llm.common import materialize
+from tidemark.llm.common import free_name, materialize
 
 
 def with_length(docs: DataFrame) -> DataFrame:
@@ -17,7 +21,12 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is told: neither without letters nor ambiguous between two languages."""
+    """Keeps the documents whose language is told: neither without letters nor ambiguous between two languages.
+
+    Null texts and those without letters, empty ones too, go; so does everything if no document has a label. Long texts are read whole.
+    Repeated rows are judged alike and all stay or go. A language that is as close as the best one (a tie) makes a text ambiguous. An
+    empty table gives an empty one.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     model = langid.learn(langid.learned_rows(docs))
     found = langid.predict(docs.toDF(*names), model, text=names[docs.columns.index("text")], keep=names)
@@ -25,25 +34,45 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages of lines out of the texts; documents of which nothing is left go."""
+    """Cuts repeated passages of lines out of the texts; documents of which nothing is left go.
+
+    Null texts stay null and empty texts empty; long texts are cut whole. The first occurrence by doc_id (null ids last), then by place,
+    stays, so a tie is none; rows equal in id and text share their result, so neither loses to its twin. An empty table gives an empty
+    one.
+    """
     return with_length(linededup.dedup_lines(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays, the one with the smallest id (and one of its repeated rows)."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id", F.col("key").alias("text_key")).distinct()
-    rows = docs.withColumn("text_key", F.xxhash64("text"))
-    found = rows.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (rows["text_key"] == kept["text_key"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
+    """One document of each near-duplicate component stays, the one with the smallest id (and one of its repeated rows).
+
+    Shingles have five words, the width for near-duplicate stages without a contract of their own; ``op6_near_dedup`` has four by its
+    contract. Null, empty and wordless texts are linked with nothing and stay, one row for each id and text. Long texts count whole. Of
+    rows with a null id one of each text stays unless another document of its component has an id. An empty table gives an empty one.
+    """
+    key, kept_id, kept_key = (free_name(docs, x) for x in ("text_key", "kept_id", "kept_key"))
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(kept_id), F.col("key").alias(kept_key)).distinct()
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
+    return found.dropDuplicates(["doc_id", key]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of ten words of a benchmark item."""
+    """Drops the documents that hold a window of ten words of a benchmark item.
+
+    Null, empty and wordless texts hold none and stay; long texts are searched whole; repeated rows stay or go together; there are no
+    ties. Null items match nothing; items without an id count like others. An empty table of documents gives an empty one, an empty
+    benchmark drops nothing.
+    """
     return decontam.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text."""
+    """``doc_id, lang, source``, token counts and digests of the ids and of the decoded text.
+
+    A null text counts as an empty one, which has no tokens and the digest of nothing. Long texts are encoded whole, repeated rows
+    alike. Further columns are left out. An empty table gives an empty result.
+    """
     import public_tokenizers
 
     return bpe.encode_digest(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "lang", "source"])
