@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import scratch_dir
+
 #: Entries a worker's word cache may hold before it is emptied.
 CACHE_ENTRIES = 300_000
 #: Bytes of side data (rules, models, vocabularies) that may be shipped to every executor.
@@ -19,23 +20,10 @@ SIDE_DATA_LIMIT = 64 << 20
 MASK64 = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: ``spark.checkpoint.dir``. Where that is unset, a temporary one for a session whose
-    executors run in the driver's process, and an error for any other."""
-    sc = spark.sparkContext
-    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not place:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        place = tempfile.mkdtemp(prefix="tidemark-")
-        sc.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    place = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    place = f"{scratch_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
     df.write.parquet(place)
     out = spark.read.schema(df.schema).parquet(place)
     out._tidemark_place = place
@@ -86,11 +74,6 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def row_key(doc_id: Column, text: Column) -> list[Column]:
-    """Key columns ``k1, k2`` that tell rows apart by id and text; rows equal in both share results."""
-    return [F.coalesce(doc_id, F.lit(-(1 << 63))).cast("long").alias("k1"), F.xxhash64(doc_id, text).alias("k2")]
-
-
 def blobs(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()

@@ -153,3 +153,15 @@ SQL = {
     "op9_warc": OP9,
     "op10_substring_dedup": OP10,
 }
+
+SQL["op3_line_dedup"] = r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, i, line, regexp_matches(line, '[^ \t\r\v\f]') AS solid FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM l)),
+s AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM x WHERE solid),
+p AS (SELECT s.doc_id, i, j, array_to_string(l.ls[i:j], chr(10)) AS p FROM s JOIN l USING (doc_id) WHERE j IS NOT NULL),
+f AS (SELECT doc_id, i, j, first_value(doc_id) OVER w AS fd, first_value(i) OVER w AS fi FROM p WINDOW w AS (PARTITION BY p ORDER BY doc_id, i)),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS k FROM f WHERE NOT (doc_id = fd AND i <= fi + j - i)),
+y AS (SELECT *, max(CASE WHEN solid THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS q FROM x),
+d AS (SELECT y.*, a.k IS NOT NULL OR (NOT solid AND b.k IS NOT NULL) AS gone FROM y LEFT JOIN r a ON a.doc_id = y.doc_id AND a.k = y.i LEFT JOIN r b ON b.doc_id = y.doc_id AND b.k = y.q),
+t AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS g, count(*) FILTER (WHERE solid AND NOT gone) AS left_over, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM d GROUP BY doc_id)
+SELECT o.doc_id, coalesce(n, 0) AS n_lines, CASE WHEN coalesce(g, 0) = 0 THEN 0 WHEN left_over = 0 THEN n ELSE g END::BIGINT AS n_removed,
+sha256(CASE WHEN coalesce(g, 0) = 0 THEN coalesce(text, '') WHEN left_over = 0 THEN '' ELSE kept END) AS kept_sha256 FROM documents o LEFT JOIN t USING (doc_id)"""

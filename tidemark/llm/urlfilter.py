@@ -48,17 +48,17 @@ def host_rule(verdict: str, rule: str) -> Rule:
 
 
 def pattern_rule(verdict: str, pattern: str, *literals: str) -> Rule:
-    """A rule of the filter's own, weaker than every host rule."""
-    return Rule(pattern, verdict, pattern, literals, 0, listed=False)
+    """A rule of the filter's own, weaker than every host rule; ``$`` is the very end, not a place before a last line feed."""
+    return Rule(pattern, verdict, pattern.replace("$", r"\Z"), literals, 0, listed=False)
 
 
 #: Patterns of the filter's own: what hardly ever holds prose.
 PATTERNS = [
     pattern_rule("block", r"(?:^|\.)ads\.", "ads"),
-    pattern_rule("block", r"/login(?:/|\Z)", "login"),
-    pattern_rule("block", r"/cart(?:/|\Z)", "cart"),
-    pattern_rule("block", r"\.exe\Z", "exe"),
-    pattern_rule("block", r"\.zip\Z", "zip"),
+    pattern_rule("block", r"/login(?:/|$)", "login"),
+    pattern_rule("block", r"/cart(?:/|$)", "cart"),
+    pattern_rule("block", r"\.exe$", "exe"),
+    pattern_rule("block", r"\.zip$", "zip"),
 ]
 
 
