@@ -85,34 +85,47 @@ def merge(df: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 << 16,
     return marked.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island")
 
 
+def edges(df: DataFrame, keys: tuple[str, ...], weight: Column) -> DataFrame:
+    """``keys, pos, w``: what the weights of the intervals that begin and end at a place add up to there."""
+    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), weight.alias("w")), F.struct(F.col("end").alias("pos"), (-weight).alias("w"))))
+    return df.select(*keys, ends.alias("e")).select(*keys, F.col("e.pos").alias("pos"), F.col("e.w").alias("w")).groupBy(*keys, "pos").agg(F.sum("w").alias("w"))
+
+
+def stretches(steps: DataFrame, keys: tuple[str, ...], width: int) -> DataFrame:
+    """``keys, start, end, w, depth`` between each place of ``steps`` (keys, pos, w) and the next one: its own weight and the sum up to it.
+
+    In two levels: within bins, and over one row a bin, which holds the bin's sum and first place.
+    """
+    binned = steps.withColumn("__bin", F.floor(F.col("pos") / F.lit(width)).cast("long"))
+    totals = binned.groupBy(*keys, "__bin").agg(F.sum("w").alias("__t"), F.min("pos").alias("__first"))
+    over = Window.partitionBy(*keys).orderBy("__bin")
+    carried = totals.select(*keys, "__bin", F.sum("__t").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__c"), F.lead("__first").over(over).alias("__next"))
+    within = Window.partitionBy(*keys, "__bin").orderBy("pos")
+    own = binned.withColumn("__own", F.sum("w").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("__lead", F.lead("pos").over(within))
+    out = own.join(carried, [*keys, "__bin"])
+    return out.select(*keys, F.col("pos").alias("start"), F.coalesce("__lead", "__next").alias("end"), "w", (F.col("__own") + F.coalesce("__c", F.lit(0))).alias("depth")).where(F.col("end").isNotNull())
+
+
 def touching(df: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 << 16) -> DataFrame:
     """``keys, start, end`` of the covered stretches, those that touch joined."""
-    parts = coverage(df, keys, width).where("depth > 0").select(*keys, "start", "end")
-    # the stretches are disjoint, so the greatest end before one is the end of the one before it
-    marked = two_level(parts, keys, ["start"], "start", F.col("end"), "max", width, "__before", inclusive=False)
-    marked = two_level(marked, keys, ["start"], "start", F.when(F.col("__before") == F.col("start"), 0).otherwise(1), "sum", width, "__n")
-    return marked.groupBy(*keys, "__n").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__n")
+    return joined_parts(coverage(df, keys, width).where("depth > 0"), keys, width)
+
+
+def joined_parts(parts: DataFrame, keys: tuple[str, ...], width: int) -> DataFrame:
+    """Disjoint intervals with those that touch joined: an end and a beginning at one place cancel each other out."""
+    left = edges(parts, keys, F.lit(1)).where("w <> 0")
+    return stretches(left, keys, width).where("w > 0").select(*keys, "start", "end")
 
 
 def coverage(df: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 << 16, weight: str | None = None) -> DataFrame:
     """``keys, start, end, depth``: the stretches between consecutive interval ends and how many intervals (or what weight) lie over them."""
-    w = F.col(weight) if weight else F.lit(1).cast("long")
-    steps = df.select(*keys, F.col("start").alias("pos"), w.alias("w")).unionByName(df.select(*keys, F.col("end").alias("pos"), (-w).alias("w")))
-    steps = steps.groupBy(*keys, "pos").agg(F.sum("w").alias("w"))
-    run = two_level(steps, keys, ["pos"], "pos", F.col("w"), "sum", width, "depth")
-    # the next step: within the bin, else the first of a later bin
-    binned = run.withColumn("__bin", F.floor(F.col("pos") / F.lit(width)).cast("long"))
-    firsts = binned.groupBy(*keys, "__bin").agg(F.min("pos").alias("__first"))
-    firsts = firsts.withColumn("__next", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__bin"))).drop("__first")
-    within = Window.partitionBy(*keys, "__bin").orderBy("pos")
-    out = binned.withColumn("__lead", F.lead("pos").over(within)).join(firsts, [*keys, "__bin"])
-    return out.select(*keys, F.col("pos").alias("start"), F.coalesce("__lead", "__next").alias("end"), "depth").where(F.col("end").isNotNull())
+    return stretches(edges(df, keys, F.col(weight) if weight else F.lit(1).cast("long")), keys, width).drop("w")
 
 
 def complement(df: DataFrame, lengths: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 << 16) -> DataFrame:
     """``keys, start, end`` of what the intervals leave uncovered of [0, length)."""
-    edges = merge(df, keys, width).select(*keys, "start", "end").unionByName(lengths.select(*keys, F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).unionByName(lengths.select(*keys, F.col("length").alias("start"), F.col("length").alias("end")))
-    gaps = two_level(edges, keys, ["start", "end"], "start", F.col("end"), "max", width, "__before", inclusive=False)
+    ends = merge(df, keys, width).select(*keys, "start", "end").unionByName(lengths.select(*keys, F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).unionByName(lengths.select(*keys, F.col("length").alias("start"), F.col("length").alias("end")))
+    gaps = two_level(ends, keys, ["start", "end"], "start", F.col("end"), "max", width, "__before", inclusive=False)
     return gaps.select(*keys, F.col("__before").alias("start"), F.col("start").alias("end")).where("start < end")
 
 
@@ -120,7 +133,7 @@ def minus(a: DataFrame, b: DataFrame, width: int, keys: tuple[str, ...] = ("chr"
     """The covered stretches of a that b doesn't cover: ``keys, start, end``."""
     both = a.select(*keys, "start", "end", F.lit(1).cast("long").alias("w")).unionByName(b.select(*keys, "start", "end", F.lit(1 << 32).cast("long").alias("w")))
     parts = coverage(both, keys, width, "w").where((F.col("depth") > 0) & (F.col("depth") < 1 << 32))
-    return touching(parts.select(*keys, "start", "end"), keys, width)
+    return joined_parts(parts, keys, width)
 
 
 def nearest(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("chr",), id_a: str = "name", id_b: str = "name", width: int = 1 << 16) -> DataFrame:
