@@ -22,16 +22,28 @@ def gc_content(seq: Column) -> Column:
     return F.try_divide(F.length(F.regexp_replace(seq, "[^GCgc]", "")), F.length(seq))
 
 
+def with_letters(seq: Column, use) -> Column:
+    """``use(letters)`` with the letters of a string split once: a place in an array is found at once, one in a string by counting up to it."""
+    return F.transform(F.array(F.split(seq, "")), use)[0]
+
+
+def piece(letters: Column, start: Column, size: int) -> Column:
+    """``size`` letters from ``start`` (from 0) on as a string."""
+    if size <= 32:
+        return F.concat(*[F.get(letters, start + j) for j in range(size)])
+    return F.array_join(F.slice(letters, start + 1, size), "")
+
+
 def kmers(seq: Column, k: int) -> Column:
     """All substrings of length k, in order."""
-    some = F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(seq, i, F.lit(k)))
+    some = with_letters(seq, lambda c: F.transform(F.sequence(F.lit(0), F.length(seq) - k), lambda i: piece(c, i, k)))
     return F.when(F.length(seq) >= k, some).otherwise(F.array().cast("array<string>"))
 
 
 def windows(seq: Column, size: int, step: int) -> Column:
     """Substrings of ``size`` at every ``step``; one that would end exactly at the end is left out."""
     starts = F.when(F.length(seq) > size, F.sequence(F.lit(0), F.length(seq) - size - 1, F.lit(step)))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.substring(seq, i + 1, F.lit(size)).alias("seq")))
+    return with_letters(seq, lambda c: F.transform(starts, lambda i: F.struct(i.alias("start"), piece(c, i, size).alias("seq"))))
 
 
 def soft_masked(seq: Column) -> Column:
@@ -124,17 +136,17 @@ def pwm_scores(seq: Column, pwm: list[list[float]], background: tuple[float, ...
     logs = [[float(np.log2(p / q)) for p, q in zip(c, background, strict=True)] for c in with_pseudocounts(pwm)]
     width = len(logs)
 
-    def at(i: Column) -> Column:
+    def at(letters: Column, i: Column) -> Column:
         total = F.lit(0.0)
         for k, column in enumerate(logs):
-            base = F.upper(F.substring(seq, i + k, F.lit(1)))
+            base = F.get(letters, i + k)
             part = F.lit(0.0)
             for letter, value in zip("TGCA", reversed(column), strict=True):
                 part = F.when(base == letter, value).otherwise(part)
             total = total + part
         return total
 
-    some = F.transform(F.sequence(F.lit(1), F.length(seq) - width + 1), at)
+    some = with_letters(F.upper(seq), lambda c: F.transform(F.sequence(F.lit(0), F.length(seq) - width), lambda i: at(c, i)))
     return F.when(F.length(seq) >= width, some).otherwise(F.array().cast("array<double>"))
 
 
@@ -147,42 +159,85 @@ def align(a: str, b: str, match: float = 1.0, mismatch: float = -1.0, open_gap:
 
     Returns score, aligned strings, starts (from 0), identical places and gap places.
     """
-    n, m = len(a), len(b)
-    low = -1e18
-    h, e, f = (np.full((n + 1, m + 1), low) for _ in range(3))
-    h[0, 0] = 0.0
+    return align_all([(a, b)], match, mismatch, open_gap, extend, local)[0]
+
+
+#: Cells of score matrices that are laid out at a time.
+BATCH_CELLS = 4_000_000
+
+
+def align_all(pairs: list[tuple[str, str]], match: float = 1.0, mismatch: float = -1.0, open_gap: float = 2.0, extend: float = 0.5, local: bool = True) -> list[tuple]:
+    """``align`` of many pairs: their matrices are filled together, row by row, and each is traced back by itself."""
+    out: list[tuple] = [()] * len(pairs)
+    held: list[int] = []
+    cells = 0
+    for i in sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1]))):
+        size = (len(pairs[i][0]) + 1) * (len(pairs[i][1]) + 1)
+        if held and (len(held) + 1) * max(size, cells) > BATCH_CELLS:
+            for k, x in zip(held, _align_batch([pairs[k] for k in held], match, mismatch, open_gap, extend, local), strict=True):
+                out[k] = x
+            held, cells = [], 0
+        held.append(i)
+        cells = max(cells, size)
+    for k, x in zip(held, _align_batch([pairs[k] for k in held], match, mismatch, open_gap, extend, local) if held else [], strict=True):
+        out[k] = x
+    return out
+
+
+def _align_batch(pairs: list[tuple[str, str]], match: float, mismatch: float, open_gap: float, extend: float, local: bool) -> list[tuple]:
+    if open_gap < extend:
+        raise ValueError("opening a gap must cost as much as making one longer, at least")
+    many, n, m = len(pairs), max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
+    code = lambda s, size, pad: np.array([ord(c) for c in s] + [pad] * (size - len(s)), np.int32)
+    x, y = np.array([code(a, n, -1) for a, _ in pairs]).reshape(many, n), np.array([code(b, m, -2) for _, b in pairs]).reshape(many, m)
+    any_x, any_y = np.isin(x, (78, 110)), np.isin(y, (78, 110))
+    low, step = -1e18, np.arange(m + 1) * extend
+    h, e, f = (np.full((many, n + 1, m + 1), low) for _ in range(3))
     if local:
-        h[0, :], h[:, 0] = 0.0, 0.0
+        h[:, 0, :], h[:, :, 0] = 0.0, 0.0
     else:
-        for j in range(1, m + 1):
-            h[0, j] = e[0, j] = -open_gap - (j - 1) * extend
-        for i in range(1, n + 1):
-            h[i, 0] = f[i, 0] = -open_gap - (i - 1) * extend
-    same = lambda x, y: x == y or x in "Nn" or y in "Nn"
+        h[:, 0, 0] = 0.0
+        h[:, 0, 1:] = e[:, 0, 1:] = -open_gap - step[:m]
+        h[:, 1:, 0] = f[:, 1:, 0] = -open_gap - np.arange(n) * extend
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            e[i, j] = max(h[i, j - 1] - open_gap, e[i, j - 1] - extend)
-            f[i, j] = max(h[i - 1, j] - open_gap, f[i - 1, j] - extend)
-            d = h[i - 1, j - 1] + (match if same(a[i - 1], b[j - 1]) else mismatch)
-            h[i, j] = max(d, e[i, j], f[i, j], 0.0) if local else max(d, e[i, j], f[i, j])
+        gain = np.where((x[:, i - 1, None] == y) | any_x[:, i - 1, None] | any_y, match, mismatch)
+        f[:, i, 1:] = np.maximum(h[:, i - 1, 1:] - open_gap, f[:, i - 1, 1:] - extend)
+        best = np.maximum(h[:, i - 1, :-1] + gain, f[:, i, 1:])
+        if local:
+            best = np.maximum(best, 0.0)
+        # a gap from each place to the left at once: opening a gap right after one is never better
+        from_left = np.concatenate([h[:, i, :1], best], axis=1) + step
+        e[:, i, 1:] = np.maximum.accumulate(from_left, axis=1)[:, :-1] - step[:-1] - open_gap
+        h[:, i, 1:] = np.maximum(best, e[:, i, 1:])
+        if local:  # what rounding leaves of nothing
+            h[:, i] = np.where(h[:, i] < 1e-9, 0.0, h[:, i])
+    return [_trace(a, b, h[k], e[k], f[k], match, mismatch, open_gap, local) for k, (a, b) in enumerate(pairs)]
+
+
+def _trace(a: str, b: str, h: np.ndarray, e: np.ndarray, f: np.ndarray, match: float, mismatch: float, open_gap: float, local: bool) -> tuple:
+    """The alignment of one pair, from its score matrices back: the diagonal first, then a gap in ``a``, then one in ``b``."""
+    n, m = len(a), len(b)
+    h, e, f = h[: n + 1, : m + 1], e[: n + 1, : m + 1], f[: n + 1, : m + 1]
+    same = lambda x, y: x == y or x in "Nn" or y in "Nn"
+    close = lambda p, q: abs(p - q) < 1e-6
     i, j = (int(x) for x in np.unravel_index(int(h.argmax()), h.shape)) if local else (n, m)
     score, out_a, out_b, state = float(h[i, j]), [], [], DIAGONAL
     while (i > 0 or j > 0) and not (local and state == DIAGONAL and h[i, j] == 0):
         if state == DIAGONAL:
-            if i > 0 and j > 0 and h[i, j] == h[i - 1, j - 1] + (match if same(a[i - 1], b[j - 1]) else mismatch):
+            if i > 0 and j > 0 and close(h[i, j], h[i - 1, j - 1] + (match if same(a[i - 1], b[j - 1]) else mismatch)):
                 i, j = i - 1, j - 1
                 out_a.append(a[i])
                 out_b.append(b[j])
             else:
-                state = LEFT if h[i, j] == e[i, j] else UP
+                state = LEFT if close(h[i, j], e[i, j]) else UP
         elif state == LEFT:
-            if e[i, j] == h[i, j - 1] - open_gap or j == 1:
+            if close(e[i, j], h[i, j - 1] - open_gap) or j == 1:
                 state = DIAGONAL
             j -= 1
             out_a.append("-")
             out_b.append(b[j])
         else:
-            if f[i, j] == h[i - 1, j] - open_gap or i == 1:
+            if close(f[i, j], h[i - 1, j] - open_gap) or i == 1:
                 state = DIAGONAL
             i -= 1
             out_a.append(a[i])
@@ -195,15 +250,9 @@ def aligner(local: bool = True, **costs: float):
     """A column function of two strings that gives an ``ALIGNMENT`` struct; null if one is null. Equal pairs in a batch are aligned once."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        known: dict[tuple, tuple] = {}
-        rows = []
-        for x, y in zip(a, b, strict=True):
-            if x is None or y is None:
-                rows.append((None,) * 7)
-                continue
-            if (x, y) not in known:
-                known[x, y] = align(x, y, local=local, **costs)
-            rows.append(known[x, y])
+        wanted = list(dict.fromkeys((x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None))
+        known = dict(zip(wanted, align_all(wanted, local=local, **costs), strict=True))
+        rows = [known.get((x, y), (None,) * 7) for x, y in zip(a, b, strict=True)]
         return pd.DataFrame(rows, columns=ALIGNMENT.names)
 
     return F.pandas_udf(run, ALIGNMENT)

@@ -238,3 +238,49 @@ def skellam_pvalue(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) ->
 def polynomial_roots(coefficients: pd.Series) -> pd.Series:
     """Real and imaginary parts, in turn, of a polynomial's roots (highest power first), sorted."""
     return pd.Series([[v for r in sorted(np.roots(c), key=lambda r: (round(r.real, 9), round(r.imag, 9))) for v in (float(r.real), float(r.imag))] for c in coefficients])
+
+
+@F.pandas_udf(DoubleType())
+def noncentral_chi2_density(x: pd.Series, df: pd.Series, noncentrality: pd.Series) -> pd.Series:
+    """Density of the noncentral chi-square by its Poisson mixture of central ones; 0 below 0."""
+    return pd.Series([_ncx2_density(float(a), float(b), float(c)) for a, b, c in zip(x, df, noncentrality, strict=True)])
+
+
+def _ncx2_density(x: float, df: float, noncentrality: float) -> float:
+    from math import exp, lgamma, log
+
+    if df <= 0 or noncentrality <= 0:
+        raise ValueError("degrees of freedom and noncentrality must be above 0")
+    if x <= 0:
+        return 0.0
+    half, total, i, left = noncentrality / 2, 0.0, 0, 1.0
+    while left > 1e-16 and i < 10_000:
+        weight = exp(-half + i * log(half) - lgamma(i + 1))
+        k = df / 2 + i
+        total += weight * exp((k - 1) * log(x) - x / 2 - k * log(2) - lgamma(k))
+        left -= weight
+        i += 1
+        if i > half and weight < 1e-18:
+            break
+    return total
+
+
+@F.pandas_udf(DoubleType())
+def skellam_left(k: pd.Series, rate1: pd.Series, rate2: pd.Series) -> pd.Series:
+    """P(X1 - X2 <= k) of two Poisson variables."""
+    return pd.Series([skellam_cdf(int(x), float(a), float(b)) for x, a, b in zip(k, rate1, rate2, strict=True)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def skellam_right(k: pd.Series, rate1: pd.Series, rate2: pd.Series) -> pd.Series:
+    """P(X1 - X2 >= k) of two Poisson variables."""
+    return pd.Series([1 - skellam_cdf(int(x) - 1, float(a), float(b)) for x, a, b in zip(k, rate1, rate2, strict=True)], dtype=float)
+
+
+def z_score_of_all(x: Column, mean: Column, deviation: Column, n: Column) -> Column:
+    """Deviation from the mean in population standard deviations, from the sample's."""
+    return F.try_divide(x - mean, deviation * F.sqrt((n - 1) / n))
+
+
+def relative_abundance(x: Column, total: Column) -> Column:
+    return F.try_divide(x.cast("double"), total.cast("double"))

@@ -19,28 +19,46 @@ def bins(start: Column, end: Column, width: int) -> Column:
     return F.sequence(div(start), div(F.greatest(start, end - 1)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int, keys: tuple[str, ...] = ("chr",), how: str = "inner", contained: bool = False) -> DataFrame:
+def _placed(df: DataFrame, start: str, end: str, width: int, long_from: int | None, mark: str) -> DataFrame:
+    """The rows in each bin they touch: ``__level`` 0 with bins of ``width``; with ``long_from``, level 1 with bins of that, where long rows lie only and short ones, too."""
+    s, e = F.col(start), F.col(end)
+    cells = lambda w, level: F.transform(bins(s, e, w), lambda b: F.struct(F.lit(level).alias("l"), b.alias("b")))
+    if long_from is None:
+        return df.withColumns({f"__level{mark}": F.lit(0), f"__long{mark}": F.lit(False)}).withColumn(f"__bin{mark}", F.explode(bins(s, e, width)))
+    is_long = e - s >= long_from
+    # the fine bins of a long row are never made
+    fine = F.when(is_long, F.array().cast("array<struct<l:int,b:bigint>>")).otherwise(cells(width, 0))
+    out = df.withColumn(f"__long{mark}", is_long).withColumn(f"__cell{mark}", F.explode(F.concat(fine, cells(long_from, 1))))
+    return out.withColumns({f"__level{mark}": F.col(f"__cell{mark}.l"), f"__bin{mark}": F.col(f"__cell{mark}.b")}).drop(f"__cell{mark}")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, width: int, keys: tuple[str, ...] = ("chr",), how: str = "inner", contained: bool = False, long_from: int | None = None) -> DataFrame:
     """Pairs of overlapping intervals (with ``contained``: the right one within the left); ``how``: inner, left_semi or left_anti.
 
     Columns of the right side that the left side has too get the suffix ``_r``. Each pair is met in the bin of the later start only.
-    ``width`` should be about the usual length of the intervals: each is copied to every bin it touches.
+    ``width`` should be about the usual length of the intervals: each is copied to every bin it touches. Where some are very much
+    longer, ``long_from`` (a multiple of the width) puts those of at least this length into bins of this width; pairs with one of them
+    are met there, all others in the fine bins.
     """
     b = F.col("__bin")
     r = right.withColumnsRenamed({c: f"{c}_r" for c in right.columns if c in left.columns})
     rn = lambda c: f"{c}_r" if c in left.columns else c
-    lefts = left.withColumn("__bin", F.explode(bins(F.col("start"), F.col("end"), width)))
-    rights = r.withColumn("__bin_r", F.explode(bins(F.col(rn("start")), F.col(rn("end")), width)))
-    later = F.floor(F.greatest(F.col("start"), F.col(rn("start"))) / F.lit(width)).cast("long")
+    lefts = _placed(left, "start", "end", width, long_from, "")
+    rights = _placed(r, rn("start"), rn("end"), width, long_from, "_r")
+    own = F.when(F.col("__level") == 0, F.lit(width)).otherwise(F.lit(long_from)) if long_from else F.lit(width)
+    later = F.floor(F.greatest(F.col("start"), F.col(rn("start"))) / own).cast("long")
     cond = (b == F.col("__bin_r")) & iv.overlaps(F.col("start"), F.col("end"), F.col(rn("start")), F.col(rn("end")))
+    if long_from:
+        cond &= (F.col("__level") == F.col("__level_r")) & ((F.col("__level") == 0) | F.col("__long") | F.col("__long_r"))
     if contained:
         cond &= iv.contains(F.col("start"), F.col("end"), F.col(rn("start")), F.col(rn("end")))
     for k in keys:
         cond &= F.col(k) == F.col(rn(k))
     if how == "inner":
-        return lefts.join(rights, cond & (b == later)).drop("__bin", "__bin_r")
+        return lefts.join(rights, cond & (b == later)).drop(*[f"__{c}{m}" for c in ("bin", "level", "long") for m in ("", "_r")])
     # membership depends on the key and the interval alone, so repeated rows and columns of any type are left as they are
     own = [*keys, "start", "end"]
-    found = lefts.select(*own, "__bin").distinct().join(rights, cond, "left_semi").select(*[F.col(c).alias(f"__{c}") for c in own]).distinct()
+    found = lefts.select(*own, "__bin", "__level", "__long").distinct().join(rights, cond, "left_semi").select(*[F.col(c).alias(f"__{c}") for c in own]).distinct()
     same = F.lit(True)
     for c in own:
         same &= F.col(c) == F.col(f"__{c}")

@@ -7,7 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.stats import average_rank, running
+from tidemark.operators.stats import average_rank, bounded, running
+
+#: Pairs of columns that a clustering may have, and cells of a matrix for linear algebra: they lie in one worker.
+MOST_PAIRS = 5_000_000
+MOST_CELLS = 20_000_000
 
 
 def _by(axis: str) -> str:
@@ -74,7 +78,7 @@ def combine(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     """Matrix product; missing cells are zero."""
     r = b.select(F.col("row").alias("k"), F.col("col").alias("c"), F.col("value").alias("w"))
-    return a.join(r, a["col"] == r["k"]).groupBy("row", F.col("c").alias("col")).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+    return a.join(r, F.col("col") == F.col("k")).groupBy("row", F.col("c").alias("col")).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
 
 
 def transpose(m: DataFrame) -> DataFrame:
@@ -174,7 +178,7 @@ def cluster_columns(distances: DataFrame) -> DataFrame:
             size[new] = size.pop(x) + size.pop(y)
         return pd.DataFrame(out, columns=["step", "left", "right", "height", "size"])
 
-    return distances.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(task, "step long, left string, right string, height double, size long")
+    return bounded(distances, MOST_PAIRS, "pairs of columns").withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(task, "step long, left string, right string, height double, size long")
 
 
 def kmeans(vectors: DataFrame, k: int, vector: str, seed: int = 1, iterations: int = 20) -> tuple[DataFrame, float]:
@@ -210,10 +214,12 @@ def lloyd(vectors: DataFrame, vector: str, starts: list[list[float]], rounds: in
 
 
 def linear_algebra(m: DataFrame, what: str) -> DataFrame:
-    """``cholesky``, ``inverse``, ``qr_r``, ``singular`` or ``eigen`` of a small square matrix whose rows and columns share names: a long matrix.
+    """A decomposition of a small matrix in long form, as a long matrix; missing cells are zero.
 
-    The matrix is one group; it must fit in a worker. Missing cells are zero. Cholesky of a matrix that is not symmetric positive
-    definite is an error.
+    ``cholesky`` (an error for a matrix that is not symmetric positive definite), ``inverse``, ``qr_r`` and ``qr_q`` (the diagonal of R is
+    not negative), ``lu_l`` and ``lu_u`` (of the rows as they are, with unit diagonal in L; an error where a pivot is 0), ``singular``,
+    ``singular_left``, ``singular_right``, ``eigen`` and ``eigen_vectors`` (of a symmetric matrix, largest value first; the largest part
+    of each vector is positive). The matrix is one group; more than ``MOST_CELLS`` cells are an error.
     """
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -225,15 +231,36 @@ def linear_algebra(m: DataFrame, what: str) -> DataFrame:
             out = np.linalg.cholesky(a)
         elif what == "inverse":
             out, rows, cols = np.linalg.inv(a), cols, rows
-        elif what == "qr_r":
-            out = np.linalg.qr(a, mode="r")
-            out *= np.where(np.diag(out) < 0, -1, 1)[:, None]
+        elif what in ("qr_r", "qr_q"):
+            q, r = np.linalg.qr(a)
+            sign = np.where(np.diag(r) < 0, -1, 1)
+            out = r * sign[:, None] if what == "qr_r" else q * sign
+            cols = cols if what == "qr_r" else [f"{i:04d}" for i in range(q.shape[1])]
+            rows = [f"{i:04d}" for i in range(len(r))] if what == "qr_r" and a.shape[0] != a.shape[1] else rows
+        elif what in ("lu_l", "lu_u"):
+            low, out = np.eye(len(a)), a.copy()
+            for i in range(len(a)):
+                if abs(out[i, i]) < 1e-300:
+                    raise ValueError("a pivot is 0")
+                low[i + 1 :, i] = out[i + 1 :, i] / out[i, i]
+                out[i + 1 :] -= np.outer(low[i + 1 :, i], out[i])
+            out, cols = (low, rows) if what == "lu_l" else (np.triu(out), cols)
+        elif what in ("singular_left", "singular_right", "eigen_vectors"):
+            if what == "eigen_vectors":
+                if not np.allclose(a, a.T):
+                    raise ValueError("the matrix is not symmetric")
+                out = np.linalg.eigh(a)[1][:, ::-1]
+            else:
+                u, _, v = np.linalg.svd(a, full_matrices=False)
+                out = u if what == "singular_left" else v.T
+            out = out * np.where(np.take_along_axis(out, np.abs(out).argmax(0)[None], 0)[0] < 0, -1, 1)
+            rows, cols = (cols if what == "singular_right" else rows), [f"{i:04d}" for i in range(out.shape[1])]
         else:
             values = np.linalg.svd(a, compute_uv=False) if what == "singular" else np.sort(np.linalg.eigvals(a).real)[::-1]
             out, rows, cols = values[:, None], [f"{i:04d}" for i in range(len(values))], ["value"]
         return pd.DataFrame([(r, c, float(out[i, j])) for i, r in enumerate(rows[: len(out)]) for j, c in enumerate(cols)], columns=["row", "col", "value"])
 
-    return m.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(task, "row string, col string, value double")
+    return bounded(m, MOST_CELLS, "cells").withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(task, "row string, col string, value double")
 
 
 def loess(df: DataFrame, keys: list[str], x: str, y: str, span: float = 0.3) -> DataFrame:
@@ -275,7 +302,8 @@ def gene_set_pairs(sets: DataFrame, universe: int) -> DataFrame:
 def viterbi(observations: DataFrame, keys: list[str], order: str, symbol: str, start: dict[str, float], moves: dict[str, dict[str, float]], emits: dict[str, dict[str, float]]) -> DataFrame:
     """Most likely state path of each key's ordered symbols: ``keys, order, state, log_likelihood`` (of the whole path).
 
-    Probabilities of each state must add up to 1. A key's sequence is streamed in order through one group.
+    Probabilities of each state must add up to 1. A key's sequence is one group and lies in a worker, with a step of the states for each
+    symbol; many keys are worked on in parallel.
     """
     for name, p in [("start", start), *moves.items(), *emits.items()]:
         if abs(sum(p.values()) - 1) > 1e-8:

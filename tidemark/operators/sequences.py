@@ -46,7 +46,7 @@ def shuffled(df: DataFrame, seed: int, keys: list[str]) -> DataFrame:
 
 def permute_annotations(annotations: DataFrame, lengths: DataFrame, mask: DataFrame | None, seed: int, attempts: int = 10, width: int = 2_048) -> DataFrame:
     """Every annotation (name, chr, start, end) moved to a seeded random place of its reference that the mask (chr, start, end) leaves
-    free, its length kept. An annotation that finds none in ``attempts`` draws is an error."""
+    free, its length and, if it has ``blocks``, their layout kept. An annotation that finds none in ``attempts`` draws is an error."""
     size = F.col("end") - F.col("start")
     tries = annotations.join(F.broadcast(lengths.select("chr", "length")), "chr").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))  # a row a reference
     room = F.greatest(F.col("length") - size + 1, F.lit(1))
@@ -57,7 +57,12 @@ def permute_annotations(annotations: DataFrame, lengths: DataFrame, mask: DataFr
     best = drawn.groupBy("name").agg(F.min(F.struct("attempt", "chr", "start", "end")).alias("m"))
     out = annotations.select("name").join(best, "name", "left")
     checked = F.when(F.col("m").isNull(), F.raise_error(F.concat(F.lit(f"no place in {attempts} tries for "), F.col("name").cast("string")))).otherwise(F.col("m.start"))
-    return out.select("name", F.col("m.chr").alias("chr"), checked.cast("long").alias("start"), F.col("m.end").alias("end"))
+    moved = out.select("name", F.col("m.chr").alias("chr"), checked.cast("long").alias("start"), F.col("m.end").alias("end"))
+    if "blocks" not in annotations.columns:
+        return moved
+    laid = moved.join(annotations.select("name", F.col("start").alias("__from"), F.col("blocks").alias("__b")), "name")
+    by = F.col("start") - F.col("__from")
+    return laid.select("name", "chr", "start", "end", F.transform("__b", lambda b: F.struct((b["start"] + by).alias("start"), (b["end"] + by).alias("end"))).alias("blocks"))
 
 
 def unmasked_lengths(lengths: DataFrame, mask: DataFrame) -> DataFrame:

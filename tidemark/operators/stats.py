@@ -210,6 +210,12 @@ def permuted_labels(df: DataFrame, permutations: int, unit: str, seed: int) -> D
     return each.withColumn("coin", (seeded([F.col(unit), F.col("permutation")], seed) % 2).cast("int"))
 
 
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """The rows, with an error instead if there are more than ``most``: for what has to be in one place."""
+    checked = df.agg(F.count("*").alias("__c")).select(F.when(F.col("__c") > most, F.raise_error(F.lit(f"more than {most} {what}")).cast("boolean")).otherwise(F.lit(True)).alias("__ok"))
+    return df.crossJoin(F.broadcast(checked)).where("__ok").drop("__ok")  # one row
+
+
 def seeded(columns: list[Column], seed: int) -> Column:
     """A number of 60 bits from the columns' text and the seed: the first 15 digits of an md5."""
     text = F.concat_ws("|", *[c.cast("string") for c in columns], F.lit(str(seed)))

@@ -205,7 +205,12 @@ SAM = {"read_name": "string", "flag": "int", "chr": "string", "pos": "bigint", "
 
 def sam(spark: SparkSession, path: str, keep_unmapped: bool = False) -> DataFrame:
     """Reads of a SAM text file: half-open 0-based ``start, end`` and ``blocks`` from the CIGAR, flags as columns, ``nh`` from its tag (1 without)."""
-    rows = spark.read.text(path).where(~F.col("value").startswith("@") & (F.trim("value") != ""))
+    return decode_sam(spark.read.text(path), keep_unmapped)
+
+
+def decode_sam(lines_: DataFrame, keep_unmapped: bool = False) -> DataFrame:
+    """The reads of SAM lines (value); header lines are left out."""
+    rows = lines_.where(~F.col("value").startswith("@") & (F.trim("value") != ""))
     r = rows.select(*fields(SAM), F.regexp_extract("value", r"\tNH:i:(\d+)", 1).try_cast("int").alias("nh"))
     flag = lambda bit: F.col("flag").bitwiseAND(F.lit(bit)) != 0
     ops = F.regexp_extract_all("cigar", F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
