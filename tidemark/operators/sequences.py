@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import sequences as sq
 from tidemark.operators.intervals import overlap_join
 from tidemark.operators.stats import seeded
+from tidemark.sources.scratch import written_table
 
 
 def kmer_counts(df: DataFrame, seq: str, k: int, keys: list[str] | None = None) -> DataFrame:
@@ -74,11 +75,12 @@ def unmasked_lengths(lengths: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def tree_levels(edges: DataFrame, root, depth: int = 64) -> DataFrame:
-    """``node, level`` of a tree (parent, child) under ``root``: one join a level, each on the new nodes only. More than ``depth`` levels are an error."""
+    """``node, level`` of a tree (parent, child) under ``root``: one join a level, each on the new nodes only, which are written so that no
+    level is worked out again. More than ``depth`` levels are an error."""
     level = edges.sparkSession.createDataFrame([(root,)], "node " + dict(edges.dtypes)["child"])
     out = level.withColumn("level", F.lit(0))
     for k in range(1, depth + 2):
-        level = edges.join(level, edges["parent"] == level["node"]).select(F.col("child").alias("node"))
+        level = written_table(edges.join(level, F.col("parent") == F.col("node")).select(F.col("child").alias("node")), "tree-level")
         if level.isEmpty():
             return out
         out = out.unionByName(level.withColumn("level", F.lit(k)))
@@ -91,7 +93,7 @@ def all_paths(edges: DataFrame, depth: int) -> DataFrame:
     open_ = sources.select(F.array("v").alias("path"), F.col("v").alias("at"))
     done = None
     for _ in range(depth + 1):
-        step = open_.join(edges, open_["at"] == edges["src"], "left")
+        step = written_table(open_.join(edges, F.col("at") == F.col("src"), "left"), "paths")
         ended = step.where("dst is null").select("path")
         done = ended if done is None else done.unionByName(ended)
         open_ = step.where("dst is not null").select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"))
