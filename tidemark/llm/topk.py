@@ -32,6 +32,8 @@ PACK_BYTES = 8 << 20
 #: Local cosine threshold from which on coordinates prune better than lengths, and how many coordinates are used.
 COORDINATE = 0.55
 FOCUS = 5
+#: Queries that are multiplied with a bucket together.
+GROUP = 128
 LONG = (1 << 63) - 1
 #: The largest double below 2**63.
 LARGEST = float((1 << 63) - 1024)
@@ -93,15 +95,17 @@ def packed(rows: DataFrame, size: int, name: str, level: bool = False) -> DataFr
     return rows.mapInArrow(task, f"{name}_ids binary, {name}_rows binary, longest double, n long, bytes long" + (", levels binary, need double" if level else ""))
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows, held within the range of a long."""
+def products(a: np.ndarray, b: np.ndarray, b_float: np.ndarray | None = None, b_most: float | None = None) -> np.ndarray:
+    """Exact inner products of the rows, held within the range of a long; ``b_float`` and ``b_most`` are b as doubles and its largest value, if they are known."""
     width = min(a.shape[1], b.shape[1])
     a, b = a[:, :width], b[:, :width]
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
-    most = float(np.abs(a.astype(float)).max()) * float(np.abs(b.astype(float)).max()) * width
+    a_float = a.astype(float)
+    b_float = b.astype(float) if b_float is None else b_float[:, :width]
+    most = float(np.abs(a_float).max()) * (float(np.abs(b_float).max()) if b_most is None else b_most) * width
     if most < 2.0**53:
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
+        return (a_float @ b_float.T).astype(np.int64)
     if most < 2.0**62:
         return a @ b.T
     whole = a.astype(object) @ b.astype(object).T
@@ -124,7 +128,9 @@ class Bucket:
         lengths = np.sqrt((rows.astype(float) ** 2).sum(1))
         order = np.argsort(-lengths, kind="stable")
         self.ids, self.rows, self.lengths = ids[order], rows[order], lengths[order]
-        self.unit = self.rows / np.maximum(self.lengths, 1e-300)[:, None]
+        self.floats = self.rows.astype(float)
+        self.most = float(np.abs(self.floats).max(initial=0.0))
+        self.unit = self.floats / np.maximum(self.lengths, 1e-300)[:, None]
         self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def coordinate(self, f: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,17 +162,35 @@ class Bucket:
         return np.flatnonzero(counts == len(focus))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, thresholds: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-        """(index of the query, vec_id, score) of each query's k best that reach its threshold."""
+        """(index of the query, vec_id, score) of each query's k best that reach its threshold.
+
+        Queries whose candidates are a stretch of the longest vectors, or most of the bucket, are multiplied together.
+        """
         lengths = np.sqrt((queries.astype(float) ** 2).sum(1))
+        together: list[tuple[int, int]] = []
         for i, own in enumerate(query_ids.tolist()):
             found = self.candidates(queries[i], float(lengths[i]), float(thresholds[i]))
             if not len(found):
                 continue
-            scores = products(queries[i : i + 1], self.rows if len(found) == len(self.rows) else self.rows[found])[0]
+            if found[-1] + 1 <= 4 * len(found):
+                together.append((int(found[-1]) + 1, i))
+                continue
+            scores = products(queries[i : i + 1], self.rows[found])[0]
             keep = np.flatnonzero(scores >= thresholds[i])
             found, scores = found[keep], scores[keep]
             for j in best(scores, self.ids[found], own, k).tolist():
                 yield i, int(self.ids[found[j]]), int(scores[j])
+        together.sort()
+        for at in range(0, len(together), GROUP):
+            n, index = together[min(at + GROUP, len(together)) - 1][0], np.array([i for _, i in together[at : at + GROUP]])
+            scores = products(queries[index], self.rows[:n], self.floats[:n], self.most)
+            who, which = np.nonzero(scores >= thresholds[index][:, None])
+            edges = np.searchsorted(who, np.arange(len(index) + 1))
+            for q, i in enumerate(index.tolist()):
+                found = which[edges[q] : edges[q + 1]]
+                own_scores = scores[q, found]
+                for j in best(own_scores, self.ids[found], int(query_ids[i]), k).tolist():
+                    yield i, int(self.ids[found[j]]), int(own_scores[j])
 
 
 def top_k(df: DataFrame, query: Column, k: int = 20, scale: float = 64.0, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -185,15 +209,20 @@ def top_k(df: DataFrame, query: Column, k: int = 20, scale: float = 64.0, vec_id
     top = [(np.frombuffer(bytes(r["bucket_ids"]), np.int64), bytes(r["bucket_rows"])) for r in buckets.orderBy(*order).limit(m).collect()]
 
     def begin(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = [(ids, np.frombuffer(raw, np.int64).reshape(len(ids), -1)) for ids, raw in top]
-        every = np.concatenate([ids for ids, _ in first])
+        first = [Bucket(ids, np.frombuffer(raw, np.int64).reshape(len(ids), -1)) for ids, raw in top]
+        every = np.concatenate([b.ids for b in first])
         for batch in parts:
             levels = []
-            for i, own in enumerate(batch.column("id").to_pylist()):
-                query = batch.column("v")[i].values.to_numpy(zero_copy_only=False)[None]
-                scores = np.concatenate([products(query, rows_)[0] for _, rows_ in first])
-                index = best(scores, every, own, k)
-                levels.append(int(scores[index[-1]]) if len(index) == k else -LONG - 1)
+            for at in range(0, batch.num_rows, GROUP):
+                part = batch.slice(at, GROUP)
+                vectors = [v.values.to_numpy(zero_copy_only=False) for v in part.column("v")]
+                queries = np.zeros((len(vectors), max(map(len, vectors))), np.int64)
+                for i, v in enumerate(vectors):
+                    queries[i, : len(v)] = v
+                scores = np.concatenate([products(queries, b.rows, b.floats, b.most) for b in first], axis=1)
+                for i, own in enumerate(part.column("id").to_pylist()):
+                    index = best(scores[i], every, own, k)
+                    levels.append(int(scores[i, index[-1]]) if len(index) == k else -LONG - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(levels, pa.int64())], names=["id", "v", "length2", "level"])
 
     asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"), F.min_by("length2", "v").alias("length2"))
