@@ -178,11 +178,18 @@ def repeated_spans(docs: DataFrame, k: int = 50, m: int = GRAM, doc_id: str = "d
 
     def windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for sid, first, string in zip(*[batch.column(c).to_pylist() for c in ("sid", "first", "packed")], strict=True):
-                ends = [p for p, c in enumerate(string) if c == 32] + [len(string)]
-                starts = [0, *[e + 1 for e in ends[:-1]]]
-                own = [string[starts[j] : ends[j + k - 1]] for j in range(len(starts) - k + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([sid] * len(own), pa.binary()), pa.array([first] * len(own), pa.int64()), pa.array(np.arange(len(own)))], names=["window", "sid", "first", "lo"])
+            for at in range(0, batch.num_rows, 64):  # a string has LONGEST windows at most
+                part = batch.slice(at, 64)
+                out: list[list] = [[], [], [], []]
+                for sid, first, string in zip(*[part.column(c).to_pylist() for c in ("sid", "first", "packed")], strict=True):
+                    ends = [p for p, c in enumerate(string) if c == 32] + [len(string)]
+                    starts = [0, *[e + 1 for e in ends[:-1]]]
+                    n = len(starts) - k + 1
+                    out[0] += [string[starts[j] : ends[j + k - 1]] for j in range(n)]
+                    out[1] += [sid] * n
+                    out[2] += [first] * n
+                    out[3] += range(n)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["window", "sid", "first", "lo"])
 
     each = crowded.select("sid", "first", "packed").mapInArrow(windows, "window binary, sid binary, first long, lo long")
     least = each.groupBy("window").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count("*").alias("met")).where("least < most")
