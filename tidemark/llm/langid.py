@@ -132,9 +132,10 @@ def sample(df: DataFrame, text: str, lang: str, per_language: int) -> tuple[list
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for lang_, h, x, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "h", "x")), batch.column("text"), strict=True):
-                if (v := features(t.as_py())) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang_]), pa.array([h], pa.int64()), pa.array([x], pa.int64()), pa.array([v.astype(np.float16).tobytes()], pa.binary())], names=["lang", "h", "x", "v"])
+            vectors = [features(t.as_py()) for t in batch.column("text")]
+            some = [i for i, v in enumerate(vectors) if v is not None]
+            v = pa.array([vectors[i].astype(np.float16).tobytes() for i in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some, pa.int64())) for c in ("lang", "h", "x")), v], names=["lang", "h", "x", "v"])
 
     most = int(per_language + 8 * per_language**0.5 + 64)
     by: dict[str, list] = {}
