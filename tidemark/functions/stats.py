@@ -26,13 +26,21 @@ def poisson_pmf(k: Column, rate: Column) -> Column:
 
 
 def poisson_cdf(k: Column, rate: Column) -> Column:
-    """Sum of the masses 0..k: upwards from the mass at 0, or, where that is too small for a double, downwards from the mass at k."""
+    """Sum of the masses 0..k: upwards from the mass at 0, or, where that is too small for a double, downwards from the mass at k.
+
+    Beyond 40 deviations above the rate it is 1, and masses of more than 40 deviations below k are left out: there are some
+    hundreds of steps for small rates and the square root's order for large ones.
+    """
+    reach = 40 * F.sqrt(rate) + 40
     start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("total"))
-    steps = F.when(k >= 1, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
-    up = F.aggregate(steps, start, lambda s, i: F.struct((s["term"] * rate / i).alias("term"), (s["total"] + s["term"] * rate / i).alias("total")), lambda s: s["total"])
+    none = F.array().cast("array<int>")
+    upwards = F.when((k >= 1) & (rate < 600), F.sequence(F.lit(1), F.greatest(F.least(k, rate + reach), F.lit(1)).cast("int"))).otherwise(none)
+    up = F.aggregate(upwards, start, lambda s, i: F.struct((s["term"] * rate / i).alias("term"), (s["total"] + s["term"] * rate / i).alias("total")), lambda s: s["total"])
     one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    down = F.aggregate(F.reverse(steps), one, lambda s, i: F.struct((s["term"] * i / rate).alias("term"), (s["total"] + s["term"] * i / rate).alias("total")), lambda s: s["total"])
-    total = F.when(rate < 600, up).when(k > rate + 40 * F.sqrt(rate), 1.0).otherwise(poisson_pmf(k, rate) * down)
+    near = (k >= 1) & (rate >= 600) & (k <= rate + reach)
+    downwards = F.when(near, F.sequence(k.cast("int"), F.greatest(k - 2 * reach, F.lit(1)).cast("int"), F.lit(-1))).otherwise(none)
+    down = F.aggregate(downwards, one, lambda s, i: F.struct((s["term"] * i / rate).alias("term"), (s["total"] + s["term"] * i / rate).alias("total")), lambda s: s["total"])
+    total = F.when(k > rate + reach, 1.0).when(rate < 600, up).otherwise(poisson_pmf(k, rate) * down)
     return F.when(k >= 0, total).otherwise(0.0)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import intervals as iv
@@ -154,7 +154,10 @@ def site_likelihoods(alignment: DataFrame, parents: dict[str, tuple[str, float]]
     return cols.select("block", "at", F.pandas_udf(score, DoubleType())("key").alias("log_likelihood"))
 
 
-def neighbours(genes: DataFrame) -> DataFrame:
-    """``name, before, after``: the genes next to each by start on its reference."""
-    w = Window.partitionBy("chr").orderBy("start", "end", "name")
-    return genes.select("name", F.lag("name").over(w).alias("before"), F.lead("name").over(w).alias("after"))
+def neighbours(genes: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """``name, before, after``: the genes next to each by start, end and name on its reference."""
+    placed = ops.two_level(genes.select("name", "chr", "start", "end"), ("chr",), ["start", "end", "name"], "start", F.lit(1), "sum", width, "place").select("chr", "place", "name")
+    # each gene tells its place's neighbours its name
+    told = placed.select("chr", F.explode(F.array(F.struct((F.col("place") - 1).alias("p"), F.lit("after").alias("side")), F.struct((F.col("place") + 1).alias("p"), F.lit("before").alias("side")))).alias("x"), F.col("name").alias("other"))
+    sides = told.groupBy("chr", F.col("x.p").alias("place")).agg(*[F.max(F.when(F.col("x.side") == s, F.col("other"))).alias(s) for s in ("before", "after")])
+    return placed.join(sides, ["chr", "place"], "left").select("name", "before", "after")

@@ -57,6 +57,13 @@ def summary(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return med.join(near, keys)
 
 
+def ordered_rank(df: DataFrame, value: str, tie: str, down: bool = False, name: str = "rank") -> DataFrame:
+    """Rows with their place from 1 by ``value`` (downwards with ``down``), equal values by ``tie``: values are counted and ranged, only rows of one value are ordered together."""
+    counts = running(df.groupBy(value).agg(F.count("*").alias("__n")), value, [], {"__upto": "__n"}, down)
+    within = F.row_number().over(Window.partitionBy(value).orderBy(tie))
+    return df.withColumn("__k", within).join(counts, value).withColumn(name, (F.col("__upto") - F.col("__n") + F.col("__k")).cast("long")).drop("__k", "__n", "__upto")
+
+
 def average_rank(df: DataFrame, value: Column | str, keys: list[str], name: str = "rank") -> DataFrame:
     """Ranks from 1 within the keys, ties sharing their mean. Equal values are counted first; the running sum is over distinct values."""
     v = F.col(value) if isinstance(value, str) else value

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
@@ -117,7 +116,7 @@ s AS (SELECT t.set_name, r.rank, r.score, sum(CASE WHEN g.gene IS NOT NULL THEN
 b AS (SELECT *, row_number() OVER (PARTITION BY set_name ORDER BY round(abs(es), 9) DESC, rank) AS k FROM s) SELECT set_name, round(es, 6) AS es, rank AS at_rank, score AS at_score FROM b WHERE k = 1""")
 def enrichment_score(spark, sf):
     p = table(spark, sf, "part")
-    ranked = p.select(F.col("p_partkey").alias("gene"), F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).cast("long").alias("rank"), F.round(F.col("p_retailprice") - 1000, 2).alias("score"))
+    ranked = so.ordered_rank(p.select("p_partkey", "p_retailprice"), "p_retailprice", "p_partkey", down=True).select(F.col("p_partkey").alias("gene"), "rank", F.round(F.col("p_retailprice") - 1000, 2).alias("score"))
     sets = p.select(F.concat_ws("/", "p_type", "p_brand").alias("set_name"), F.col("p_partkey").alias("gene"))
     return so.enrichment_score(ranked, sets).withColumn("es", F.round("es", 6))
 
