@@ -315,3 +315,36 @@ def until(rows: DataFrame, stop: Column) -> DataFrame:
     """Numbered lines (file, no, value) of each file ahead of its first one that meets ``stop``: a reader that ends early."""
     ends = rows.where(stop).groupBy("file").agg(F.min("no").alias("__stop"))
     return rows.join(ends, "file", "left").where(F.col("__stop").isNull() | (F.col("no") < F.col("__stop"))).drop("__stop")
+
+
+def range_windows(regions: DataFrame, size: int, step: int) -> DataFrame:
+    """Windows of ``size`` at every ``step`` from each region's start (name, chr, start, end), clipped at its end: ``name, chr, start, end``."""
+    starts = F.sequence(F.col("start"), F.col("end") - 1, F.lit(step).cast("long"))
+    each = regions.where("start < end").select("name", "chr", F.explode(starts).alias("s"), F.col("end").alias("e"))
+    return each.select("name", "chr", F.col("s").alias("start"), F.least(F.col("s") + size, F.col("e")).alias("end"))
+
+
+def moved_to(df: DataFrame, start: Column) -> DataFrame:
+    """Intervals (start, end, blocks) moved so that they begin at ``start``, blocks along with them."""
+    by = start - F.col("start")
+    blocks = F.transform("blocks", lambda b: F.struct((b["start"] + by).alias("start"), (b["end"] + by).alias("end")))
+    return df.withColumns({"blocks": blocks, "end": F.col("end") + by, "start": start})
+
+
+def sampled_columns(alignment: DataFrame, share: float, seed: int) -> DataFrame:
+    """The columns (block, at, species, base) of a multiple alignment that a seeded draw of about ``share`` keeps, the same in all species."""
+    from tidemark.operators.genes import alignment_columns
+
+    most = 1 << 60
+    return alignment_columns(alignment).where(seeded([F.col("block"), F.col("at")], seed) < int(share * most))
+
+
+def permuted_matrix(pwm: list[list[float]], seed: int) -> list[list[float]]:
+    """The columns of a weight matrix in a seeded order."""
+    order = np.random.default_rng(seed).permutation(len(pwm))
+    return [pwm[i] for i in order]
+
+
+def to_reconstruct() -> Column:
+    """Reads fit for reconstruction: mapped once, no duplicates and, if paired, in a proper pair."""
+    return (F.col("nh") <= 1) & ~F.col("is_duplicate") & (~F.col("is_paired") | F.col("is_proper"))

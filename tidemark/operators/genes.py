@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import intervals as iv
 from tidemark.operators import intervals as ops
+from tidemark.operators.stats import seeded
 
 LONG_BLOCKS = "array<struct<start:bigint,end:bigint>>"
 
@@ -101,7 +102,7 @@ def simulated_reads(genes: DataFrame, per_gene: int, length: int, seed: int) ->
     """``name, read, chr, strand, start, end``: seeded reads at uniform places of genes long enough, the same on every run."""
     room = F.col("end") - F.col("start") - length + 1
     each = genes.where(room > 0).withColumn("read", F.explode(F.sequence(F.lit(0), F.lit(per_gene - 1))))
-    at = F.col("start") + F.pmod(F.xxhash64("name", "read", F.lit(seed)), room)
+    at = F.col("start") + F.pmod(seeded([F.col("name"), F.col("read")], seed), room)
     return each.select("name", "read", "chr", "strand", at.alias("start"), (at + length).alias("end"))
 
 

@@ -333,3 +333,80 @@ def permuted_models(spark, sf):
     mask = references(spark).select("chr", F.lit(0).cast("long").alias("start"), F.lit(DAY).cast("long").alias("end"))
     p = permute_annotations(models(spark, sf).select("name", "chr", "start", "end", "blocks"), references(spark), mask, 6, width=DAY)
     return p.select("name", "start", F.size("blocks").cast("long").alias("n_blocks"), F.col("blocks")[0]["end"].alias("first_end"))
+
+
+@query("loci", f"""{W}, o AS (SELECT *, max("end") OVER (PARTITION BY chr, strand ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM genes), i AS (SELECT *, sum(CASE WHEN b IS NULL OR start >= b THEN 1 ELSE 0 END) OVER (PARTITION BY chr, strand ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS i FROM o),
+x AS (SELECT i.chr, i.strand, i.i, e.start AS s, e."end" AS e FROM i JOIN exons e USING (name)), y AS (SELECT *, max(e) OVER (PARTITION BY chr, strand, i ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM x), u AS (SELECT chr, strand, i, sum(greatest(0, e - greatest(s, coalesce(b, s))))::BIGINT AS union_length FROM y GROUP BY ALL)
+SELECT chr, strand, min(start) AS start, max("end") AS end_pos, count(*) AS n, any_value(union_length) AS union_length FROM i JOIN u USING (chr, strand, i) WHERE i.name IN (SELECT name FROM exons) GROUP BY chr, strand, i""")
+def loci(spark, sf):
+    """Genes that overlap on a strand as one, with the union of their exons."""
+    m = models(spark, sf).drop("start", "end").join(genes(spark, sf).select("name", "start", "end"), "name")
+    return ge.loci(m).withColumnRenamed("end", "end_pos")
+
+
+@query("exon_overlaps", f"""{W}, p AS (SELECT a.name AS a, b.name AS b, a.start, a."end", least(a."end", b."end") - greatest(a.start, b.start) AS s FROM exons a JOIN exons b ON a.chr = b.chr AND a.strand = b.strand AND a.name <> b.name AND a.start < b."end" AND b.start < a."end"), l AS (SELECT name, sum("end" - start) AS l FROM exons GROUP BY name)
+SELECT a, b, count(DISTINCT (start, "end")) AS exons, sum(s)::BIGINT AS shared, round(sum(s) / any_value(l.l), 9) AS share FROM p JOIN l ON l.name = p.a GROUP BY a, b""")
+def exon_overlaps(spark, sf):
+    m = models(spark, sf)
+    return ge.exon_overlaps(m, m, 512).select("a", "b", "exons", "shared", F.round("share", 9).alias("share"))
+
+
+@query("longest_isoforms", f"""{W}, i AS (SELECT name, o_custkey AS gene, count(*) AS n, sum(e."end" - e.start) AS l FROM exons e JOIN orders ON o_orderkey = name GROUP BY ALL) SELECT gene, arg_min(name, (-n, -l, name)) AS name FROM i GROUP BY gene""")
+def longest_isoforms(spark, sf):
+    """Orders of a customer as the isoforms of a gene."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("name"), F.col("o_custkey").alias("gene"))
+    return ge.longest_isoform(models(spark, sf).select("name", "blocks").join(o, "name"))
+
+
+@query("gene_neighbours", f"""{W} SELECT name, lag(name) OVER w AS before, lead(name) OVER w AS after FROM genes WINDOW w AS (PARTITION BY chr ORDER BY start, "end", name)""")
+def gene_neighbours(spark, sf):
+    return ge.neighbours(genes(spark, sf))
+
+
+@query("simulated_reads", f"""{W} SELECT name, i::INTEGER AS read, start + ('0x' || substr(md5(name || '|' || i || '|8'), 1, 15))::BIGINT % ("end" - start - 49) AS start FROM genes, range(3) AS t(i) WHERE "end" - start - 49 > 0""")
+def simulated_reads(spark, sf):
+    return ge.simulated_reads(genes(spark, sf), 3, 50, 8).select("name", "read", "start")
+
+
+@query("range_windows", f"""{W} SELECT name, s AS start, least(s + 400, "end") AS end_pos FROM (SELECT name, "end", unnest(range(start, "end", 250)) AS s FROM genes)""")
+def range_windows(spark, sf):
+    return fu.range_windows(genes(spark, sf), 400, 250).select("name", "start", F.col("end").alias("end_pos"))
+
+
+@query("long_records", f"WITH {DNA} SELECT item_id || chr(9) || length(seq) AS value FROM dna WHERE length(seq) >= 60 AND item_id::VARCHAR LIKE '%1%'")
+def long_records(spark, sf):
+    """Sizes of the records whose id matches and that are long enough, put together from chunks."""
+    from tidemark.operators.regions import chunked
+    from tidemark.sources import extra_formats as xf
+
+    whole = xf.unchunked(chunked(dna(spark, sf).select(F.col("item_id").cast("string").alias("id"), "seq"), 32))
+    return xf.size_lines(xf.fasta_at_least(xf.fasta_matching(whole, "1"), 60))
+
+
+@query("record_index", f"WITH {DNA} SELECT item_id::VARCHAR AS id, length(seq)::INTEGER AS length FROM dna")
+def record_index(spark, sf):
+    from tidemark.sources import extra_formats as xf
+    from tidemark.sources.scratch import written_text
+
+    records = dna(spark, sf).select(F.concat(F.lit(">"), F.col("item_id").cast("string"), F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
+    return xf.record_index(spark, written_text(records, "fasta")).select("id", "length")
+
+
+@query("reads_to_reconstruct", f"""{W} SELECT name FROM reads WHERE nh <= 1 AND NOT is_duplicate AND (NOT is_paired OR mapq >= 30)""")
+def reads_to_reconstruct(spark, sf):
+    """Pairs of a good mapping quality stand for proper ones."""
+    return reads(spark, sf).withColumn("is_proper", F.col("mapq") >= 30).where(fu.to_reconstruct()).select("name")
+
+
+@query("moved_models", f"""{W}, {BLOCKS} SELECT b.name, 0::BIGINT AS start, blocks[-1].e - blocks[1].s AS end_pos, (list_transform(blocks, lambda x: x.s - blocks[1].s))[-1] AS last_start FROM b""")
+def moved_models(spark, sf):
+    """Gene models moved to the beginning of the axis."""
+    m = fu.moved_to(models(spark, sf), F.lit(0).cast("long"))
+    return m.select("name", "start", F.col("end").alias("end_pos"), F.element_at("blocks", -1)["start"].alias("last_start"))
+
+
+@query("sampled_columns", f"""WITH {DNA} SELECT item_id AS block, (i - 1)::INTEGER AS place, substr(seq, i, 1) AS base FROM dna, unnest(range(1, length(seq) + 1)) AS t(i) WHERE length(seq) > 0 AND ('0x' || substr(md5(item_id || '|' || (i - 1) || '|3'), 1, 15))::BIGINT < 288230376151711744""")
+def sampled_columns(spark, sf):
+    """A quarter of the columns of alignments of one species."""
+    d = dna(spark, sf).where(F.length("seq") > 0).select(F.col("item_id").alias("block"), F.lit("one").alias("species"), "seq")
+    return fu.sampled_columns(d, 0.25, 3).select("block", F.col("at").alias("place"), "base")

@@ -129,3 +129,45 @@ def region_reads(indexed: DataFrame, chr_: str, start: int, end: int, width: int
     near = indexed.where((F.col("ref") == chr_) & (F.col("bin") >= start // width) & (F.col("bin") <= (end - 1) // width))
     once = F.col("bin") == F.greatest(F.floor(F.col("start") / F.lit(width)), F.lit(start // width))
     return near.where(once & (F.col("start") < end) & (F.col("end") > start)).drop("ref", "bin")
+
+
+def fasta_matching(records: DataFrame, pattern: str) -> DataFrame:
+    """Records (id, seq, ...) whose id holds a match of the pattern."""
+    return records.where(F.col("id").rlike(pattern))
+
+
+def fasta_at_least(records: DataFrame, least: int) -> DataFrame:
+    return records.where(F.length("seq") >= least)
+
+
+def unchunked(chunks: DataFrame) -> DataFrame:
+    """``id, seq`` from chunks (id, chunk, seq) in their order."""
+    whole = chunks.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk", "seq"))).alias("c"))
+    return whole.select("id", F.array_join(F.transform("c", lambda x: x["seq"]), "").alias("seq"))
+
+
+def size_lines(records: DataFrame) -> DataFrame:
+    """Tab-separated id and length of each record."""
+    return records.select(F.concat_ws("\t", "id", F.length("seq").cast("string")).alias("value"))
+
+
+def record_index(spark: SparkSession, path: str) -> DataFrame:
+    """``file, no, id, length`` of FASTA records: where each one lies among its file's, so that wanted ones are found by a join."""
+    rows = text.lines(spark, path, "\n>").withColumn("value", F.regexp_replace("value", "\r", ""))
+    kept = rows.where((F.col("no") > 0) | F.col("value").startswith(">"))
+    r = F.regexp_replace("value", "^>", "")
+    return kept.select("file", "no", F.regexp_extract(r, r"^\S*", 0).alias("id"), F.length(F.regexp_replace(F.regexp_replace(r, "^[^\n]*", ""), r"\s", "")).alias("length"))
+
+
+def block_index(alignment: DataFrame) -> DataFrame:
+    """``species, chr, start, end, file, block`` of the rows of a multiple alignment: which block holds a stretch of a species."""
+    return alignment.select("species", "chr", "start", (F.col("start") + F.col("size")).alias("end"), "file", "block")
+
+
+def gct_and_cls(m: DataFrame, labels: dict[str, str], folder: str) -> None:
+    """Writes a long matrix as ``matrix.gct`` and its columns' labels as ``matrix.cls`` below a folder, columns in alphabetical order in both."""
+    from tidemark.sources import sinks
+
+    sinks.write_text(sinks.gct(m), f"{folder}/matrix.gct", one_file=True)
+    content = sinks.cls([labels[c] for c in sorted(labels)]).rstrip("\n")
+    sinks.write_text(m.sparkSession.createDataFrame([(content,)], "value string"), f"{folder}/matrix.cls", one_file=True)
