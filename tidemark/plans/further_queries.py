@@ -335,11 +335,11 @@ def permuted_models(spark, sf):
     return p.select("name", "start", F.size("blocks").cast("long").alias("n_blocks"), F.col("blocks")[0]["end"].alias("first_end"))
 
 
-@query("loci", f"""{W}, o AS (SELECT *, max("end") OVER (PARTITION BY chr, strand ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM genes), i AS (SELECT *, sum(CASE WHEN b IS NULL OR start >= b THEN 1 ELSE 0 END) OVER (PARTITION BY chr, strand ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS i FROM o),
+@query("loci", f"""{W}, o AS (SELECT *, max("end") OVER (PARTITION BY chr, strand ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM genes WHERE name IN (SELECT name FROM exons)), i AS (SELECT *, sum(CASE WHEN b IS NULL OR start >= b THEN 1 ELSE 0 END) OVER (PARTITION BY chr, strand ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS i FROM o),
 x AS (SELECT i.chr, i.strand, i.i, e.start AS s, e."end" AS e FROM i JOIN exons e USING (name)), y AS (SELECT *, max(e) OVER (PARTITION BY chr, strand, i ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM x), u AS (SELECT chr, strand, i, sum(greatest(0, e - greatest(s, coalesce(b, s))))::BIGINT AS union_length FROM y GROUP BY ALL)
-SELECT chr, strand, min(start) AS start, max("end") AS end_pos, count(*) AS n, any_value(union_length) AS union_length FROM i JOIN u USING (chr, strand, i) WHERE i.name IN (SELECT name FROM exons) GROUP BY chr, strand, i""")
+SELECT chr, strand, min(start) AS start, max("end") AS end_pos, count(*) AS n, any_value(union_length) AS union_length FROM i JOIN u USING (chr, strand, i) GROUP BY chr, strand, i""")
 def loci(spark, sf):
-    """Genes that overlap on a strand as one, with the union of their exons."""
+    """Genes with exons that overlap on a strand as one, with the union of their exons."""
     m = models(spark, sf).drop("start", "end").join(genes(spark, sf).select("name", "start", "end"), "name")
     return ge.loci(m).withColumnRenamed("end", "end_pos")
 
