@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import intervals as iv
 from tidemark.operators import intervals as ops
 from tidemark.operators.stats import seeded
+from tidemark.sources.scratch import written_table
 
 LONG_BLOCKS = "array<struct<start:bigint,end:bigint>>"
 
@@ -68,7 +69,7 @@ def loci(genes: DataFrame) -> DataFrame:
     """Genes that overlap on a strand as one locus: ``chr, strand, start, end, n, union_length`` with the union of their exons."""
     marked = ops.islands(genes.select("name", "chr", "strand", "start", "end"), ("chr", "strand")).select("name", "chr", "strand", F.col("island").alias("locus"))
     keys = ("chr", "strand", "locus")
-    placed = genes.join(marked, ["name", "chr", "strand"])
+    placed = written_table(genes.join(marked, ["name", "chr", "strand"]), "loci")  # read several times below
     span = placed.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
     exons = placed.select(*keys, F.explode("blocks").alias("x")).select(*keys, F.col("x.start").alias("start"), F.col("x.end").alias("end"))
     union = ops.merge(exons, keys).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("union_length"))
