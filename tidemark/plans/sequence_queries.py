@@ -66,9 +66,25 @@ def pwm_hits(spark, sf):
     return so.pwm_hits(dna(spark, sf), "seq", PWM, -1e9, ["item_id"]).withColumnRenamed("at", "place").withColumn("score", F.round("score", 6)).where("score >= 2")
 
 
-@query("local_alignments")
+_GAIN = "CASE WHEN substr(a, {i}, 1) = substr(b, {j}, 1) OR upper(substr(a, {i}, 1)) = 'N' OR upper(substr(b, {j}, 1)) = 'N' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
+_GO = "(i > 0 OR j > 0) AND NOT (state = 'd' AND hs[i + 1][j + 1] = 0)"
+_DIAGONAL = f"i > 0 AND j > 0 AND abs(hs[i + 1][j + 1] - (hs[i][j] + {_GAIN.format(i='i', j='j')})) < 1e-6"
+
+
+@query("local_alignments", f"""WITH RECURSIVE o AS (SELECT p_brand, min(p_name) AS b FROM part GROUP BY p_brand), q AS (SELECT DISTINCT p_name AS a, b FROM part JOIN o USING (p_brand)),
+d AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0.0::DOUBLE) AS h, list_transform(range(length(b) + 1), lambda x: -1e18::DOUBLE) AS f, [list_transform(range(length(b) + 1), lambda x: 0.0::DOUBLE)] AS hs, [list_transform(range(length(b) + 1), lambda x: -1e18::DOUBLE)] AS es, [list_transform(range(length(b) + 1), lambda x: -1e18::DOUBLE)] AS fs FROM q
+UNION ALL SELECT a, b, i + 1, h2, f2, list_append(hs, h2), list_append(es, e2), list_append(fs, f2) FROM (SELECT *, list_transform(range(1, length(b) + 2), lambda j: greatest(best[j], e2[j])) AS h2 FROM (
+  SELECT *, list_transform(range(1, length(b) + 2), lambda j: CASE WHEN j = 1 THEN -1e18::DOUBLE ELSE list_max(list_transform(range(1, j), lambda k: best[k] + (k - 1) * 0.5::DOUBLE)) - (j - 2) * 0.5::DOUBLE - 2 END) AS e2 FROM (
+    SELECT *, list_transform(range(1, length(b) + 2), lambda j: CASE WHEN j = 1 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, h[j - 1] + {_GAIN.format(i='i + 1', j='(j - 1)::BIGINT')}, f2[j]) END) AS best FROM (
+      SELECT *, list_transform(range(1, length(b) + 2), lambda j: CASE WHEN j = 1 THEN -1e18::DOUBLE ELSE greatest(h[j] - 2, f[j] - 0.5::DOUBLE) END) AS f2 FROM d WHERE i < length(a)))))),
+m AS (SELECT a, b, hs, es, fs, list_transform(hs, lambda r: list_max(r)) AS tops FROM d WHERE i = length(a)), n AS (SELECT *, list_max(tops) AS score, list_position(tops, list_max(tops)) AS top FROM m),
+t AS (SELECT a, b, hs, es, fs, score, (top - 1)::BIGINT AS i, (list_position(hs[top], score) - 1)::BIGINT AS j, 'd' AS state, 0 AS identical, 0 AS gaps FROM n
+UNION ALL SELECT a, b, hs, es, fs, score, CASE WHEN state = 'u' OR (state = 'd' AND {_DIAGONAL}) THEN i - 1 ELSE i END, CASE WHEN state = 'l' OR (state = 'd' AND {_DIAGONAL}) THEN j - 1 ELSE j END,
+  CASE WHEN state = 'd' THEN CASE WHEN {_DIAGONAL} THEN 'd' WHEN abs(hs[i + 1][j + 1] - es[i + 1][j + 1]) < 1e-6 THEN 'l' ELSE 'u' END WHEN state = 'l' THEN CASE WHEN abs(es[i + 1][j + 1] - (hs[i + 1][j] - 2)) < 1e-6 OR j = 1 THEN 'd' ELSE 'l' END ELSE CASE WHEN abs(fs[i + 1][j + 1] - (hs[i][j + 1] - 2)) < 1e-6 OR i = 1 THEN 'd' ELSE 'u' END END,
+  identical + CASE WHEN state = 'd' AND {_DIAGONAL} AND substr(a, i, 1) = substr(b, j, 1) THEN 1 ELSE 0 END, gaps + CASE WHEN state <> 'd' THEN 1 ELSE 0 END FROM t WHERE {_GO})
+SELECT p_partkey, score, identical, gaps FROM part JOIN o USING (p_brand) JOIN (SELECT * FROM t WHERE NOT ({_GO})) t ON t.a = p_name AND t.b = o.b""")
 def local_alignments(spark, sf):
-    """Local alignments of every part's name with its brand's alphabetically first name; tested against brute force."""
+    """Local alignments of every part's name with its brand's alphabetically first name; tested against brute force, too."""
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name")
     pairs = p.join(p.groupBy("p_brand").agg(F.min("p_name").alias("other")), "p_brand")
     distinct = pairs.select("p_name", "other").distinct().withColumn("x", sq.aligner()("p_name", "other"))
