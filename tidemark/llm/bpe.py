@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import blobs, check_side_data
+from .common import blobs, bound_batches, check_side_data
 
 #: Bytes of text whose unknown words are encoded together (one longer text makes a group of its own).
 GROUP_BYTES = 1 << 20
@@ -325,6 +325,7 @@ def encode_digest(df: DataFrame, path: str, text: str = "text", keep: list[str]
 
 def _run(df: DataFrame, path: str, text: str, keep: list[str], *, digest: bool) -> DataFrame:
     spec = read_tokenizer(path)
+    bound_batches(df)
     chosen = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
     names = ("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])

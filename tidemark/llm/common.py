@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -13,13 +14,25 @@ from pyspark.sql import functions as F
 from tidemark.sources.scratch import scratch_dir
 
 #: Entries a worker's word cache may hold before it is emptied.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 #: Bytes of side data (rules, models, vocabularies) that may be shipped to every executor.
 SIDE_DATA_LIMIT = 64 << 20
 
 MASK64 = (1 << 64) - 1
 
 
+#: Bytes of a batch of rows that travels between a task and its Python worker, and Spark's setting of them.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Has the session send batches of ``BATCH_BYTES`` to Python workers, unless they are smaller already: long texts would make ten thousand rows a large batch."""
+    conf = df.sparkSession.conf
+    if conf.isModifiable(BATCH_SETTING) and int(re.sub("[^0-9]", "", conf.get(BATCH_SETTING))) > BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession

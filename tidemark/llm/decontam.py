@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIDE_DATA_LIMIT, blobs, materialize
+from .common import SIDE_DATA_LIMIT, blobs, bound_batches, materialize
 
-#: Bytes of text in a shard, and bytes from which on a word is compared by its digest.
-SHARD_BYTES = 16 << 20
+#: Bytes of text in a shard (a batch of rows holds no more), and bytes from which on a word is compared by its digest.
+SHARD_BYTES = 8 << 20
 LONG_WORD = 256
 
 #: Bytes to bytes: A-Z lower-cased, everything but digits, letters and bytes beyond ASCII blanked.
@@ -263,6 +263,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep:
     the word it starts at in the item and in the document, and its length.
     """
     keep = keep or []
+    bound_batches(docs)
     place = keep.index(text) if text in keep else len(keep)  # a text that is kept goes to the workers once
     out = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col(text).cast("string").alias("__text")] * (place == len(keep)))
     blocks = read_items(benchmark, item_id, item_text, limit, window)

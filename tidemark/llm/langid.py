@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Buckets of hashed n-grams.
 DIM = 2048
 PER_LANGUAGE = 250
@@ -118,6 +120,7 @@ def fit(vectors: np.ndarray, langs: list[str]) -> Model:
 
 def sample(df: DataFrame, text: str, lang: str, per_language: int) -> tuple[list[np.ndarray], list[str]]:
     """Feature vectors and languages of the sample; what comes to the driver grows with the number of languages only."""
+    bound_batches(df)
     rows = df.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
     # copies of a text count once, so that no group of them fills a language's share; texts of ASCII digits and signs alone have no letters
     hashed = rows.where(F.col("text").rlike(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]")).withColumns({"x": F.xxhash64("text"), "h": F.pmod(F.xxhash64("text"), F.lit(SLOTS))})
@@ -155,6 +158,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[s
     """Columns ``keep`` and ``lang_pred, score, ambiguous`` for every row."""
     keep = list(keep or [])
     n_keep = len(keep)
+    bound_batches(df)
     place = next((i for i, c in enumerate(keep) if isinstance(c, str) and c == text), n_keep)  # a text that is kept goes to the workers once
     chosen = df.select(*[F.col(f"`{c}`") if isinstance(c, str) else c for c in keep], *[] if place < n_keep else [F.col(text).cast("string").alias("__text")])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:n_keep])

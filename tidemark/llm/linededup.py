@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, blobs, discard, free_name, materialize, spread_join
+from .common import MASK64, blobs, bound_batches, discard, free_name, materialize, spread_join
 
 #: The mean number of passages in a chunk, and the most.
 MEAN = 4
@@ -115,6 +115,7 @@ def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: ``ord, key, n_lines, sha`` of every row (ord the id, key the text's hash); ``ord, key, gone`` with the stretches
     (first line ``i``, lines ``n``) to remove; and the texts ``ord, key, text`` of the rows that hold anything repeated."""
+    bound_batches(docs)
     rows = _keyed(docs, doc_id, text)
     scanned = materialize(rows.mapInArrow(scan, SCAN), "lines-scan")
     place = F.struct("ord", "key", "i")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blobs, discard, gram_hashes, materialize, mix64, signed, spread_join
+from .common import WordHashes, blobs, bound_batches, discard, gram_hashes, materialize, mix64, signed, spread_join
 
 REGISTERS = 128
 BANDS = 32
@@ -256,6 +256,7 @@ def likely(n: int, sizes: np.ndarray, more: np.ndarray, less: np.ndarray, thresh
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and ``fp, component_id``: for each set, the smallest doc_id reachable over links."""
     threshold = percent / 100
+    bound_batches(docs)
     every = sketches(docs, shingle, doc_id, text)
     nodes = materialize(every.where("n > 0").groupBy("fp").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least_id")), "neardup-nodes")
     own = every.join(nodes.select("uid"), "uid", "left_semi")

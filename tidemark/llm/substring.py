@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blobs, materialize, power_hashes, signed, spread_join
+from .common import WordHashes, blobs, bound_batches, materialize, power_hashes, signed, spread_join
 
 #: Words of the grams that minimisers are chosen from.
 GRAM = 14
@@ -101,7 +101,7 @@ def removed_mask(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
 def repeated_spans(docs: DataFrame, k: int = 50, m: int = GRAM, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: every document's ``doc_id, key, n_words, sha`` (digest of all its words); the spans ``doc_id, key, a, b`` of words
     to remove; and the texts ``doc_id, key, text`` of the documents that can have any. ``key`` tells apart rows with equal ids."""
-    spark = docs.sparkSession
+    bound_batches(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SIDE_DATA_LIMIT, check_side_data, materialize
+from .common import SIDE_DATA_LIMIT, bound_batches, check_side_data, materialize
 
 #: Candidates in a bucket, queries in a block, and bytes of either at most (one longer vector takes one alone).
 BUCKET = 4096
@@ -195,6 +195,7 @@ class Bucket:
 
 def top_k(df: DataFrame, query: Column, k: int = 20, scale: float = 64.0, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows where ``query`` (a condition on ``vec_id``) holds, against all rows."""
+    bound_batches(df)
     rows = df.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), integers(F.col(vector), scale).alias("v"), query.alias("asks")).where("v is not null")
     rows = rows.withColumn("length2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     buckets = materialize(packed(rows.repartitionByRange(F.desc("length2"), "id").sortWithinPartitions(F.desc("length2"), "id").select("id", "v"), BUCKET, "bucket"), "topk-buckets")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIDE_DATA_LIMIT, check_side_data, materialize
+from .common import SIDE_DATA_LIMIT, bound_batches, check_side_data, materialize
 
 TOKEN = re.compile("[A-Za-z0-9]+")
 
@@ -102,6 +102,7 @@ def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", keep: list[s
     A block of rules, with the counts of its own tokens, takes about ``limit`` bytes; if there are several, each is a pass of its own
     that starts from what the one before it has written.
     """
+    bound_batches(df)
     keep = keep or []
     chosen = df.select(*[F.col(c) for c in keep], F.col(url).cast("string").alias("url"))
     counts = token_counts(chosen.select("url"), {t for r in rules for t in r.literals})

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread_join
+from .common import bound_batches, materialize, spread_join
 
 #: The skippable frame that holds the dictionary, and the dictionary's own magic number; fixed values of the formats.
 DICT_FRAME = 0x184D2A5D
@@ -119,6 +119,7 @@ def assign_types(pages: DataFrame) -> DataFrame:
 
     Only ids and digests are grouped. The pages of a payload that very many share are spread when they get its largest id.
     """
+    bound_batches(pages)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     found = materialize(rows.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("met")), "warc-digests")
