@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import blobs, bound_batches, check_side_data
+from .common import blobs, bound_batches, check_side_data, release_memory
 
 #: Bytes of text whose unknown words are encoded together (one longer text makes a group of its own).
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 #: Bytes that one generation of a task's cache may hold; there are two generations of chunks and two of words.
 GENERATION_BYTES = 24 << 20
 #: What an entry takes beside its key's and its value's own bytes: two object heads and a place in the table.
@@ -91,7 +91,8 @@ class PairIndexBpe:
             self.merged.append((self.vocab[a], self.vocab[b], self.vocab[a + b]))
             self.ranks[self.vocab[a] * self.width + self.vocab[b]] = rank
         # the symbols of characters within a word and at its end
-        self.inner, self.outer = np.full(0x110000, -1, np.int64), np.full(0x110000, -1, np.int64)
+        top = max((ord(t[0]) for t in self.vocab if len(t) in (1, 1 + len(self.suffix))), default=0) + 2
+        self.inner, self.outer = np.full(top, -1, np.int64), np.full(top, -1, np.int64)
         for token, i in self.vocab.items():
             if len(token) == 1:
                 self.inner[ord(token)] = i
@@ -136,13 +137,13 @@ class PairIndexBpe:
         words = [w for w in dict.fromkeys(words) if w]
         if not words:
             return {"": []}
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        codes = np.minimum(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), len(self.inner) - 1)  # the last place is no symbol
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         starts = np.concatenate([[0], ends[:-1]])
         flat = self.inner[codes]
         flat[ends - 1] = self.outer[codes[ends - 1]]
         if (flat < 0).any():
-            raise KeyError(chr(codes[np.flatnonzero(flat < 0)[0]]))
+            raise KeyError("".join(words)[np.flatnonzero(flat < 0)[0]])
         place = np.arange(len(flat))
         last, first = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
         last[ends - 1] = first[starts] = True
@@ -332,6 +333,7 @@ def _run(df: DataFrame, path: str, text: str, keep: list[str], *, digest: bool)
     schema = f"{kept}{', ' if kept else ''}n_tokens long, {names[0]} string, {names[1]} string"
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         name = hashlib.sha256(spec.encode()).hexdigest()
         if name not in _MODELS:
             _MODELS.clear()

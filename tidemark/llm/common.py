@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 
@@ -22,7 +24,7 @@ MASK64 = (1 << 64) - 1
 
 
 #: Bytes of a batch of rows that travels between a task and its Python worker, and Spark's setting of them.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -33,6 +35,15 @@ def bound_batches(df: DataFrame) -> None:
         conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
+def release_memory() -> None:
+    """Gives back to the system what earlier tasks of this worker have freed; workers serve one stage after another."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library
+    if trim:
+        trim(0)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import SIDE_DATA_LIMIT, blobs, bound_batches, materialize
 
 #: Bytes of text in a shard (a batch of rows holds no more), and bytes from which on a word is compared by its digest.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 LONG_WORD = 256
 
 #: Bytes to bytes: A-Z lower-cased, everything but digits, letters and bytes beyond ASCII blanked.

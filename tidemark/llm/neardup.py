@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blobs, bound_batches, discard, gram_hashes, materialize, mix64, signed, spread_join
+from .common import WordHashes, blobs, bound_batches, discard, gram_hashes, materialize, mix64, release_memory, signed, spread_join
 
 REGISTERS = 128
 BANDS = 32
@@ -80,6 +80,7 @@ def sketches(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         hashes = WordHashes()
         for batch in parts:
             n, fps, registers, bands = [], [], [], []
@@ -102,6 +103,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, doc_id: str,
     found = rows.join(wanted.withColumnsRenamed({"doc_id": "w_id", "key": "w_key"}), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))).select("uid", "text")
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         hashes = WordHashes()
         for batch in parts:
             for at in range(0, batch.num_rows, 1024):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blobs, bound_batches, materialize, power_hashes, signed, spread_join
+from .common import WordHashes, blobs, bound_batches, materialize, power_hashes, release_memory, signed, spread_join
 
 #: Words of the grams that minimisers are chosen from.
 GRAM = 14
@@ -105,6 +105,7 @@ def repeated_spans(docs: DataFrame, k: int = 50, m: int = GRAM, doc_id: str = "d
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         hashes = WordHashes()
         for batch in parts:
             n_words, shas, mins = [], [], []
@@ -126,6 +127,7 @@ def repeated_spans(docs: DataFrame, k: int = 50, m: int = GRAM, doc_id: str = "d
     texts = materialize(rows.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "mins"), "substring-texts")
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         hashes = WordHashes()
         for batch in parts:
             for at in range(0, batch.num_rows, 256):
