@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import query
 from tidemark.functions import intervals as iv
 from tidemark.functions import stats as st
+from tidemark.operators import further as fu
 from tidemark.operators import genes as ge
 from tidemark.operators import intervals as ops
 from tidemark.operators import sequences as so
@@ -22,11 +23,8 @@ W = f"WITH {READS}, {GENES}, {EXONS}, {BLOCKS}"
 @query("position_counts", f"""{W}, p AS (SELECT g.name, r.start AS pos, count(*) AS n FROM genes g JOIN reads r ON g.chr = r.chr AND g.start <= r.start AND r.start < g."end" GROUP BY ALL)
 SELECT name, count(*) AS positions, max(n) AS most, sum(n)::BIGINT AS total, round(sum(n) / any_value(g."end" - g.start), 9) AS average FROM p JOIN genes g USING (name) GROUP BY name""")
 def position_counts(spark, sf):
-    points = reads(spark, sf).select("chr", F.col("start"), (F.col("start") + 1).alias("end"))
-    g = genes(spark, sf)
-    hits = ops.overlap_join(g.select("name", "chr", "start", "end"), points, WIDTH)
-    per = hits.groupBy("name", F.col("start_r").alias("pos")).agg(F.count("*").alias("n"), F.first(F.col("end") - F.col("start")).alias("length"))
-    return per.groupBy("name").agg(F.count("*").alias("positions"), F.max("n").alias("most"), F.sum("n").alias("total"), F.round(F.sum("n") / F.first("length"), 9).alias("average"))
+    per = fu.position_counts(reads(spark, sf).select("chr", F.col("start").alias("pos")), genes(spark, sf), WIDTH)
+    return per.select("name", "positions", "most", "total", F.round("average", 9).alias("average"))
 
 
 @query("intron_counts", f"""{W}, i AS (SELECT name, chr, strand, "end" AS s, lead(start) OVER (PARTITION BY name ORDER BY start) AS e FROM exons), h AS (SELECT DISTINCT i.name, r.name AS read FROM i JOIN reads r ON i.chr = r.chr AND i.s < r."end" AND r.start < i.e AND i.e IS NOT NULL)
