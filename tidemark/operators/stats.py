@@ -103,7 +103,8 @@ def rank_sum(df: DataFrame, flag: str, value: str, keys: list[str]) -> DataFrame
     r = average_rank(df.select(*keys, flag, value), value, keys, "r")
     m = r.groupBy(*keys).agg(F.count_if(F.col(flag) == 1).alias("n1"), F.count_if(F.col(flag) == 0).alias("n0"), F.sum(F.when(F.col(flag) == 1, F.col("r"))).alias("s"))
     m = m.where("n1 > 0 and n0 > 0").withColumn("u", F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2)
-    z = (F.col("u") - F.col("n1") * F.col("n0") / 2) / F.sqrt(F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12)
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")  # their products go beyond a long
+    z = (F.col("u") - n1 * n0 / 2) / F.sqrt(n1 * n0 * (n1 + n0 + 1) / 12)
     cdf = st.normal_cdf(z)
     return m.select(*keys, "n1", "n0", "u", z.alias("z"), F.least(F.lit(1.0), 2 * F.least(cdf, 1 - cdf)).alias("p"))
 
@@ -114,7 +115,7 @@ def signed_rank(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     rows = df.where((F.abs(F.col(a)) < float("inf")) & (F.abs(F.col(b)) < float("inf"))).select(*keys, d.alias("d"))
     r = average_rank(rows, F.abs(F.col("d")), keys, "r")
     m = r.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("d") <= 0, F.col("r"))), F.lit(0.0)).alias("u"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # its cube goes beyond a long
     z = (F.col("u") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
     cdf = st.normal_cdf(z)
     return m.select(*keys, "n", "u", z.alias("z"), F.least(F.lit(1.0), 2 * F.least(cdf, 1 - cdf)).alias("p"))
