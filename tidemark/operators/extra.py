@@ -10,10 +10,12 @@ from tidemark.operators import stats as so
 from tidemark.operators.intervals import two_level
 
 
-def interval_index(df: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 << 16) -> DataFrame:
-    """Every interval with its place (from 0) on its reference, by start and, of equal starts, the longer first, and whether it is the first or the last there."""
+def interval_index(df: DataFrame, keys: tuple[str, ...] = ("chr",), width: int = 1 << 16, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Every interval with its place (from 0) on its reference, by start and, of equal starts, the longer first, and whether it is the first or the last there.
+
+    Equal intervals come in the order of the columns ``ties``, without which their order is open."""
     ends = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    out = two_level(df, keys, ["start", F.desc("end")], "start", F.lit(1), "sum", width, "__k").withColumn("place", F.col("__k") - 1).join(ends, list(keys))
+    out = two_level(df, keys, ["start", F.desc("end"), *ties], "start", F.lit(1), "sum", width, "__k").withColumn("place", F.col("__k") - 1).join(ends, list(keys))
     return out.withColumn("is_first", F.col("place") == 0).withColumn("is_last", F.col("place") == F.col("__n") - 1).drop("__n", "__k")
 
 

@@ -12,7 +12,7 @@ from tidemark.plans.views import GENES, MATRIX, READS, genes, matrix, reads, tab
 
 @query("interval_index", f"""WITH {GENES} SELECT name, row_number() OVER w - 1 AS place, row_number() OVER w = 1 AS is_first, row_number() OVER w = count(*) OVER (PARTITION BY chr, strand) AS is_last FROM genes WINDOW w AS (PARTITION BY chr, strand ORDER BY start, "end" DESC)""")
 def interval_index(spark, sf):
-    return ex.interval_index(genes(spark, sf), ("chr", "strand")).select("name", F.col("place").cast("long").alias("place"), "is_first", "is_last")
+    return ex.interval_index(genes(spark, sf), ("chr", "strand"), ties=("name",)).select("name", F.col("place").cast("long").alias("place"), "is_first", "is_last")
 
 
 @query("floor_lookup", f"""WITH {READS}, {GENES} SELECT r.name, max(g.start) FILTER (WHERE g.start <= r.start) AS floor_start, min(g.start) FILTER (WHERE g.start > r.start) AS above FROM reads r LEFT JOIN genes g ON r.chr = g.chr GROUP BY r.name""")
