@@ -9,6 +9,7 @@ from tidemark.functions.stats import scan_pvalue
 from tidemark.operators import counting as ct
 from tidemark.operators import intervals as ops
 from tidemark.operators import matrix as mx
+from tidemark.sources.scratch import written_table
 
 
 def significant_windows(reads: DataFrame, lengths: DataFrame, size: int, step: int, alpha: float) -> DataFrame:
@@ -33,4 +34,5 @@ def count_matrix(reads: DataFrame, genes: DataFrame, exons: DataFrame, width: in
     """Long matrix ``row`` (gene), ``col`` (experiment), ``value`` (fractional reads over exons), scaled to equal column totals."""
     counts = ct.count_exonic(reads, genes, exons, width)
     m = counts.select(F.col("name").cast("string").alias("row"), F.col("exp").alias("col"), F.col("weight").alias("value"))
+    m = written_table(m, "counts") if normalize else m  # its totals and its rows are read
     return mx.scale_columns(m, mx.normalization_factors(m)) if normalize else m
