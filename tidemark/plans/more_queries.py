@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import query
 from tidemark.functions import intervals as iv
 from tidemark.functions import stats as st
+from tidemark.operators import counting as ct
 from tidemark.operators import further as fu
 from tidemark.operators import genes as ge
 from tidemark.operators import intervals as ops
@@ -16,6 +17,7 @@ from tidemark.plans.interval_queries import BLOCKS, OVER, WIDTH
 from tidemark.plans.sequence_queries import DNA, dna
 from tidemark.plans.stats_queries import CDF, PMF, SCAN, scanned
 from tidemark.plans.views import AXIS, EXONS, GENES, READS, genes, reads
+from tidemark.sources.scratch import written_table
 
 W = f"WITH {READS}, {GENES}, {EXONS}, {BLOCKS}"
 
@@ -30,12 +32,8 @@ def position_counts(spark, sf):
 @query("intron_counts", f"""{W}, i AS (SELECT name, chr, strand, "end" AS s, lead(start) OVER (PARTITION BY name ORDER BY start) AS e FROM exons), h AS (SELECT DISTINCT i.name, r.name AS read FROM i JOIN reads r ON i.chr = r.chr AND i.s < r."end" AND r.start < i.e AND i.e IS NOT NULL)
 SELECT name, count(*) AS n FROM h WHERE NOT EXISTS (SELECT 1 FROM exons e JOIN reads r ON r.name = h.read WHERE e.name = h.name AND e.chr = r.chr AND e.start < r."end" AND r.start < e."end") GROUP BY name""")
 def intron_counts(spark, sf):
-    m = models(spark, sf)
-    flat = lambda c: m.select("name", "chr", F.explode(c).alias("b")).select("name", "chr", F.col("b.start").alias("start"), F.col("b.end").alias("end"))
-    r = reads(spark, sf).select(F.col("name").alias("read"), "chr", "start", "end")
-    inside = ops.overlap_join(flat(iv.introns(F.col("blocks"))), r, 256).select("name", "read").distinct()
-    exonic = ops.overlap_join(flat("blocks"), r, 256).select("name", "read").distinct()
-    return inside.join(exonic, ["name", "read"], "left_anti").groupBy("name").agg(F.count("*").alias("n"))
+    m = written_table(models(spark, sf).select("name", "chr", "blocks"), "models")  # looked at twice
+    return ct.count_intronic(reads(spark, sf), m, 256)
 
 
 @query("two_sample_scores", f"""WITH {READS}, {SCAN}, w AS (SELECT window_start, coalesce(max(CASE WHEN chr = 'click' THEN n END), 0)::BIGINT AS a, coalesce(max(CASE WHEN chr = 'view' THEN n END), 0)::BIGINT AS b, (SELECT lam * 3600 FROM l WHERE chr = 'click') AS ma, (SELECT lam * 3600 FROM l WHERE chr = 'view') AS mb FROM s WHERE chr IN ('click', 'view') GROUP BY window_start),
