@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import intervals as iv
+from tidemark.operators import cells
 from tidemark.operators import intervals as ops
 from tidemark.operators.stats import seeded
 from tidemark.sources.scratch import written_table
@@ -49,20 +50,10 @@ def transcript_windows(genes: DataFrame, size: int, step: int) -> DataFrame:
     return each.select("name", "chr", "strand", "at", cut.alias("blocks"))
 
 
-def exon_overlaps(a: DataFrame, b: DataFrame, width: int, stranded: bool = True) -> DataFrame:
-    """Pairs of genes (name, chr, strand, blocks) with ``exons`` that overlap, the ``shared`` bases and their share of a's, and ``compatible``:
-    whether the introns of both agree where the genes overlap."""
-    keys = ("chr", "strand") if stranded else ("chr",)
-    flat = lambda d, n: d.select(F.col("name").alias(n), "chr", "strand", F.explode("blocks").alias("x")).select(n, "chr", "strand", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
-    found = ops.overlap_join(flat(a, "a"), flat(b, "b"), width, keys).where("a <> b")
-    shared = iv.overlap_length(F.col("start"), F.col("end"), F.col("start_r"), F.col("end_r"))
-    pairs = found.groupBy("a", "b").agg(F.count_distinct("start", "end").alias("exons"), F.sum(shared).alias("shared"))
-    info = lambda d, n: d.select(F.col("name").alias(n), iv.blocks_length(F.col("blocks")).alias(f"length_{n}"), iv.introns(F.col("blocks")).alias(f"introns_{n}"), F.array_min(F.transform("blocks", lambda x: x["start"])).alias(f"start_{n}"), F.array_max(F.transform("blocks", lambda x: x["end"])).alias(f"end_{n}"))
-    out = pairs.join(info(a, "a"), "a").join(info(b, "b"), "b")
-    low, high = F.greatest("start_a", "start_b"), F.least("end_a", "end_b")
-    inside = lambda c: F.filter(c, lambda i: (i["start"] < high) & (low < i["end"]))
-    same = inside(F.col("introns_a")) == inside(F.col("introns_b"))
-    return out.select("a", "b", "exons", "shared", (F.col("shared") / F.col("length_a")).alias("share"), same.alias("compatible"))
+def exon_overlaps(a: DataFrame, b: DataFrame, width: int, stranded: bool = True, compatible: bool = True) -> DataFrame:
+    """Pairs of genes (name, chr, strand, blocks; a row a name) with ``exons`` that overlap, the ``shared`` bases and their share of a's, and ``compatible``
+    (it may be left out): whether the introns of both agree where the genes overlap."""
+    return cells.exon_pairs(a, b, width, ("chr", "strand") if stranded else ("chr",), compatible)
 
 
 def loci(genes: DataFrame) -> DataFrame:
